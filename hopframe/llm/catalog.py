@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from hopframe.llm import quality_rules
+from hopframe.llm import packing, quality_rules, token_files
 
 QUERIES = {
+    "op2_packing": packing.op2,
+    "op7_token_files": token_files.op7,
     "op9_quality_rules": quality_rules.op9,
 }
 ORACLES = {
