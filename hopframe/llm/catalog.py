@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from hopframe.llm import packing, quality_rules, token_files
+from hopframe.llm import mixing, packing, quality_rules, sharding, token_files
 
 QUERIES = {
     "op2_packing": packing.op2,
+    "op4_sharding": sharding.op4,
+    "op6_mixing": mixing.op6,
     "op7_token_files": token_files.op7,
     "op9_quality_rules": quality_rules.op9,
 }
 ORACLES = {
+    "op6_mixing": mixing.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
