@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopframe.llm import mixing, packing, quality_rules, sharding, token_files
+from hopframe.llm import fingerprints, mixing, packing, quality_rules, sharding, token_files
 
 QUERIES = {
     "op2_packing": packing.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixing": mixing.op6,
     "op7_token_files": token_files.op7,
     "op9_quality_rules": quality_rules.op9,
+    "op10_fingerprints": fingerprints.op10,
 }
 ORACLES = {
     "op6_mixing": mixing.ORACLE_SQL,
