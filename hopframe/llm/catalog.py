@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hopframe.llm import fingerprints, mixing, packing, quality_rules, sharding, token_files
+from hopframe.llm import fingerprints, html_extract, mixing, packing, quality_rules, sharding, token_files
 
 QUERIES = {
     "op2_packing": packing.op2,
+    "op3_html_extraction": html_extract.op3,
     "op4_sharding": sharding.op4,
     "op6_mixing": mixing.op6,
     "op7_token_files": token_files.op7,
