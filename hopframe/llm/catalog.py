@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopframe.llm import fingerprints, html_extract, mixing, packing, quality_rules, sharding, token_files
+from hopframe.llm import fingerprints, html_extract, mixing, packing, quality_rules, sharding, token_files, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sharding": sharding.op4,
     "op6_mixing": mixing.op6,
     "op7_token_files": token_files.op7,
+    "op8_toxicity": toxicity.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_fingerprints": fingerprints.op10,
 }
