@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hopframe.llm import fingerprints, html_extract, mixing, packing, quality_rules, sharding, token_files, toxicity
+from hopframe.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality_rules, sharding, token_files, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_packing": packing.op2,
     "op3_html_extraction": html_extract.op3,
     "op4_sharding": sharding.op4,
