@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopframe.llm import quality_rules
+from hopframe.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
 from hopframe.llm.common import shared_folder, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("ngram_jaccard_join", ngram_join.stage),
+    ("suffix_dedup", suffix_dedup.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 ORACLE_SQL = None
 

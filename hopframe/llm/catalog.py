@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hopframe.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality_rules, sharding, token_files, toxicity
+from hopframe.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_packing": packing.op2,
     "op3_html_extraction": html_extract.op3,
     "op4_sharding": sharding.op4,
+    "op5_suffix_dedup": suffix_dedup.op5,
     "op6_mixing": mixing.op6,
     "op7_token_files": token_files.op7,
     "op8_toxicity": toxicity.op8,
