@@ -3,9 +3,12 @@
 1. Each text becomes a set of shingle hashes. Texts with equal sets are one class, known by a 128-bit digest.
 2. Shingles are counted over all documents in hashed cells, and ordered rare first. Two sets that alike share one of
    their n // 5 + 1 rarest shingles, so only those are posted, with the set's size.
-3. Sets that share a posting and whose sizes allow a link are joined into blocks (connected components). No pair is
-   made: each list gives its members an edge to the list's first, and lists are thinned before they are shuffled.
-4. Only sets in blocks of two or more are gathered, once each, and every block is searched by T-occurrence: the short
+3. The sets that share a posting with another of a size that allows a link are found without making pairs: lists are
+   thinned before they are shuffled, and each gives its members an edge to its first.
+4. Only those sets are built again and posted once more, now with a bitmap of the parities of their shingles. Two
+   bitmaps differ in no more bits than the sets do in shingles, so members of a list that differ too much are not
+   joined. What remains forms blocks (connected components).
+5. The sets of each block are gathered, once each, and every block is searched by T-occurrence: the short
    inverted lists of a set's shingles are merged, the long ones are probed by binary search for the sets that can
    still reach the overlap (DivideSkip). Sets already connected are not looked for again. A block too large for a task
    is cut into parts, and each pair of parts is searched by a task of its own.
@@ -188,6 +191,114 @@ def candidate_edges(docs: DataFrame, levels, parts: int) -> DataFrame:
     return posted.repartition(parts, "bucket").mapInArrow(link, "a long, b long").distinct()
 
 
+def bitmap(s) -> int:
+    """The parities of the shingles' counts by their low bits, on a power of two of bits, about as many as shingles."""
+    import numpy as np
+
+    bits = max(64, 1 << (3 * len(s) // 4 - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return int.from_bytes(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), "little")
+
+
+def folded(x: int, n: int, m: int) -> int:
+    """The bitmap of a set of n shingles as one of m shingles would have it, for m <= n."""
+    now, want = (max(64, 1 << (3 * k // 4 - 1).bit_length()) for k in (n, m))
+    while now > want:
+        now //= 2
+        x = (x & ((1 << now) - 1)) ^ (x >> now)
+    return x
+
+
+def may_link(n: int, x: int, m: int, y: int) -> bool:
+    """Whether sets of n and m shingles (n <= m) with these bitmaps can be alike; false only if they can't."""
+    if 100 * n < PERCENT * m:
+        return False
+    # 100 i >= P (n + m - i) for the overlap i, and n + m - 2 i is what differs
+    least = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return (x ^ folded(y, m, n)).bit_count() <= n + m - 2 * least
+
+
+def list_edges(nodes: list[int], sizes: list[int], maps: list[int], known: set) -> list[tuple[int, int]]:
+    """Edges that connect all members of a list (by rising size) that may link."""
+    groups: list[list[int]] = []
+    edges = []
+    for k in range(len(nodes)):
+        own: list[int] | None = None
+        for g in range(len(groups) - 1, -1, -1):
+            for j in groups[g]:
+                pair = (nodes[j], nodes[k])
+                if pair in known or may_link(sizes[j], maps[j], sizes[k], maps[k]):
+                    known.add(pair)
+                    edges.append(pair)
+                    if own is None:
+                        own = groups[g]
+                    else:
+                        own += groups.pop(g)
+                    break
+        if own is None:
+            groups.append([k])
+        else:
+            own.append(k)
+    return edges
+
+
+def block_edges(sets: DataFrame, levels, parts: int) -> DataFrame:
+    """a, b: edges between nodes of sets (node, shingles) that share a rare shingle and may link by their bitmaps."""
+    shared = sets.sparkSession.sparkContext.broadcast(levels)
+    buckets = 4 * parts
+
+    def post(batches):
+        import numpy as np
+
+        level = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part, out = b.slice(at, 500), {}
+                for node, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = np.frombuffer(raw, np.uint64)
+                    order = np.lexsort((s, level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[: len(s) // 5 + 1]
+                    x = bitmap(s)
+                    own = x.to_bytes(-(-max(64, x.bit_length()) // 8), "little")
+                    tokens = s[order]
+                    by = (tokens % np.uint64(buckets)).astype(np.int64)
+                    for k in np.unique(by).tolist():
+                        # a document's shingles of a bucket share one bitmap
+                        out.setdefault(k, []).append((node, len(s), own, tokens[by == k].tobytes()))
+                rows = [(k, *r) for k, rs in out.items() for r in rs]
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["bucket", "node", "n", "map", "tokens"]
+                )
+
+    def link(batches):
+        import numpy as np
+
+        nodes, sizes, maps, tokens = [], [], [], []
+        for b in batches:
+            nodes += b.column(1).to_pylist()
+            sizes += b.column(2).to_pylist()
+            maps += [int.from_bytes(x, "little") for x in b.column(3).to_pylist()]
+            tokens += [np.frombuffer(x, np.uint64) for x in b.column(4).to_pylist()]
+        if not tokens:
+            return
+        token = np.concatenate(tokens)
+        row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        order = np.lexsort((np.array(nodes)[row], np.array(sizes)[row], token))
+        token, row = token[order], row[order]
+        at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        ends = np.append(at[1:], len(token))
+        known: set = set()
+        edges: set = set()
+        for s, e in zip(at[ends - at > 1].tolist(), ends[ends - at > 1].tolist(), strict=True):
+            r = row[s:e].tolist()
+            edges.update(list_edges([nodes[k] for k in r], [sizes[k] for k in r], [maps[k] for k in r], known))
+        pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    posted = sets.select("node", "shingles").mapInArrow(post, "bucket long, node long, n int, map binary, tokens binary")
+    return posted.repartition(parts, "bucket").mapInArrow(link, "a long, b long").distinct()
+
+
 def _merged(lists: list, size: int):
     """How many of the sorted lists hold each of 0 .. size - 1: a heap merge for few entries, counting for many."""
     import numpy as np
@@ -314,22 +425,24 @@ def classes(docs: DataFrame) -> DataFrame:
     levels = np.zeros(1 << CELL_BITS, np.uint8)
     for r in info.filter("kind = 1").groupBy("id").agg(F.sum("th").alias("n")).collect():  # a row a cell at most
         levels[r["id"]] = int(r["n"]).bit_length()
-    edges = candidate_edges(docs, levels, partitions_for(spark, n_docs, DOCS_PER_PART))
-    blocks = components(edges)
-    # one document stands for each set in a block
-    members = meta.join(blocks, "node").groupBy("digest", "n", "root").agg(F.min(F.struct("id", "th")).alias("_k"))
-    members = checkpointed(members.select("digest", "n", "root", "_k.id", "_k.th"))
-    weight = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    members = members.join(weight, "root")
-    texts = _keyed(docs).join(members, ["id", "th"]).select("root", "parts", "digest", "text")
-
-    def sets(batches):
+    parts = partitions_for(spark, n_docs, DOCS_PER_PART)
+    edges = candidate_edges(docs, levels, parts)
+    asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one document stands for each set
+    members = meta.join(asked, "node").groupBy("digest", "node").agg(F.min(F.struct("id", "th")).alias("_k")).select("digest", "node", "_k.id", "_k.th")
+    texts = _keyed(docs).join(members, ["id", "th"]).select("node", "digest", "text")
+
+    def build(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([shingles(t).tobytes() for t in part.column(3).to_pylist()], pa.binary())], ["root", "parts", "digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingles(t).tobytes() for t in part.column(2).to_pylist()], pa.binary())], ["node", "digest", "shingles"])
 
-    found = texts.mapInArrow(sets, "root long, parts int, digest binary, shingles binary")
+    sets = checkpointed(texts.mapInArrow(build, "node long, digest binary, shingles binary"))
+    blocks = components(block_edges(sets, levels, parts))
+    sized = sets.select("node", (F.octet_length("shingles") / 8).alias("n")).join(blocks, "node")
+    weight = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    found = sets.join(blocks.join(weight, "root"), "node").select("root", "parts", "digest", "shingles")
     own = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != own), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))

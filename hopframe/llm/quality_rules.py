@@ -96,7 +96,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
     judged = judge(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text")))
-    return judged.filter("kept").select("_doc.*")
+    # not a filter: that would be pushed down and work every measure out again for each rule
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_doc"))).alias("_doc")).select("_doc.*")
 
 
 ORACLE_SQL = r"""

@@ -513,7 +513,7 @@ def _cut(body: bytes, blobs) -> tuple[bytes, int, int]:
     """What is left of body, and how many bytes and runs are removed."""
     import numpy as np
 
-    if not blobs:
+    if blobs is None or not len(blobs):
         return body, 0, 0
     halves = [np.frombuffer(x, np.int64).reshape(2, -1) for x in blobs]
     s, e = merged(np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves]))
@@ -552,7 +552,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def cut(body, blobs):
         import pandas as pd
 
-        return pd.Series([_cut(bytes(b), x)[0].decode("utf-8", "ignore") for b, x in zip(body, blobs, strict=True)], dtype=object)
+        return pd.Series([_cut(bytes(b), list(x))[0].decode("utf-8", "ignore") for b, x in zip(body, blobs, strict=True)], dtype=object)
 
     rows = removed(docs)
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")).cast("binary"), F.coalesce("_spans", F.array().cast("array<binary>"))))

@@ -11,7 +11,7 @@ import re
 from array import array
 
 #: Pieces held in a worker before the cache starts again.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 1_000_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: After a letter and before one of these marks every pre-tokenizer in use ends a token.
@@ -20,7 +20,6 @@ _LETTER_MARK = re.compile(f"(?<=[{_LETTERS}])(?=[.,;:!?%*#$&|])")
 #: Words with the space before them, and line ends, in a text without such runs.
 _WORDS = re.compile(r" ?[^ \n]+|\n")
 _ASCII_SPACES = re.compile(r"[ \t\n\r]+")
-_CONTROL = re.compile(r"[\x1c-\x1f\x85]")
 
 
 class CachedTokenizer:
@@ -37,23 +36,35 @@ class CachedTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.word_spaces = word_spaces
         self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        cache, rest = self.cache, parts
+        if self.word_spaces:
+            # a run of ASCII letters is one token before the merges, so the model can take it in lower case as it is
+            tokenize, rest = self.tokenizer.model.tokenize, []
+            for p in parts:
+                if p.isascii() and p.isalpha():
+                    cache[p] = array("I", [t.id for t in tokenize(p.lower())]).tobytes()
+                else:
+                    rest.append(p)
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            cache[x] = array("I", e.ids).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Puts pieces into the cache: their own parts around marks are encoded, each distinct part once."""
-        if len(self.parts) > CACHE_SIZE:
-            self.parts.clear()
-        cut = {p: _LETTER_MARK.split(p) for p in pieces}
-        fresh = list({x for parts in cut.values() for x in parts if x not in self.parts})
-        for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.parts[x] = array("I", e.ids).tobytes()
+        cache = self.cache
+        cut = {p: _LETTER_MARK.split(p) for p in pieces if not p.isalpha()}
+        fresh = {x for parts in cut.values() for x in parts if x not in cache}
+        fresh.update(p for p in pieces if p not in cut)
+        self._encode_parts(list(fresh))
         for p, parts in cut.items():
-            self.cache[p] = b"".join([self.parts[x] for x in parts])
+            if len(parts) > 1:
+                cache[p] = b"".join([cache[x] for x in parts])
 
     def _pieces(self, text: str) -> list[str]:
-        if self.word_spaces:
-            return text.split() if text.isascii() and not _CONTROL.search(text) else [w for w in _ASCII_SPACES.split(text) if w]
         plain = text.replace("\n", " ")
+        if self.word_spaces:
+            return plain.split() if plain.isprintable() else [w for w in _ASCII_SPACES.split(text) if w]
         if plain.isprintable() and "  " not in plain and plain[0] != " " != plain[-1]:  # the only white space is single
             return _WORDS.findall(text)
         out: list[str] = []
