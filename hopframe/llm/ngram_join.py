@@ -3,11 +3,11 @@
 1. Each text becomes a set of shingle hashes. Texts with equal sets are one class, known by a 128-bit digest.
 2. Shingles are counted over all documents in hashed cells, and ordered rare first. Two sets that alike share one of
    their n // 5 + 1 rarest shingles, so only those are posted, with the set's size.
-3. The sets that share a posting with another of a size that allows a link are found without making pairs: lists are
-   thinned before they are shuffled, and each gives its members an edge to its first.
-4. Only those sets are built again and posted once more, now with a bitmap of the parities of their shingles. Two
-   bitmaps differ in no more bits than the sets do in shingles, so members of a list that differ too much are not
-   joined. What remains forms blocks (connected components).
+3. Postings meet by shingle. A list of a few sets gives its pairs, a longer list stays a list. Each set also has a
+   bitmap of the parities of its shingles; two bitmaps differ in no more bits than the sets do in shingles, so pairs
+   that differ too much are dropped, and a long list joins its members only where they may link, asking no further
+   once they are connected.
+4. What remains forms blocks (connected components), about the size of the groups of near copies.
 5. The sets of each block are gathered, once each, and every block is searched by T-occurrence: the short
    inverted lists of a set's shingles are merged, the long ones are probed by binary search for the sets that can
    still reach the overlap (DivideSkip). Sets already connected are not looked for again. A block too large for a task
@@ -69,7 +69,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
-_SETS = "kind int, id long, th long, n int, node long, digest binary"
+#: A list of so many sets at most gives all its pairs.
+SHORT_LIST = 6
+_SETS = "kind int, id long, th long, n int, node long, digest binary, map binary"
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def described(docs: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                n, node, digest = [], [], []
+                n, node, digest, maps = [], [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingles(text)
                     np.add.at(cells, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
@@ -91,43 +93,25 @@ def described(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     node.append(a)
                     digest.append(d)
+                    maps.append(_bytes(bitmap(s)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(n), np.int32)), part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(digest, pa.binary())],
-                    ["kind", "id", "th", "n", "node", "digest"],
+                    [pa.array(np.zeros(len(n), np.int32)), part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(digest, pa.binary()), pa.array(maps, pa.binary())],
+                    ["kind", "id", "th", "n", "node", "digest", "map"],
                 )
         # cells that stand out of the noise; the order they give need not be exact, only the same for all
         hot = np.flatnonzero(cells >= 4 + 3 * (seen >> CELL_BITS))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(hot), np.int32)), pa.array(hot), pa.array(cells[hot]), pa.nulls(len(hot), pa.int32()), pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.binary())],
-            ["kind", "id", "th", "n", "node", "digest"],
+            [pa.array(np.ones(len(hot), np.int32)), pa.array(hot), pa.array(cells[hot]), pa.nulls(len(hot), pa.int32()), pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.binary()), pa.nulls(len(hot), pa.binary())],
+            ["kind", "id", "th", "n", "node", "digest", "map"],
         )
 
     return _keyed(docs).mapInArrow(run, _SETS)
 
 
-def _stars(token, n, node):
-    """Edges to the first of each run of sizes that allow a link, and which postings stand for all (sorted input)."""
-    import numpy as np
-
-    if not len(token):
-        return np.empty((0, 2), np.int64), np.empty(0, bool)
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (n[:-1] * 100 < n[1:] * PERCENT)
-    run = np.cumsum(new) - 1
-    lead = np.minimum.reduceat(node, np.flatnonzero(new))[run]
-    edges = np.stack([lead, node], 1)[lead != node]
-    # the first and last of each size class of a tenth keep the run connected
-    size = (np.log(n) * 10).astype(np.int64)
-    first = np.ones(len(token), bool)
-    first[1:] = (token[1:] != token[:-1]) | (size[1:] != size[:-1])
-    last = np.append(first[1:], True)
-    return (np.unique(edges, axis=0) if len(edges) else edges), first | last
-
-
-def candidate_edges(docs: DataFrame, levels, parts: int) -> DataFrame:
-    """a, b: edges between the nodes of sets that share one of their rarest shingles."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(levels)  # one byte a cell
+def shared_postings(docs: DataFrame, levels, parts: int) -> DataFrame:
+    """kind, a, b: pairs of nodes (kind 0) from lists of a few sets that share a rare shingle and allow a link by their
+    sizes, and the members b of longer lists a (kind 1)."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # one byte a cell
     buckets = 4 * parts
 
     def post(batches):
@@ -136,21 +120,18 @@ def candidate_edges(docs: DataFrame, levels, parts: int) -> DataFrame:
         level, held, count = shared.value, [], 0
 
         def flush():
-            token, n, node = (np.concatenate([x[i] for x in held]) for i in range(3))
-            order = np.lexsort((node, n, token))
-            token, n, node = token[order], n[order], node[order]
-            edges, keep = _stars(token, n, node)
-            token, n, node = token[keep], n[keep], node[keep]
+            token, node, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            order = np.lexsort((node, token))
+            token, node, n = token[order], node[order], n[order]
+            keep = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))  # copies post once
+            token, node, n = token[keep], node[keep], n[keep]
             bucket = (token % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            token, n, node, bucket = token[order], n[order], node[order], bucket[order]
+            token, node, n, bucket = token[order], node[order], n[order], bucket[order]
             at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = np.append(at[1:], len(bucket))
-            blobs = [b"p" + token[s:e].tobytes() + node[s:e].tobytes() + n[s:e].astype("<i4").tobytes() for s, e in zip(at, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-            if len(edges):
-                rng = np.arange(0, len(edges), 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(rng % buckets), pa.array([b"e" + edges[r : r + 50_000].tobytes() for r in rng], pa.binary())], ["bucket", "blob"])
+            blobs = [token[s:e].tobytes() + node[s:e].tobytes() + n[s:e].astype("<i4").tobytes() for s, e in zip(at, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -159,36 +140,60 @@ def candidate_edges(docs: DataFrame, levels, parts: int) -> DataFrame:
                     continue
                 p = len(s) // 5 + 1
                 order = np.lexsort((s, level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:p]
-                held.append((s[order], np.full(p, len(s), np.int64), np.full(p, _digest(s)[0], np.int64)))
+                held.append((s[order], np.full(p, _digest(s)[0], np.int64), np.full(p, len(s), np.int64)))
                 count += p
                 if count >= FLUSH:
-                    yield from flush()
+                    yield flush()
                     held, count = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
-    def link(batches):
+    def meet(batches):
         import numpy as np
 
         tokens, nodes, sizes = [], [], []
         for b in batches:
             for blob in b.column(1).to_pylist():
-                if blob[:1] == b"e":
-                    e = np.frombuffer(blob, np.int64, offset=1).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-                    continue
                 k = len(blob) // 20
-                tokens.append(np.frombuffer(blob, np.uint64, k, 1))
-                nodes.append(np.frombuffer(blob, np.int64, k, 1 + 8 * k))
-                sizes.append(np.frombuffer(blob, "<i4", k, 1 + 16 * k).astype(np.int64))
-        if tokens:
-            token, node, n = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-            order = np.lexsort((node, n, token))
-            edges, _ = _stars(token[order], n[order], node[order])
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+                tokens.append(np.frombuffer(blob, np.uint64, k))
+                nodes.append(np.frombuffer(blob, np.int64, k, 8 * k))
+                sizes.append(np.frombuffer(blob, "<i4", k, 16 * k).astype(np.int64))
+        if not tokens:
+            return
+        token, node, n = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+        del tokens, nodes, sizes
+        order = np.lexsort((node, n, token))
+        token, node, n = token[order], node[order], n[order]
+        keep = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+        token, node, n = token[keep], node[keep], n[keep]
+        # a run: sets of one list, by size, each of which the next may link with
+        at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (100 * n[:-1] < PERCENT * n[1:])))
+        size = np.diff(np.append(at, len(token)))
+        pairs = [np.empty((0, 2), np.int64)]
+        few = at[(size > 1) & (size <= SHORT_LIST)]
+        few_size = size[(size > 1) & (size <= SHORT_LIST)]
+        for i in range(SHORT_LIST - 1):
+            for j in range(i + 1, SHORT_LIST):
+                x = few[few_size > j]
+                x = x[100 * n[x + i] >= PERCENT * n[x + j]]
+                pairs.append(np.stack([np.minimum(node[x + i], node[x + j]), np.maximum(node[x + i], node[x + j])], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        run = np.repeat(np.arange(len(at)), size)
+        long_ = size[run] > SHORT_LIST
+        # runs of a list are told apart by where they begin
+        name = (token[at][run[long_]] + n[at][run[long_]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), int(long_.sum())])
+        a, b = np.concatenate([pairs[:, 0], name]), np.concatenate([pairs[:, 1], node[long_]])
+        for at_ in range(0, len(kind), 100_000):
+            cut = slice(at_, at_ + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(kind[cut]), pa.array(a[cut]), pa.array(b[cut])], ["kind", "a", "b"])
 
     posted = docs.select("text").mapInArrow(post, "bucket long, blob binary")
-    return posted.repartition(parts, "bucket").mapInArrow(link, "a long, b long").distinct()
+    return posted.repartition(parts, "bucket").mapInArrow(meet, "kind int, a long, b long")
+
+
+def _bytes(x: int) -> bytes:
+    return x.to_bytes(-(-x.bit_length() // 8), "little")
 
 
 def bitmap(s) -> int:
@@ -242,61 +247,39 @@ def list_edges(nodes: list[int], sizes: list[int], maps: list[int], known: set)
     return edges
 
 
-def block_edges(sets: DataFrame, levels, parts: int) -> DataFrame:
-    """a, b: edges between nodes of sets (node, shingles) that share a rare shingle and may link by their bitmaps."""
-    shared = sets.sparkSession.sparkContext.broadcast(levels)
-    buckets = 4 * parts
+def block_edges(found: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """a, b: edges between nodes that may link. sets: node, n, map."""
 
-    def post(batches):
-        import numpy as np
-
-        level = shared.value
+    def check(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part, out = b.slice(at, 500), {}
-                for node, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = np.frombuffer(raw, np.uint64)
-                    order = np.lexsort((s, level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[: len(s) // 5 + 1]
-                    x = bitmap(s)
-                    own = x.to_bytes(-(-max(64, x.bit_length()) // 8), "little")
-                    tokens = s[order]
-                    by = (tokens % np.uint64(buckets)).astype(np.int64)
-                    for k in np.unique(by).tolist():
-                        # a document's shingles of a bucket share one bitmap
-                        out.setdefault(k, []).append((node, len(s), own, tokens[by == k].tobytes()))
-                rows = [(k, *r) for k, rs in out.items() for r in rs]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["bucket", "node", "n", "map", "tokens"]
-                )
+            cols = [b.column(k).to_pylist() for k in range(6)]
+            keep = []
+            for n, x, m, y in zip(*cols[2:], strict=True):
+                x, y = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+                keep.append(may_link(n, x, m, y) if n <= m else may_link(m, y, n, x))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
+
+    def lists(batches):
+        name, held, known = None, [], set()
+
+        def done():
+            held.sort(key=lambda r: r[1])
+            edges = list_edges(*([r[k] for r in held] for k in range(3)), known)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    def link(batches):
-        import numpy as np
-
-        nodes, sizes, maps, tokens = [], [], [], []
         for b in batches:
-            nodes += b.column(1).to_pylist()
-            sizes += b.column(2).to_pylist()
-            maps += [int.from_bytes(x, "little") for x in b.column(3).to_pylist()]
-            tokens += [np.frombuffer(x, np.uint64) for x in b.column(4).to_pylist()]
-        if not tokens:
-            return
-        token = np.concatenate(tokens)
-        row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-        order = np.lexsort((np.array(nodes)[row], np.array(sizes)[row], token))
-        token, row = token[order], row[order]
-        at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        ends = np.append(at[1:], len(token))
-        known: set = set()
-        edges: set = set()
-        for s, e in zip(at[ends - at > 1].tolist(), ends[ends - at > 1].tolist(), strict=True):
-            r = row[s:e].tolist()
-            edges.update(list_edges([nodes[k] for k in r], [sizes[k] for k in r], [maps[k] for k in r], known))
-        pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    posted = sets.select("node", "shingles").mapInArrow(post, "bucket long, node long, n int, map binary, tokens binary")
-    return posted.repartition(parts, "bucket").mapInArrow(link, "a long, b long").distinct()
+            for a, node, n, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if a != name:
+                    yield from done()
+                    name, held = a, []
+                held.append((node, n, int.from_bytes(x, "little")))
+        yield from done()
+
+    end = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}"))
+    pairs = found.filter("kind = 0").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "map_a", "n_b", "map_b")
+    members = found.filter("kind = 1").select("a", "b").join(end("b"), "b").select("a", "b", "n_b", "map_b").repartition(parts, "a").sortWithinPartitions("a")
+    return pairs.mapInArrow(check, "a long, b long").union(members.mapInArrow(lists, "a long, b long")).distinct()
 
 
 def _merged(lists: list, size: int):
@@ -426,23 +409,24 @@ def classes(docs: DataFrame) -> DataFrame:
     for r in info.filter("kind = 1").groupBy("id").agg(F.sum("th").alias("n")).collect():  # a row a cell at most
         levels[r["id"]] = int(r["n"]).bit_length()
     parts = partitions_for(spark, n_docs, DOCS_PER_PART)
-    edges = candidate_edges(docs, levels, parts)
-    asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one document stands for each set
-    members = meta.join(asked, "node").groupBy("digest", "node").agg(F.min(F.struct("id", "th")).alias("_k")).select("digest", "node", "_k.id", "_k.th")
-    texts = _keyed(docs).join(members, ["id", "th"]).select("node", "digest", "text")
+    found = checkpointed(shared_postings(docs, levels, parts))
+    asked = found.filter("kind = 0").select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+    sets = info.filter("kind = 0").select("node", "n", "map").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    blocks = components(block_edges(found, sets, parts))
+    # one document stands for each set in a block
+    members = meta.join(blocks, "node").groupBy("digest", "n", "root").agg(F.min(F.struct("id", "th")).alias("_k"))
+    members = checkpointed(members.select("digest", "n", "root", "_k.id", "_k.th"))
+    weight = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    members = members.join(weight, "root")
+    texts = _keyed(docs).join(members, ["id", "th"]).select("root", "parts", "digest", "text")
 
     def build(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingles(t).tobytes() for t in part.column(2).to_pylist()], pa.binary())], ["node", "digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([shingles(t).tobytes() for t in part.column(3).to_pylist()], pa.binary())], ["root", "parts", "digest", "shingles"])
 
-    sets = checkpointed(texts.mapInArrow(build, "node long, digest binary, shingles binary"))
-    blocks = components(block_edges(sets, levels, parts))
-    sized = sets.select("node", (F.octet_length("shingles") / 8).alias("n")).join(blocks, "node")
-    weight = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    found = sets.join(blocks.join(weight, "root"), "node").select("root", "parts", "digest", "shingles")
+    found = texts.mapInArrow(build, "root long, parts int, digest binary, shingles binary")
     own = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != own), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
