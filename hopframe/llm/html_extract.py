@@ -95,7 +95,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 raw = ""
             continue
         name = name.lower()
-        block = name not in INLINE
+        block = name not in INLINE and name not in RAW
         if block:
             flush()
         if m[1]:

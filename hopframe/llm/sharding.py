@@ -78,15 +78,16 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = ranked(rows, order, {"_before": "size"})
     total = rows.agg(F.sum("size")).first()[0] or 0
     ideal = [k * total / shards for k in range(1, shards)]
-    at = sum((F.when((F.col("_before") <= c) & (c < F.col("_before") + F.col("size")), F.lit(k + 1)).otherwise(0) for k, c in enumerate(ideal)), F.lit(0))
-    cut = rows.withColumn("_cut", at).filter("_cut > 0").select("_cut", "_hash", "text_crc32", "size", "_n", F.col("_before").alias("_at"))  # shards - 1 rows at most
+    # the rows in which the ideal cuts lie; a large row may hold several
+    at = F.array_compact(F.array(*(F.when((F.col("_before") <= c) & (c < F.col("_before") + F.col("size")), F.lit(k)) for k, c in enumerate(ideal))))
+    cut = rows.select(F.explode(at).alias("_cut"), "_hash", "text_crc32", "size", "_n", F.col("_before").alias("_at"))  # shards - 1 rows at most
     keys = ["_hash", "text_crc32", "size"]
     ends = rows.drop("_n").join(F.broadcast(cut), keys).groupBy("_cut", "_n", "size", "_at").agg(F.min("_before").alias("lo"), F.max("_before").alias("hi")).collect()
     cuts = {}
     for r in ends:  # a row a cut
         whole = r["_n"] * r["size"] <= WHOLE_GROUP * total / shards
         lo, hi = (r["lo"], r["hi"] + r["size"]) if whole else (r["_at"], r["_at"] + r["size"])
-        c = ideal[r["_cut"] - 1]
+        c = ideal[r["_cut"]]
         cuts[r["_cut"]] = lo if c - lo <= hi - c else hi
     shard = sum((F.when(F.col("_before") >= c, 1).otherwise(0) for c in cuts.values()), F.lit(0)).cast("int")
     rows = rows.withColumn("shard", shard)
