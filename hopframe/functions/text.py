@@ -99,6 +99,31 @@ def metric_task(question: Column, label: Column, declared: Column) -> Column:
     )
 
 
+# The phrases of the older scorer, in its order.
+LEGACY_PHRASES = (
+    ("path_witness", ("witness node", "output yes and one witness node", "output yes plus one witness node", "or no_path")),
+    ("topic", TOPIC_PHRASES),
+    ("hop", ("how many people at minimum", "least count of people", "to get introduced", "to be familiar with")),
+    ("entity", ("authors of", "who wrote the paper", "who collaborate with", "who penned both", "who within")),
+    ("entity", ("published", "venue did", "where did", "where has", "in which place")),
+    ("entity", ("affiliation", "organization is researcher", "which organization does researcher")),
+    ("entity", ("highest number of collaborations", "closest collaborator", "most frequently cited", "most cited", "collaborate most")),
+    ("counting", ("how many", "number of", "count of")),
+)
+
+
+def legacy_metric_task(question: Column, label: Column) -> Column:
+    """The task a row is scored as by the older rules: its own phrases, then the label."""
+    q, text = F.lower(F.coalesce(question, F.lit(""))), F.trim(F.coalesce(label, F.lit("")))
+    out: Column | None = None
+    for task, phrases in LEGACY_PHRASES:
+        hit = any_phrase(q, phrases)
+        out = F.when(hit, task) if out is None else out.when(hit, task)
+    digits = F.regexp_replace(text, "[, ]", "").rlike("^[0-9]+$")
+    yes = (text == "no_path") | F.lower(text).startswith("yes\t") | F.lower(text).startswith("yes ")
+    return out.when(yes, "path_witness").when(F.contains(text, F.lit(",")) & ~digits, "topic").when(text.rlike(r"^[+-]?[0-9]+$"), "counting").otherwise("entity")
+
+
 def _payload(pred: Column) -> Column:
     return F.regexp_extract(pred, r"(?s)\{.*\}", 0)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hopframe.functions import vectors as V
 from hopframe.operators import control, graph, retrieval
-from hopframe.plans.graph_queries import _sampled, rec
+from hopframe.plans.graph_queries import _SAMPLE, _sampled, rec
 from hopframe.sources.testgraph import edges, nodes, undirected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,7 +136,7 @@ def pcst_solve(s, d):
     return retrieval.retrieve(e.withColumns({"prize_u": (F.col("u") % 5 == 0).cast("double"), "prize_v": F.lit(0.0)}))
 
 
-@query(rec("SELECT h.qid, count(*) AS n_nodes, sum(CAST(h.hop = 0 AS BIGINT)) AS n_seeds FROM (SELECT qid, node_idx, 0 AS hop FROM qs UNION ALL SELECT qid, node_idx, 1 FROM f1 UNION ALL SELECT qid, node_idx, 2 FROM f2) h GROUP BY 1", *__import__("hopframe.plans.graph_queries", fromlist=["_SAMPLE"])._SAMPLE))
+@query(rec("SELECT h.qid, count(*) AS n_nodes, sum(CAST(h.hop = 0 AS BIGINT)) AS n_seeds FROM (SELECT qid, node_idx, 0 AS hop FROM qs UNION ALL SELECT qid, node_idx, 1 FROM f1 UNION ALL SELECT qid, node_idx, 2 FROM f2) h GROUP BY 1", *_SAMPLE))
 def sampling_audit(s, d):
     return _sampled(s, d)[0].groupBy("qid").agg(F.count("*").alias("n_nodes"), F.sum((F.col("hop") == 0).cast("long")).alias("n_seeds"))
 
@@ -150,6 +150,55 @@ def propagate_degree(s, d):
     return y.groupBy(F.col("u").alias("node_idx")).agg(F.round(F.sum(F.col("gv") / (F.sqrt(F.col("gu") + 1) * F.sqrt(F.col("gv") + 1))), 6).alias("message"))
 
 
+#: The binary normalised adjacency, one and two steps of the degree signal.
+_PROP = (
+    "ad AS (SELECT u, v FROM su UNION SELECT node_idx, node_idx FROM sn)",
+    "ag AS (SELECT u, CAST(count(*) AS DOUBLE) AS k FROM ad GROUP BY u)",
+    "aw AS (SELECT ad.u, ad.v, 1 / sqrt(p.k * q.k) AS w FROM ad JOIN ag p ON p.u = ad.u JOIN ag q ON q.u = ad.v)",
+    "x1 AS (SELECT aw.u AS node_idx, sum(aw.w * d.total_deg) AS x FROM aw JOIN sdeg d ON d.node_idx = aw.v GROUP BY 1)",
+    "x2 AS (SELECT aw.u AS node_idx, sum(aw.w * x1.x) AS x FROM aw JOIN x1 ON x1.node_idx = aw.v GROUP BY 1)",
+)
+
+
+def _propagated(s, d):
+    """node_idx, x0, x1, x2."""
+    e, n = edges(s, d, True), nodes(s, d, True)
+    a = undirected(e).unionByName(n.select(F.col("node_idx").alias("u"), F.col("node_idx").alias("v"))).distinct()
+    k = a.groupBy("u").agg(F.count("*").cast("double").alias("k"))
+    a = a.join(k, "u").join(k.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").select("u", "v", (1 / F.sqrt(F.col("k") * F.col("kv"))).alias("w"))
+    x0 = graph.degrees(n, e).select("node_idx", F.col("total_deg").cast("double").alias("x0"))
+    step = lambda x, c, to: a.join(x.select(F.col("node_idx").alias("v"), F.col(c).alias("_x")), "v").groupBy(F.col("u").alias("node_idx")).agg(F.sum(F.col("w") * F.col("_x")).alias(to))
+    x1 = step(x0, "x0", "x1")
+    return x0.join(x1, "node_idx").join(step(x1, "x1", "x2"), "node_idx")
+
+
+@query(rec("SELECT x1.node_idx, round(x1.x + x2.x, 6) AS x FROM x1 JOIN x2 USING (node_idx)", *_PROP))
+def propagate_l2(s, d):
+    return _propagated(s, d).select("node_idx", F.round(F.col("x1") + F.col("x2"), 6).alias("x"))
+
+
+_GATE = "1 / (1 + exp(-(0.1::DOUBLE * d.total_deg - 0.5::DOUBLE)))"
+
+
+@query(rec("SELECT x1.node_idx, round(" + _GATE + " * d.total_deg + (1 - " + _GATE + ") * x1.x, 6) AS mixed FROM x1 JOIN sdeg d USING (node_idx)", *_PROP))
+def gated_mix(s, d):
+    g = 1 / (1 + F.exp(-(0.1 * F.col("x0") - 0.5)))
+    return _propagated(s, d).select("node_idx", F.round(g * F.col("x0") + (1 - g) * F.col("x1"), 6).alias("mixed"))
+
+
+@query(rec("SELECT x1.node_idx, round(((1 - " + _GATE + ") * abs(x1.x - d.total_deg) + (1 - " + _GATE + ") * abs(x2.x - x1.x)) / 2, 6) AS importance FROM x1 JOIN x2 USING (node_idx) JOIN sdeg d USING (node_idx)", *_PROP))
+def node_importance(s, d):
+    g = 1 / (1 + F.exp(-(0.1 * F.col("x0") - 0.5)))
+    return _propagated(s, d).select("node_idx", F.round(((1 - g) * F.abs(F.col("x1") - F.col("x0")) + (1 - g) * F.abs(F.col("x2") - F.col("x1"))) / 2, 6).alias("importance"))
+
+
+@query(rec("SELECT n.batch, n_nodes, n_graphs, n_edges FROM (SELECT qid // 2 AS batch, count(*) AS n_nodes, count(DISTINCT qid) AS n_graphs FROM (SELECT qid FROM qs UNION ALL SELECT qid FROM f1 UNION ALL SELECT qid FROM f2) GROUP BY 1) n JOIN (SELECT qid // 2 AS batch, count(*) AS n_edges FROM (SELECT qid FROM t1 UNION ALL SELECT qid FROM t2) GROUP BY 1) e ON e.batch = n.batch", *_SAMPLE))
+def collated_batches(s, d):
+    n, e = _sampled(s, d)
+    batch = F.floor(F.col("qid") / 2).alias("batch")
+    return n.groupBy(batch).agg(F.count("*").alias("n_nodes"), F.countDistinct("qid").alias("n_graphs")).join(e.groupBy(batch).agg(F.count("*").alias("n_edges")), "batch")
+
+
 @query("WITH w AS (SELECT l_partkey AS dst, l_linenumber AS head, l_quantity AS q FROM lineitem), a AS (SELECT dst, head, q / sum(q) OVER (PARTITION BY dst, head) AS a FROM w), h AS (SELECT dst, head, sum(-a * ln(greatest(a, 1e-12::DOUBLE))) AS e, count(*) AS k FROM a GROUP BY 1, 2), m AS (SELECT dst, avg(e) AS e, sum(k) AS deg FROM h GROUP BY 1) SELECT dst, round(CASE WHEN deg > 1 THEN e / ln(deg) ELSE 0 END, 6) AS entropy, round(1 / (1 + exp(-(2.0::DOUBLE * CASE WHEN deg > 1 THEN e / ln(deg) ELSE 0 END - 0.5::DOUBLE))), 6) AS gate FROM m")
 def entropy_gate(s, d):
     w = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("head"), F.col("l_quantity").alias("q"))

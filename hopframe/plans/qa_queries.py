@@ -198,8 +198,11 @@ SCORED = (
 )
 
 
-def scored(s, d):
-    p = predictions(s, d).withColumn("answer", F.trim(T.parsed_answer(F.col("pred")))).withColumn("task", T.metric_task(F.col("question"), F.col("label"), T.task_family(F.col("question"))))
+def scored(s, d, dialect: str = "tasks"):
+    """Scores of each prediction under the current rules or, as "legacy", the older ones."""
+    q, lab = F.col("question"), F.col("label")
+    task = T.legacy_metric_task(q, lab) if dialect == "legacy" else T.metric_task(q, lab, T.task_family(q))
+    p = predictions(s, d).withColumn("answer", F.trim(T.parsed_answer(F.col("pred")))).withColumn("task", task)
     number = F.col("task").isin("hop", "counting")
     a = F.when(number, T.first_integer(F.col("answer"))).otherwise(F.col("answer"))
     exact, tf1, recall = T.topic_scores(F.col("answer"), F.col("label"))
@@ -222,6 +225,11 @@ def em_f1_by_task(s, d):
     return scored(s, d).groupBy("task").agg(F.count("*").alias("n"), mean("em", "em"), mean("f1", "f1"), mean("recall", "keyword_recall"), mean("ans", "answer_accuracy"), mean("wit", "witness_validity"))
 
 
+@query(SCORED + "SELECT task, count(*) AS n, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1 FROM (SELECT CASE WHEN task = 'hop' THEN 'counting' ELSE task END AS task, em, f1 FROM sc) GROUP BY task")
+def em_f1_by_task_legacy(s, d):
+    return scored(s, d, "legacy").groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("f1"), 6).alias("f1"))
+
+
 @query(SCORED + "SELECT id, em, round(f1, 6) AS f1, round(recall, 6) AS recall FROM sc WHERE task = 'topic'")
 def topic_metrics(s, d):
     return scored(s, d).filter("task = 'topic'").select("id", "em", F.round("f1", 6).alias("f1"), F.round("recall", 6).alias("recall"))
@@ -301,11 +309,59 @@ def legacy_report(s, d):
     return x.agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("exact_match"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("ok"), 6).alias("format_compliance")).withColumn("macro_f1", F.lit(float("nan")))
 
 
-def small_bucket(n) -> tuple:
-    """Counts of an 80/10/10 split of a family of n: the last two get at least one where they can."""
-    t = F.floor(n * 0.1)
-    test = F.when(n <= 1, 0).otherwise(F.greatest(F.lit(1), n - F.floor(n * 0.8) - F.greatest(t, F.lit(1))))
-    return t, test
+def bucket_counts(n):
+    """train, val, test of an 80/10/10 split of a bucket of n: from three rows on, each part gets one at least."""
+    val, left = F.greatest(F.lit(1), F.floor(n * 0.1)), n - F.floor(n * 0.8) - F.floor(n * 0.1)
+    test = F.greatest(F.lit(1), left)
+    return F.when(n <= 2, F.lit(1)).otherwise(n - val - test), F.when(n <= 2, F.lit(0)).otherwise(val), F.when(n <= 1, F.lit(0)).when(n == 2, F.lit(1)).otherwise(test)
+
+
+@query("WITH n AS (SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY " + hash_sql("conv_id * 100 + turn", 5) + ", conv_id, turn) AS rk, count(*) OVER (PARTITION BY role) AS n FROM conversations), c AS (SELECT *, CASE WHEN n <= 2 THEN 0 ELSE greatest(1, floor(n * 0.1::DOUBLE)) END AS val, CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE greatest(1, n - floor(n * 0.8::DOUBLE) - floor(n * 0.1::DOUBLE)) END AS test FROM n) SELECT role, conv_id, turn, CASE WHEN rk <= n - val - test THEN 'train' WHEN rk <= n - test THEN 'val' ELSE 'test' END AS split FROM c")
+def split_family_80_10_10(s, d):
+    c = s.read.parquet(f"{d}/conversations.parquet").select("role", "conv_id", "turn")
+    n = c.groupBy("role").agg(F.count("*").alias("n"))  # a row a family
+    train, val, _ = bucket_counts(F.col("n"))
+    w = Window.partitionBy("role").orderBy(h(F.col("conv_id") * 100 + F.col("turn"), 5), "conv_id", "turn")
+    x = c.withColumn("rk", F.row_number().over(w)).join(F.broadcast(n), "role")
+    return x.select("role", "conv_id", "turn", F.when(F.col("rk") <= train, "train").when(F.col("rk") <= train + val, "val").otherwise("test").alias("split"))
+
+
+@query(PR + ", m AS (SELECT id AS raw_index, row_number() OVER (ORDER BY id) - 1 AS sample_index FROM g WHERE family = 'hop') SELECT CASE raw_index % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, raw_index, sample_index FROM m")
+def split_explicit_map(s, d):
+    p = predictions(s, d).filter(T.task_family(F.col("question")) == "hop").select(F.col("id").alias("raw_index"))
+    kept = p.withColumn("sample_index", (F.row_number().over(Window.orderBy("raw_index")) - 1).cast("long"))
+    listed = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("raw_index")).withColumn("split", F.when(F.col("raw_index") % 4 == 0, "train").when(F.col("raw_index") % 4 == 1, "val").otherwise("test"))
+    return listed.join(kept, "raw_index").select("split", "raw_index", "sample_index")
+
+
+@query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN CAST(event_id % 30 AS VARCHAR) || CASE WHEN event_id % 30 <> (event_id + 6) % 30 THEN ',' || ((event_id + 6) % 30) ELSE '' END WHEN 1 THEN CAST(event_id % 5 AS VARCHAR) ELSE CAST(5 + event_id % 25 AS VARCHAR) || ',' || (event_id % 5) END AS endpoints FROM events")
+def query_node_resolution(s, d):
+    """Endpoints from indices, else from ids, else from the ends of the path; the first kind that gives any wins."""
+    i = F.col("event_id")
+    e = s.read.parquet(f"{d}/events.parquet").select(
+        i.alias("id"), F.when(i % 3 == 0, (i % 30).cast("string")).alias("src_idx"), F.when(i % 3 == 0, ((i + 6) % 30).cast("string")).alias("dst_idx"), F.when(i % 3 == 1, F.concat(F.lit("region:"), (i % 5).cast("string"))).alias("src_id"),
+        F.array(F.concat(F.lit("nation:"), (i % 25).cast("string")), F.lit("x"), F.concat(F.lit("region:"), (i % 5).cast("string"))).alias("path"),
+    )
+    from hopframe.sources.testgraph import nodes
+
+    ids = nodes(s, d, True).groupBy("node_id").agg(F.max("node_idx").alias("idx"))  # the last wins
+    index = lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("long"))
+    at = lambda c, n: ids.select(F.col("node_id").alias(c), F.col("idx").alias(n))
+    e = e.withColumns({"first": F.get("path", F.lit(0)), "last": F.get("path", F.size("path") - 1)})
+    e = e.join(at("src_id", "a"), "src_id", "left").join(at("first", "b"), "first", "left").join(at("last", "c"), "last", "left")
+    tier = lambda *c: F.array_distinct(F.array_compact(F.array(*c)))
+    tiers = [tier(index(F.col("src_idx")), index(F.col("dst_idx"))), tier(F.col("a")), tier(F.col("b"), F.col("c"))]
+    best = F.coalesce(*(F.when(F.size(t) > 0, t) for t in tiers))
+    return e.select("id", F.array_join(best.cast("array<string>"), ",").alias("endpoints"))
+
+
+@query("WITH v(word, x, y) AS (VALUES ('the', 1.0::DOUBLE, 0.0::DOUBLE), ('of', 0.0::DOUBLE, 1.0::DOUBLE), ('and', 1.0::DOUBLE, 1.0::DOUBLE), ('de', -1.0::DOUBLE, 0.5::DOUBLE), ('la', 0.25::DOUBLE, -0.5::DOUBLE)), w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), m AS (SELECT doc_id, avg(x) AS x, avg(y) AS y FROM w JOIN v USING (word) GROUP BY 1) SELECT doc_id, round(coalesce(x, 0), 6) AS x, round(coalesce(y, 0), 6) AS y FROM documents LEFT JOIN m USING (doc_id)")
+def word_mean_embedding(s, d):
+    v = s.createDataFrame([("the", 1.0, 0.0), ("of", 0.0, 1.0), ("and", 1.0, 1.0), ("de", -1.0, 0.5), ("la", 0.25, -0.5)], "word string, x double, y double")
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    w = docs.select("doc_id", F.explode(F.split("text", " ")).alias("word")).join(v, "word")
+    m = w.groupBy("doc_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return docs.select("doc_id").join(m, "doc_id", "left").select("doc_id", *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("x", "y")))
 
 
 @query("SELECT event_id AS id, CASE WHEN event_id < floor(0.4::DOUBLE * n) THEN 'train' WHEN event_id < floor(0.4::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'val' ELSE 'test' END AS split FROM events, (SELECT count(*) AS n FROM events)")
