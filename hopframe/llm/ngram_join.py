@@ -71,6 +71,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 #: A list of so many sets at most gives all its pairs.
 SHORT_LIST = 6
+#: A longer list than this is checked by vector operations.
+WIDE_LIST = 48
 _SETS = "kind int, id long, th long, n int, node long, digest binary, map binary"
 
 
@@ -223,6 +225,42 @@ def may_link(n: int, x: int, m: int, y: int) -> bool:
     return (x ^ folded(y, m, n)).bit_count() <= n + m - 2 * least
 
 
+def wide_list_edges(nodes: list[int], sizes: list[int], maps: list[int]) -> list[tuple[int, int]]:
+    """list_edges() for long lists: each member is held against all not yet reached, one vector operation a member."""
+    import numpy as np
+
+    n = np.array(sizes, np.int64)
+    bits = np.array([max(64, 1 << (3 * k // 4 - 1).bit_length()) for k in sizes])
+    rows = {}
+    for b in set(bits.tolist()):  # every bitmap of at least so many bits, folded to so many
+        out = np.zeros((len(nodes), b // 64), np.uint64)
+        for k in np.flatnonzero(bits >= b).tolist():
+            x, now = maps[k], int(bits[k])
+            while now > b:
+                now //= 2
+                x = (x & ((1 << now) - 1)) ^ (x >> now)
+            out[k] = np.frombuffer(x.to_bytes(b // 8, "little"), np.uint64)
+        rows[b] = out
+    new, edges = np.ones(len(nodes), bool), []
+    for start in range(len(nodes)):
+        if not new[start]:
+            continue
+        new[start], queue = False, [start]
+        while queue:
+            x = queue.pop()
+            lo, hi = np.searchsorted(n, -(-PERCENT * n[x] // 100)), np.searchsorted(n, 100 * n[x] // PERCENT, side="right")
+            rest = lo + np.flatnonzero(new[lo:hi])
+            for b in set(np.minimum(bits[rest], bits[x]).tolist()):
+                some = rest[np.minimum(bits[rest], bits[x]) == b]
+                differ = np.bitwise_count(rows[b][some] ^ rows[b][x]).sum(1, dtype=np.int64)
+                total = n[x] + n[some]
+                hit = some[differ <= total - 2 * -(-PERCENT * total // (100 + PERCENT))]
+                new[hit] = False
+                queue += hit.tolist()
+                edges += [(nodes[x], nodes[k]) for k in hit.tolist()]
+    return edges
+
+
 def list_edges(nodes: list[int], sizes: list[int], maps: list[int], known: set) -> list[tuple[int, int]]:
     """Edges that connect all members of a list (by rising size) that may link."""
     groups: list[list[int]] = []
@@ -264,7 +302,8 @@ def block_edges(found: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
 
         def done():
             held.sort(key=lambda r: r[1])
-            edges = list_edges(*([r[k] for r in held] for k in range(3)), known)
+            cols = [[r[k] for r in held] for k in range(3)]
+            edges = list_edges(*cols, known) if len(held) <= WIDE_LIST else wide_list_edges(*cols)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 

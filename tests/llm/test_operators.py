@@ -82,10 +82,11 @@ def ngram(df):
     return ngram_join.near_duplicates(df).select(own.alias("doc_id"), "n", "component")
 
 
-@pytest.mark.parametrize("block,short", [(ngram_join.BLOCK_SHINGLES, 6), (200, 2)])
-def test_ngram_join(docs, rows, monkeypatch, block, short):
+@pytest.mark.parametrize("block,short,wide", [(ngram_join.BLOCK_SHINGLES, 6, 48), (200, 2, 48), (ngram_join.BLOCK_SHINGLES, 2, 0)])
+def test_ngram_join(docs, rows, monkeypatch, block, short, wide):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
+    monkeypatch.setattr(ngram_join, "WIDE_LIST", wide)
     sets = shingle_sets([(r[0], r[1]) for r in rows])
     want = components(sets)
     assert {r["doc_id"]: (r["n"], r["component"]) for r in ngram(docs).collect()} == {d: (len(s), want[d]) for d, s in sets.items()}
@@ -114,6 +115,25 @@ def test_bitmaps_never_lose_a_link():
                 assert ngram_join.may_link(len(x), ngram_join.bitmap(x), len(y), ngram_join.bitmap(y))
 
 
+def test_wide_lists_connect_alike():
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(6)
+    new = lambda n: rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64)
+    for _ in range(10):
+        base = [new(rng.integers(20, 300)) for _ in range(3)]
+        sets = [np.unique(np.concatenate([b[rng.random(len(b)) > rng.random() * 0.3], new(rng.integers(1, 15))])) for b in (base[rng.integers(3)] for _ in range(40))]
+        sets.sort(key=len)
+        args = list(range(40)), [len(s) for s in sets], [ngram_join.bitmap(s) for s in sets]
+        got = []
+        for edges in (ngram_join.list_edges(*args, set()), ngram_join.wide_list_edges(*args)):
+            root = list(range(40))
+            for a, b in edges:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            got.append(root)
+        assert got[0] == got[1]
+
+
 def test_block_search():
     np = pytest.importorskip("numpy")
     rng = np.random.default_rng(4)
