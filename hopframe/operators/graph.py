@@ -149,3 +149,25 @@ def syntax_order(labelled: DataFrame, budget: int) -> DataFrame:
     key: list[Column] = [F.when(F.col("role") < 2, F.col("role")).otherwise(2), F.when(F.col("disconnected"), 0).otherwise(F.col("delta")), total, F.when(F.col("disconnected"), 0).otherwise(gap), F.col("node_idx")]
     w = Window.partitionBy("qid").orderBy(*key)
     return labelled.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < budget).select("qid", F.col("pos").cast("int").alias("pos"), "node_idx", "role")
+
+
+def bfs_token_order(seeds: DataFrame, links: DataFrame, sub: DataFrame, depth: int) -> DataFrame:
+    """qid, node_idx, pos: seeds in their order, then level by level by (rank of the earliest parent, edge position),
+    and what is not reached in index order.
+
+    seeds: qid, node_idx, ord. links: u, v, edge_pos, both directions. sub: qid, node_idx, the nodes of a question.
+    """
+    w = Window.partitionBy("qid")
+    front = checkpointed(seeds.select("qid", "node_idx", (F.row_number().over(w.orderBy("ord")) - 1).cast("long").alias("pos")))
+    seen = front
+    for _ in range(depth):
+        near = front.join(links, front["node_idx"] == links["u"]).select("qid", F.col("v").alias("node_idx"), F.struct("pos", "edge_pos").alias("k"))
+        near = near.join(sub, ["qid", "node_idx"], "left_semi").join(seen.select("qid", "node_idx"), ["qid", "node_idx"], "left_anti")
+        near = near.groupBy("qid", "node_idx").agg(F.min("k").alias("k"))
+        start = seen.groupBy("qid").agg(F.count("*").alias("n"))
+        near = near.join(start, "qid").select("qid", "node_idx", (F.row_number().over(w.orderBy("k", "node_idx")) - 1 + F.col("n")).alias("pos"))
+        front = checkpointed(near)
+        seen = seen.unionByName(front)
+    start = seen.groupBy("qid").agg(F.count("*").alias("n"))
+    rest = sub.join(seen.select("qid", "node_idx"), ["qid", "node_idx"], "left_anti").join(start, "qid")
+    return seen.unionByName(rest.select("qid", "node_idx", (F.row_number().over(w.orderBy("node_idx")) - 1 + F.col("n")).alias("pos")))

@@ -378,3 +378,36 @@ def hopqa_hop_counts(s, d):
 @query(rec("SELECT qid, hop FROM (SELECT qid, hop FROM hx ORDER BY " + hash_sql("qid", 17) + ", qid LIMIT 32)", *HQ))
 def monitor_subset(s, d):
     return hop_records(s, d).select("qid", "hop").orderBy(h("qid", 17), "qid").limit(32)
+
+
+@query(
+    rec(
+        "SELECT qid, node_idx, CAST(row_number() OVER (PARTITION BY qid ORDER BY lev, k1, k2, node_idx) - 1 AS BIGINT) AS pos FROM z",
+        *_ROLES,
+        "lk AS (SELECT src_idx AS u, dst_idx AS v, src_idx AS p FROM se UNION ALL SELECT dst_idx, src_idx, src_idx FROM se)",
+        "z0 AS (SELECT qid, node_idx, role AS rk FROM rl WHERE role < 2)",
+        "c1 AS (SELECT z0.qid, lk.v AS node_idx, min(z0.rk * 1000000000 + lk.p) AS k FROM z0 JOIN lk ON lk.u = z0.node_idx JOIN rl ON rl.qid = z0.qid AND rl.node_idx = lk.v AND rl.role > 1 GROUP BY 1, 2)",
+        "z1 AS (SELECT qid, node_idx, k, row_number() OVER (PARTITION BY qid ORDER BY k, node_idx) AS rk FROM c1)",
+        "c2 AS (SELECT z1.qid, lk.v AS node_idx, min(z1.rk * 1000000000 + lk.p) AS k FROM z1 JOIN lk ON lk.u = z1.node_idx JOIN rl ON rl.qid = z1.qid AND rl.node_idx = lk.v AND rl.role > 1 WHERE NOT EXISTS (SELECT 1 FROM z1 y WHERE y.qid = z1.qid AND y.node_idx = lk.v) GROUP BY 1, 2)",
+        "z AS (SELECT qid, node_idx, 0 AS lev, CAST(rk AS BIGINT) AS k1, 0::BIGINT AS k2 FROM z0 UNION ALL SELECT qid, node_idx, 1, k, 0 FROM z1 UNION ALL SELECT qid, node_idx, 2, k, 0 FROM c2 UNION ALL SELECT qid, node_idx, 3, 0, 0 FROM rl WHERE role > 1 AND NOT EXISTS (SELECT 1 FROM z1 WHERE z1.qid = rl.qid AND z1.node_idx = rl.node_idx) AND NOT EXISTS (SELECT 1 FROM c2 WHERE c2.qid = rl.qid AND c2.node_idx = rl.node_idx))",
+    )
+)
+def bfs_token_order(s, d):
+    lab = _labelled(s, d)
+    e = edges(s, d, True)
+    links = e.select(F.col("src_idx").alias("u"), F.col("dst_idx").alias("v"), F.col("src_idx").alias("edge_pos")).unionByName(e.select(F.col("dst_idx").alias("u"), F.col("src_idx").alias("v"), F.col("src_idx").alias("edge_pos")))
+    return graph.bfs_token_order(lab.filter("role < 2").select("qid", "node_idx", F.col("role").alias("ord")), links, lab.select("qid", "node_idx"), 2)
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 2::BIGINT, 'p1', 'a1', 'author'), (0::BIGINT, 1::BIGINT, 'p1', 'p2', 'reference')) t(src_idx, dst_idx, src_id, dst_id, edge_attr)")
+def raw_json_ingest(s, d):
+    """The edge table of a small raw graph, written to and read from the shared folder."""
+    import uuid
+
+    from hopframe.session import shared_folder
+    from hopframe.sources import files
+
+    raw = '{"paper_nodes": {"p1": {"features": {"title": "Paper One"}, "neighbors": {"author": ["a1"], "reference": ["p2"], "venue": ["nowhere"]}}, "p2": {"features": {"title": "Paper Two"}, "neighbors": {}}}, "author_nodes": {"a1": {"features": {"name": "Alice"}, "neighbors": {}}}}'
+    path = f"{shared_folder(s)}/graph-{uuid.uuid4().hex}"
+    s.createDataFrame([(raw,)], "value string").coalesce(1).write.text(path)
+    return files.graph_tables(files.read_raw_graph(s, path))[1]

@@ -303,10 +303,10 @@ def format_compliance(s, d):
     return predictions(s, d).agg(F.count("*").alias("n"), F.round(F.avg(T.format_compliant(F.col("pred")).cast("int")), 6).alias("compliance"))
 
 
-@query(SCORED + "SELECT count(*) AS n, round(avg(em), 6) AS exact_match, round(avg(f1), 6) AS f1, round(avg(CAST(id % 6 = 1 AS INTEGER)), 6) AS format_compliance, CAST('NaN' AS DOUBLE) AS macro_f1 FROM sc")
+@query(SCORED + "SELECT count(*) AS n, round(avg(em), 6) AS exact_match, round(avg(f1), 6) AS f1, round(avg(CAST(id % 6 = 1 AS INTEGER)), 6) AS format_compliance, 'NaN' AS macro_f1 FROM sc")
 def legacy_report(s, d):
     x = scored(s, d).join(predictions(s, d).select("id", T.format_compliant(F.col("pred")).cast("int").alias("ok")), "id")
-    return x.agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("exact_match"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("ok"), 6).alias("format_compliance")).withColumn("macro_f1", F.lit(float("nan")))
+    return x.agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("exact_match"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("ok"), 6).alias("format_compliance")).withColumn("macro_f1", F.lit(float("nan")).cast("string"))
 
 
 def bucket_counts(n):
