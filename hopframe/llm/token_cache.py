@@ -19,6 +19,10 @@ _LETTER_MARK = re.compile(f"(?<=[{_LETTERS}])(?=[.,;:!?%*#$&|])")
 
 #: Words with the space before them, and line ends, in a text without such runs.
 _WORDS = re.compile(r" ?[^ \n]+|\n")
+_LETTERS_ONLY = re.compile(f" ?[{_LETTERS}]+")
+#: Byte-level vocabularies write a byte that is no printable character as one from 256 on, in the bytes' order.
+_HIDDEN_BYTES = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(_HIDDEN_BYTES)}
 _ASCII_SPACES = re.compile(r"[ \t\n\r]+")
 
 
@@ -38,15 +42,14 @@ class CachedTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def _encode_parts(self, parts: list[str]) -> None:
-        cache, rest = self.cache, parts
-        if self.word_spaces:
-            # a run of ASCII letters is one token before the merges, so the model can take it in lower case as it is
-            tokenize, rest = self.tokenizer.model.tokenize, []
-            for p in parts:
-                if p.isascii() and p.isalpha():
-                    cache[p] = array("I", [t.id for t in tokenize(p.lower())]).tobytes()
-                else:
-                    rest.append(p)
+        # letters, with the space before them, are one token before the merges, so the model can take them as they are
+        cache, rest, tokenize, plain = self.cache, [], self.tokenizer.model.tokenize, _LETTERS_ONLY.fullmatch
+        for p in parts:
+            if plain(p):
+                word = (p.lower() if self.word_spaces else p).encode().decode("latin-1").translate(_BYTE_CHARS)
+                cache[p] = array("I", [t.id for t in tokenize(word)]).tobytes()
+            else:
+                rest.append(p)
         for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             cache[x] = array("I", e.ids).tobytes()
 
