@@ -312,6 +312,8 @@ def block_edges(found: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
                 if a != name:
                     yield from done()
                     name, held = a, []
+                    if len(known) > 200_000:  # only spares repeated checks
+                        known.clear()
                 held.append((node, n, int.from_bytes(x, "little")))
         yield from done()
 
