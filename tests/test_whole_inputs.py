@@ -1,5 +1,7 @@
 """Queries that take in every row of their inputs, against brute force."""
 
+import math
+
 from hopframe.plans import catalog
 
 
@@ -15,3 +17,15 @@ def test_contains_match_equals_brute_force(spark, sf):
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = catalog.QUERIES["contains_match"](spark, sf).first()
     assert (got["pairs"], got["hits"]) == (len(docs) * len(items), sum(t in x for x in docs for t in items))
+
+
+def test_infonce_gives_every_vector_its_loss(spark, sf):
+    e = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / 0.07
+    got = {r["vec_id"]: r["nce"] for r in catalog.QUERIES["infonce"](spark, sf).collect()}
+    assert got.keys() == e.keys()
+    for i, q in e.items():
+        pos, ls = dot(q, q), [dot(q, k) for j, k in e.items() if j < 64]
+        m = max(pos, *ls)
+        want = math.log(math.exp(pos - m) + sum(math.exp(x - m) for x in ls)) + m - pos
+        assert abs(got[i] - want) < 2e-6
