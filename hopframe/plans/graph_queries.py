@@ -142,8 +142,8 @@ def induced_edges(s, d):
 
 
 def _normalized(s, d, binary: bool):
-    e = undirected(edges(s, d, True))
-    loops = nodes(s, d, True).select(F.col("node_idx").alias("u"), F.col("node_idx").alias("v"))
+    e = undirected(edges(s, d, binary))
+    loops = nodes(s, d, binary).select(F.col("node_idx").alias("u"), F.col("node_idx").alias("v"))
     a = e.unionByName(loops)
     a = a.distinct().withColumn("w", F.lit(1.0)) if binary else a.groupBy("u", "v").agg(F.count("*").cast("double").alias("w"))
     deg = a.groupBy("u").agg(F.sum("w").alias("dg"))
@@ -204,10 +204,10 @@ _SAMPLE = (
 
 
 def _sampled(s, d):
-    n = nodes(s, d, True).filter("node_type = 'customer_nodes'").orderBy(h("node_idx", 21), "node_idx").limit(28)
-    seeds = n.select((F.col("node_idx") % 7).alias("qid"), "node_idx")
-    e = edges(s, d, True)
-    both = e.select(F.col("dst_idx").alias("src_idx"), F.col("src_idx").alias("dst_idx"), (2 * F.col("src_idx")).alias("edge_id")).unionByName(e.select("src_idx", "dst_idx", (2 * F.col("src_idx") + 1).alias("edge_id")))
+    """Both ends of each HopQA question are its seeds in the full graph; an edge's two directions have ids of their own."""
+    seeds = hop_records(s, d).select("qid", F.explode(F.array("src", "dst")).alias("node_idx"))
+    e = edges(s, d, numbered=True)
+    both = e.select(F.col("dst_idx").alias("src_idx"), F.col("src_idx").alias("dst_idx"), (2 * F.col("edge_id")).alias("edge_id")).unionByName(e.select("src_idx", "dst_idx", (2 * F.col("edge_id") + 1).alias("edge_id")))
     return graph.sample_neighbourhood(seeds, both, graph.fanouts(2, 16, 0.7), 23)
 
 
@@ -228,7 +228,7 @@ def reservoir_sources(s, d):
 
 @query(rec("SELECT src_idx, dst_idx, edge_attr FROM se WHERE " + hash_sql("src_idx", 31) + " >= 0.2::DOUBLE * 2147483647"))
 def edge_dropout(s, d):
-    return edges(s, d, True).filter(h("src_idx", 31) >= 0.2 * 2147483647).select("src_idx", "dst_idx", "edge_attr")
+    return edges(s, d, numbered=True).filter(h("edge_id", 31) >= 0.2 * 2147483647).select("src_idx", "dst_idx", "edge_attr")
 
 
 def _anchors(s, d):

@@ -96,7 +96,7 @@ _SC = "sv AS (SELECT user_id AS node_idx, sum(value) AS t, count(*) AS n FROM ev
 
 @query(rec("SELECT node_idx, tier FROM (SELECT node_idx, 'exploit' AS tier FROM (SELECT node_idx FROM nm ORDER BY combined DESC, node_idx LIMIT 48) UNION ALL SELECT node_idx, 'explore' FROM (SELECT node_idx FROM nm WHERE node_idx NOT IN (SELECT node_idx FROM nm ORDER BY combined DESC, node_idx LIMIT 48) ORDER BY explore DESC, node_idx LIMIT 16))", _SC))
 def refresh_seed_mix(s, d):
-    n, e = nodes(s, d, True), edges(s, d, True)
+    n, e = nodes(s, d), edges(s, d)
     sv = s.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("node_idx")).agg(F.sum("value").alias("t"), F.count("*").alias("n"))
     x = graph.degrees(n, e).join(sv, "node_idx", "left")
     x = x.select("node_idx", "total_deg", F.coalesce(F.col("t") / F.col("n") * (1 - F.exp(-F.col("n") / 8.0)), F.lit(0.0)).alias("sc"), F.coalesce("n", F.lit(0)).alias("n"))

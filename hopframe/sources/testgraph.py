@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TYPES = (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"), ("orders", "o_orderkey", None))
@@ -41,18 +41,31 @@ def nodes(spark: SparkSession, sf_dir: str, small: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str, small: bool = False) -> DataFrame:
-    """src_idx, dst_idx, src_id, dst_id, edge_attr; a lineitem gives its order two edges."""
+def edges(spark: SparkSession, sf_dir: str, small: bool = False, numbered: bool = False) -> DataFrame:
+    """src_idx, dst_idx, src_id, dst_id, edge_attr; a lineitem gives its order two edges.
+
+    numbered adds edge_id, which no two edges share: the source's index where a source has one edge, and beyond all
+    indices two numbers a lineitem, by its order and its place among the order's lines.
+    """
     off = offsets(spark, sf_dir)
 
-    def link(df: DataFrame, a: str, ka: str, b: str, kb: str, attr: str) -> DataFrame:
+    def link(df: DataFrame, a: str, ka: str, b: str, kb: str, attr: str, edge_id: Column | None = None) -> DataFrame:
         ends = [((F.col(k).cast("long") + off[t]).alias(f"{e}_idx"), F.concat(F.lit(f"{t}:"), F.col(k).cast("string")).alias(f"{e}_id")) for e, t, k in (("src", a, ka), ("dst", b, kb))]
-        return df.select(ends[0][0], ends[1][0], ends[0][1], ends[1][1], F.lit(attr).alias("edge_attr"))
+        number = [(ends[0][0] if edge_id is None else edge_id).alias("edge_id")] if numbered else []
+        return df.select(ends[0][0], ends[1][0], ends[0][1], ends[1][1], F.lit(attr).alias("edge_attr"), *number)
 
     t = lambda n: table(spark, sf_dir, n)
     parts = [link(t("nation"), "nation", "n_nationkey", "region", "n_regionkey", "region"), link(t("customer"), "customer", "c_custkey", "nation", "c_nationkey", "nation"), link(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "nation")]
     if not small:
-        parts += [link(t("orders"), "orders", "o_orderkey", "customer", "o_custkey", "customer"), link(t("lineitem"), "orders", "l_orderkey", "part", "l_partkey", "part"), link(t("lineitem"), "orders", "l_orderkey", "supplier", "l_suppkey", "supplier")]
+        lines, first, second = t("lineitem"), None, None
+        if numbered:
+            most = lines.groupBy("l_orderkey").count().agg(F.max("count")).first()[0] or 0
+            # keys of lines may repeat, so the place is by all columns
+            place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*(c for c in lines.columns if c != "l_orderkey"))) - 1
+            lines = lines.withColumn("_place", F.col("l_orderkey").cast("long") * most + place)
+            first = off["orders"] + t("orders").count() + 2 * F.col("_place")
+            second = first + 1
+        parts += [link(t("orders"), "orders", "o_orderkey", "customer", "o_custkey", "customer"), link(lines, "orders", "l_orderkey", "part", "l_partkey", "part", first), link(lines, "orders", "l_orderkey", "supplier", "l_suppkey", "supplier", second)]
     return reduce(DataFrame.unionByName, parts)
 
 
