@@ -8,7 +8,7 @@ key a source travels back to the documents, so texts are never shuffled.
 
 Null and empty texts have size 0 and are never taken. A null source is a source of its own, last in order. Documents
 that share id and text share a key and are taken alike. With no words at all every target is 0. An empty table gives
-no rows. Other columns pass through.
+no rows. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import ranked, table, words
+from hopframe.llm.common import checkpointed, ranked, table, words
 
 WEIGHTS = (3, 1, 2)
 BUDGET, MOST, SEED = 1.5, 2, "mix-1"
@@ -58,38 +58,60 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int
     return s.select("source", "source_size", F.least((most * F.col("source_size")).cast("double"), F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target (its source's) and taken."""
-    size = F.size(words("text")).cast("long")
-    place = F.struct((-F.ln(uniform(F.col("doc_id"), seed)) / F.col("_q")).alias("k"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("d"), F.xxhash64("text").alias("t"))
-    sized = docs.withColumn("size", size).withColumn("_q", quality(F.col("text"), F.col("size"))).withColumn("_place", place)
-    narrow = sized.select("source", "size", "_place")
-    goals = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    goals = goals.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    goals = goals.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
+def _keyed(docs: DataFrame, carried: list[Column], seed: str) -> DataFrame:
+    """carried, and what the mix needs of each document: _s (its source), _size and _place (its key and what breaks ties)."""
+    df = docs.select(*carried, F.col("source").alias("_s"), "doc_id", "text", F.size(words("text")).cast("long").alias("_size"))
+    key = -F.ln(uniform(F.col("doc_id"), seed)) / quality(F.col("text"), F.col("_size"))
+    place = F.struct(key.alias("k"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("d"), F.xxhash64("text").alias("t"))
+    return df.withColumn("_place", place).drop("doc_id", "text")
+
+
+def goals(narrow: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """A row a source: source, source_size, target, _epochs and _end, the last place that the sample takes."""
+    out = targets(narrow.groupBy(F.col("_s").alias("source")).agg(F.sum("_size").alias("source_size")), weights, budget, most)
+    out = out.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
+    out = out.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     # where each source starts in the order of all rows: the sizes of the sources before it
-    starts = goals.withColumn("_start", F.coalesce(F.sum("source_size").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = ranked(narrow, [F.col("source").asc_nulls_last(), F.col("_place.k"), F.col("_place.d"), F.col("_place.t")], {"_before": "size"})
-    few = F.broadcast if starts.count() <= BROADCAST_SOURCES else (lambda x: x)
-    rows = rows.withColumnRenamed("source", "_s").join(few(starts), F.col("_s").eqNullSafe(F.col("source")))
+    out = checkpointed(out.withColumn("_start", F.coalesce(F.sum("source_size").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    rows = ranked(narrow.select("_s", "_size", "_place"), [F.col("_s").asc_nulls_last(), F.col("_place.k"), F.col("_place.d"), F.col("_place.t")], {"_before": "_size"})
+    rows = rows.join(_few(out), F.col("_s").eqNullSafe(F.col("source")))
     inside = F.col("_before") - F.col("_start")
     # the document in which the budget ends is in when most of it is
-    ends = rows.filter((F.col("size") > 0) & (2 * inside + F.col("size") <= 2 * F.col("_rest"))).groupBy("source").agg(F.max("_place").alias("_end"))
-    goals = goals.join(ends.withColumnRenamed("source", "_s"), F.col("_s").eqNullSafe(F.col("source")), "left").drop("_s", "_rest")
-    sized = sized.withColumnRenamed("source", "_s").join(few(goals), F.col("_s").eqNullSafe(F.col("source")))
-    taken = F.col("size") * (F.col("_epochs") + F.when(F.col("_place") <= F.col("_end"), F.lit(1)).otherwise(F.lit(0)))
-    return sized.withColumn("taken", taken.cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
+    ends = rows.filter((F.col("_size") > 0) & (2 * inside + F.col("_size") <= 2 * F.col("_rest"))).groupBy("_s").agg(F.max("_place").alias("_end"))
+    return out.join(ends, F.col("_s").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "_epochs", "_end")
+
+
+def _few(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+
+
+def _taken(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """keyed with size, source_size, target and taken in place of what _keyed() added."""
+    rows = keyed.join(_few(plan), F.col("_s").eqNullSafe(F.col("source")))
+    taken = F.col("_size") * (F.col("_epochs") + F.when(F.col("_place") <= F.col("_end"), F.lit(1)).otherwise(F.lit(0)))
+    own = [c for c in keyed.columns if c not in ("_s", "_size", "_place")]
+    return rows.select(*own, F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """doc (a struct of the columns of docs, whatever their names), size, source_size, target (its source's) and taken.
+
+    Texts are read twice, once for the plan and once for the result, and never shuffled.
+    """
+    plan = checkpointed(goals(checkpointed(_keyed(docs, [], seed)), weights, budget, most))
+    return _taken(_keyed(docs, [F.struct(*docs.columns).alias("doc")], seed), plan)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    """Ids and sizes are all that is asked for, so texts are read once."""
+    rows = checkpointed(_keyed(table(spark, sf_dir, "documents"), [F.col("doc_id").alias("_id")], SEED))
+    return _taken(rows, goals(rows)).withColumnRenamed("_id", "doc_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix itself, each document as often as it is taken."""
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text")
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
-    return mix(whole).select("_doc", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_doc.*")
+    return mix(docs).select("doc", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("doc.*")
 
 
 ORACLE_SQL = r"""
