@@ -1,12 +1,16 @@
 """HTML extraction by two-pass block rules.
 
-The first pass cuts a page into blocks and decides each by its place (menus, footers, forms, adverts, comments and the
-like are out; where the page has an article, so is all outside it), its link density, its stop-word density and its
-length. Short or middling blocks stay undecided. The second pass gives each undecided block the label of its nearest
-decided neighbours.
+A forward scanner cuts a page into blocks. The first pass decides each by its place (menus, headers, footers, forms,
+notices, adverts, comments and the like are out; where the page has an article, so is all outside it), its link
+density, its stop-word density and its length. Short or middling blocks stay undecided. The second pass gives each
+undecided block the label of its nearest decided neighbours. In an article what stays undecided is text, and lists of
+links decide nothing but themselves. On a page without an article and without any block that the first pass takes,
+paragraphs and blocks with stop words are taken, and where there are none, all undecided blocks.
 
 Null and empty pages give an empty text. Pages are whole and independent, so repeated rows repeat their result. A page
-of any length is one task's work, linear in its length. An empty table gives no rows. Other columns are not carried.
+of any length is one task's work, linear in its length whatever its markup: where a tag doesn't close, quotes count as
+ordinary characters from there on, and a tag without any later `>` is text. An empty table gives no rows. Other columns
+are not carried.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from __future__ import annotations
 import html as _html
 import re
 from bisect import bisect_left
+from collections import defaultdict
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,136 +29,257 @@ from hopframe.llm.common import table
 from hopframe.llm.quality_rules import STOP_WORDS
 
 _STOP = frozenset(w for line in STOP_WORDS for w in line.split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_HINT = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)?(\s*=\s*)?")
+_VALUE = re.compile(r"[^\s>]*")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: Elements whose content is not text of the page.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object", "canvas", "audio", "video", "head"}
-OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "label", "input"}
+#: Elements that hold no markup and no text of the page; the others' content is markup, but out of the text.
+RAW = {"script", "style", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
+OUT = set("nav footer aside form button select option menu dialog fieldset label input noscript template svg math object canvas audio video head datalist".split())
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Words of class, id and role that name a part outside the main text.
+#: An element, what its start closes, and what stops the search for that.
+_TABLE = ("table",)
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+    "tr": (("td", "th", "tr"), _TABLE), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "tbody": (("thead", "tbody", "tfoot"), _TABLE), "tfoot": (("thead", "tbody", "tfoot"), _TABLE), "body": (("head",), ("html",)),
+}
+_AROUND_P = ("table", "td", "th", "caption", "button", "object", "template")
+#: Words of class, id and role that name a part outside the main text; words that may stand beside them in such a name.
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation"
     " breadcrumb breadcrumbs masthead footer comment comments commentlist reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login popup"
-    " modal overlay toolbar widget pagination pager contentinfo complementary search skip tags copyright legal disclaimer".split()
+    " modal overlay toolbar widget pagination pager contentinfo complementary search skip tags copyright legal disclaimer menubar dialog alertdialog form".split()
+)
+BESIDE = set(
+    "area bar block bottom box button buttons container content form global group icons inner item items left link links list main message outer page panel post posts primary reader readers"
+    " region right row secondary section sections site slot text thread top unit us user users wrap wrapper".split()
 )
 GOOD, BAD, OPEN = 1, 0, -1
 LINKS, SHORT, LONG, DENSE, SPARSE = 0.5, 70, 200, 0.2, 0.08
 
 
-def _hinted(attrs: str) -> bool:
-    if not attrs:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    for m in _HINT.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        if any(p.lower() in HINTS for p in _PART.findall(value)):
+class Found(NamedTuple):
+    """A block with text: characters in links, whether its place is out, in an article (2) or main part (1), its kind."""
+
+    text: str
+    linked: int
+    out: bool
+    scope: int
+    heading: bool
+    listed: bool
+    paragraph: bool
+
+
+def _named_out(value: str, hints: set[str]) -> bool:
+    """Whether one of the names in a class, id or role is made of words that name an outer part."""
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if any(p in hints for p in parts) and all(p in hints or p in BESIDE or p.isdigit() for p in parts):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """text, characters in links, out of the main text by its place, in an article, heading: of each block with text."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
+def _placed_out(attributes: dict[str, str], in_article: bool) -> bool:
+    if not attributes:
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(attributes.get("style", "")):
+        return True
+    hints = HINTS if in_article else HINTS | {"header"}
+    return any(_named_out(attributes[k], hints) for k in ("class", "id", "role") if k in attributes)
+
+
+class Scanner:
+    """Reads a page once from left to right: pieces of text, start tags and end tags."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def _attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """The attributes of a tag and the place after its `>`, or -1 if it doesn't close."""
+        page, n, out = self.page, len(self.page), {}
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            at = m.end()
+            if m[2] is not None:
+                quote = page[at : at + 1]
+                if quote in ("'", '"') and quote:
+                    end = page.find(quote, at + 1)
+                    if end < 0:
+                        return out, -1
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    v = _VALUE.match(page, at)
+                    value, at = v[0], v.end()
+            else:
+                value = ""
+            if m[1]:
+                out.setdefault(m[1].lower(), _html.unescape(value) if "&" in value else value)
+            if at >= n:
+                return out, -1
+            if page[at] == ">":
+                return out, at + 1
+
+    def tokens(self):
+        """("text", text), ("start", name, attributes, closed) and ("end", name)."""
+        page, n, at, since = self.page, len(self.page), 0, 0
+        while True:
+            lt = page.find("<", at)
+            if lt < 0 or lt + 1 >= n:
+                break
+            c = page[lt + 1]
+            if c == "!" or c == "?" or (c == "/" and not page[lt + 2 : lt + 3].isalpha()):
+                if lt > since:
+                    yield "text", page[since:lt]
+                if page.startswith("<!--", lt):
+                    # <!--> and <!---> are whole
+                    end = lt + 5 if page.startswith("<!-->", lt) else page.find("-->", lt + 4) + 3
+                    at = n if end < lt + 5 else end
+                else:
+                    end = page.find(">", lt + 2)
+                    at = n if end < 0 else end + 1
+                since = at
+                continue
+            m = _NAME.match(page, lt + 2 if c == "/" else lt + 1)
+            if m is None or not m[0][0].isascii():
+                at = lt + 1
+                continue
+            attributes, end = self._attributes(m.end()) if self.quotes else ({}, -1)
+            if end < 0:  # from here on a tag ends at the next >
+                self.quotes = False
+                end = page.find(">", m.end()) + 1
+                if not end:
+                    break
+            if lt > since:
+                yield "text", page[since:lt]
+            name = m[0].lower()
+            at = since = end
+            if c == "/":
+                yield "end", name
+                continue
+            closed = page[end - 2] == "/"
+            yield "start", name, attributes, closed
+            if name in RAW and not closed:
+                # the content ends at the first end tag of the same name
+                stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                at = since = stop.end() if stop else n
+        if since < n:
+            yield "text", page[since:]
+
+
+def blocks(page: str) -> list[Found]:
+    """The blocks of a page that have text."""
+    out: list[Found] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each one is outside the main text
-    n_out = n_article = n_link = 0
-    heading = False
-    raw = ""
+    # open elements: name, whether out, scope, whether a link, whether still open; and the places of each name
+    stack: list[list] = []
+    places: dict[str, list[int]] = defaultdict(list)
+    n_out = n_article = n_main = n_link = 0
+    kind = ""
 
     def flush() -> None:
         nonlocal linked
         if text:
             body = _SPACE.sub(" ", "".join(text)).strip()
             if body:
-                out.append((body, linked, n_out > 0, n_article > 0, heading))
+                heading = len(kind) == 2 and kind[0] == "h" and kind[1] in "123456"
+                out.append(Found(body, linked, n_out > 0, 2 if n_article else 1 if n_main else 0, heading, bool(places["li"]), kind == "p"))
             text.clear()
         linked = 0
 
-    def data(s: str) -> None:
-        nonlocal linked
-        if s and not raw:
+    def close(element: list) -> None:
+        nonlocal n_out, n_article, n_main, n_link
+        if element[2]:
+            n_out -= element[1]
+            n_article -= element[0] == "article"
+            n_main -= element[0] == "main"
+            n_link -= element[0] == "a"
+            element[2] = False
+
+    def pop_to(k: int) -> None:
+        while len(stack) > k:
+            element = stack.pop()
+            places[element[0]].pop()
+            close(element)
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=-1)
+
+    for token in Scanner(page).tokens():
+        if token[0] == "text":
+            s = token[1]
             s = _html.unescape(s) if "&" in s else s
             text.append(s)
             if n_link:
                 linked += len(s)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
             continue
-        data(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None or raw:
-            if raw and name is not None and m[1] and name.lower() == raw:
-                raw = ""
-            continue
-        name = name.lower()
+        name = token[1]
         block = name not in INLINE and name not in RAW
         if block:
             flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for tag, was_out in stack[k:]:
-                        n_out -= was_out
-                        n_article -= tag in ("article", "main")
-                        n_link -= tag == "a"
-                    del stack[k:]
-                    break
+        if token[0] == "end":
+            if places[name]:
+                k = places[name][-1]
+                if block:
+                    pop_to(k)
+                elif len(stack) - k <= 32 and all(x[0] in INLINE for x in stack[k:]):
+                    pop_to(k)
+                else:  # an inline element ends while a block in it stays open
+                    close(stack[k])
             if block:
-                heading = False
+                kind = stack[-1][0] if stack else ""
             continue
-        if name in RAW:
-            if name == "head":
-                continue  # its text elements are raw by themselves
-            if not m[3].endswith("/"):
-                # the content ends at the first end tag of the same name
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if name in VOID:
+        attributes, closed = token[2], token[3]
+        if name in RAW or name in VOID:
+            if name == "hr":
+                pop_to(last(("p",)) if last(("p",)) > last(_AROUND_P) else len(stack))
             continue
-        main = name in ("html", "body", "article", "main")
-        is_out = not main and (name in OUT or (name == "header" and not n_article) or _hinted(m[3]))
+        if name in IMPLIED:
+            own, around = IMPLIED[name]
+            k = min((places[x][-1] for x in own if places[x] and places[x][-1] > last(around)), default=-1)
+            if k >= 0:
+                pop_to(k)
+        if block and (k := last(("p",))) > last(_AROUND_P):
+            pop_to(k)
         if name == "a" and n_link:  # links don't nest
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "a":
-                    n_link -= 1
-                    n_out -= stack[k][1]
-                    del stack[k]
-                    break
-        stack.append((name, is_out))
+            close(stack[places["a"][-1]])
+        main = name in ("html", "body", "article", "main")
+        is_out = (main and "hidden" in attributes) or (name == "article" and _placed_out(attributes, True)) or (not main and (name in OUT or (name == "header" and not n_article) or _placed_out(attributes, n_article > 0)))
+        if closed and name in ("svg", "math"):
+            continue
+        places[name].append(len(stack))
+        stack.append([name, is_out, True])
         n_out += is_out
-        n_article += name in ("article", "main")
+        n_article += name == "article"
+        n_main += name == "main"
         n_link += name == "a"
         if block:
-            heading = len(name) == 2 and name[0] == "h" and name[1] in "123456"
-    data(page[at:])
+            kind = name
     flush()
     return out
 
 
-def _first_pass(body: str, linked: int, outside: bool, article: bool, any_article: bool) -> int:
-    if outside or (any_article and not article):
+def _stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?") in _STOP for w in words) / len(words)
+
+
+def _first_pass(block: Found, scope: int) -> int:
+    if block.out or block.scope < scope:
         return BAD
-    n = len(body)
-    words = body.lower().split()
-    stop = sum(w.strip(".,;:!?") in _STOP for w in words) / len(words)
-    if linked > LINKS * n:
-        return BAD if not article or stop < SPARSE else OPEN
+    n, stop = len(block.text), _stop_density(block.text)
+    if block.linked > LINKS * n:
+        return BAD if not scope or block.listed else OPEN
     if n < SHORT:
         return OPEN
     if stop >= DENSE:
-        return GOOD if n > LONG or article else OPEN
-    if article:
+        return GOOD if n > LONG or scope else OPEN
+    if scope:
         return GOOD if stop >= SPARSE else OPEN
     return OPEN if stop >= SPARSE else BAD
 
@@ -160,10 +287,15 @@ def _first_pass(body: str, linked: int, outside: bool, article: bool, any_articl
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for null, and where no block is main text."""
     found = blocks(page or "")
-    any_article = any(a and not o for _, _, o, a, _ in found)
-    label = [_first_pass(b, k, o, a, any_article) for b, k, o, a, _ in found]
-    # a part outside the article says nothing about what is in it
-    decided = [i for i, x in enumerate(label) if x != OPEN and not (any_article and (found[i][2] or not found[i][3]))]
+    scope = max((b.scope for b in found if not b.out), default=0)
+    label = [_first_pass(b, scope) for b in found]
+    if not scope and GOOD not in label:
+        open_ = [i for i, x in enumerate(label) if x == OPEN]
+        likely = [i for i in open_ if found[i].paragraph or _stop_density(found[i].text) >= DENSE]
+        for i in likely or open_:
+            label[i] = GOOD
+    # in an article neither what is out of it nor a list of links says anything about the rest
+    decided = [i for i, x in enumerate(label) if x == GOOD or (x == BAD and not scope)]
     final = label[:]
     for i, x in enumerate(label):
         if x != OPEN:
@@ -171,16 +303,16 @@ def main_text(page: str | None) -> str:
         k = bisect_left(decided, i)
         before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
         if before is None and after is None:
-            final[i] = GOOD if any_article else BAD
+            final[i] = GOOD if scope else BAD
         elif before is None or after is None:
             final[i] = label[before if after is None else after]
         elif label[before] == label[after]:
             final[i] = label[before]
-        elif found[i][4]:  # a heading belongs to what follows
+        elif found[i].heading:  # a heading belongs to what follows
             final[i] = label[after]
         else:
             final[i] = label[before] if i - before < after - i else label[after] if after - i < i - before else BAD
-    return " ".join(b for (b, *_), x in zip(found, final, strict=True) if x == GOOD)
+    return " ".join(b.text for b, x in zip(found, final, strict=True) if x == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
