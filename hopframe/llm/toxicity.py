@@ -1,15 +1,20 @@
-"""Toxicity: noisy-channel restoration of disguised words, then a learned lexicon over the restored text.
-
-A character language model counts trigrams over all documents. Words that look disguised (digits or signs among
-letters, letters set apart, letters drawn out) span a lattice of the letters each character may stand for; Viterbi
-decoding under the language model picks the reading. A lexicon of words and word beginnings with the share of toxic
-documents among those that hold them is learned from labelled rows, and a document's score is the largest share of its
-entries, raised a little by their number.
+"""Toxicity: noisy-channel restoration of disguised words, then learned evidence in the restored text.
+
+1. A character language model counts trigrams over all documents.
+2. Words that look disguised (digits, signs or letters of other scripts among letters, letters set apart, letters drawn
+   out, full-width forms) span a lattice of the letters each character may stand for; Viterbi decoding under the
+   language model picks the reading.
+3. Labelled texts are restored so, and every word and word beginning gets its log-odds of toxic against other texts,
+   less 1.28 standard errors; what is left above zero is evidence. The trigrams of words with strong evidence then join the
+   language model with OWN_SHARE of its weight, for scoring.
+4. A text's strongest evidence, the sum of its words' evidence and its number of distinct words go through a logistic
+   function, fitted on the labelled texts with evidence learned from the other half of them.
 
 Only rows whose crc32(doc_id) mod 4 is not 2 teach labels, at most TRAIN_ROWS of them, those with the smallest hash.
-Nothing but the text goes into a score. Null and empty texts get the score of a text without entries. Repeated rows
-score alike; a document with several labels counts as toxic if any of them says so. Without any toxic label every
-score is the prior. An empty table gives no rows. Other columns are not carried.
+Nothing but the text goes into a score. Null and empty texts score as texts without evidence. Repeated rows score
+alike; of several texts under a labelled id the one with the least hash teaches; a document with several labels counts
+as toxic if any of them says so. Without any toxic label every score is 0, without any other label 1. An empty table
+gives no rows. Other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -18,16 +23,18 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import table
+from hopframe.llm.common import checkpointed, table, tidied
 
 THRESHOLD = 0.3
-#: Labelled rows the lexicon is learned from, at most; entries it keeps, at most; documents an entry needs.
-TRAIN_ROWS, MOST_ENTRIES, SUPPORT = 20_000, 20_000, 4
-#: The least share, at the lower end of its interval, that makes an entry.
-LEAST_SHARE = 0.65
+#: Labelled rows that teach, at most; toxic texts that an entry needs; standard errors taken off its log-odds.
+TRAIN_ROWS, SUPPORT, ERRORS = 20_000, 3, 1.28
+#: Weight of the words with strong evidence in the language model, as a share of the corpus's, and what is strong.
+OWN_SHARE, STRONG = 0.3, 2.0
+#: Lengths of the word beginnings that are entries.
+BEGINNINGS = (4, 5, 6, 7)
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿß"
 SIZE = len(LETTERS) + 1
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -36,17 +43,23 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "%": "o", "*": "aeiou", "?": "aeiou",
 }
-_SIGNS = re.escape("".join(LEET))
+#: Letters of other scripts that look like Latin ones.
+ALIKE = dict(zip("асеіјорѕухкмнтвгԁһӏαβγεικνορτυχω", ["a", "c", "e", "i", "j", "o", "p", "s", "y", "x", "k", "m", "hn", "t", "bv", "r", "d", "h", "l", "a", "b", "y", "e", "i", "k", "nv", "o", "p", "t", "u", "x", "w"], strict=True))
+READ = LEET | ALIKE
+_SIGNS, _ALIKE = re.escape("".join(LEET)), "".join(ALIKE)
 _L = "a-zß-öø-ÿœ"
 _WORD = re.compile(f"[{_L}]+")
-#: Letters or signs set apart by single separators; signs among letters; a letter drawn out.
-_APART = re.compile(rf"(?<![{_L}{_SIGNS}])(?:[{_L}{_SIGNS}][ ._\-*~'/,]){{3,}}[{_L}{_SIGNS}](?![{_L}{_SIGNS}])")
-_MIXED = re.compile(rf"[{_L}][{_SIGNS}._\-~^'/]+[{_L}]|[{_SIGNS}][{_L}]|[{_L}]{{2}}[013457@$](?![{_SIGNS}])|([{_L}])\1\1")
+#: Letters or signs set apart by single separators; signs or foreign letters among letters; a letter drawn out.
+_APART = re.compile(rf"(?<![{_L}{_SIGNS}])(?:[{_L}{_SIGNS}][ ._\-*~'/,]){{2,}}[{_L}{_SIGNS}](?![{_L}{_SIGNS}])")
+_MIXED = re.compile(rf"[{_L}][{_SIGNS}._\-~^'/]+[{_L}]|[{_SIGNS}][{_L}]|[{_L}]{{2}}[013457@$](?![{_SIGNS}])|[{_L}][{_ALIKE}]|[{_ALIKE}][{_L}]|([{_L}])\1\1")
 _ENDS = ".,;:\"'()[]"
-_INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+#: Invisible characters go, full-width forms become the plain ones.
+_FOLD = dict.fromkeys(map(ord, "\xad\u200b\u200c\u200d\u2060\ufeff")) | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 #: Log costs: a sign read as a letter; a separator, a star or another sign passed over; a run shortened.
 _READ, _ONCE, _HALVED = math.log(0.3), math.log(0.5), math.log(0.05)
-_PASS = {"*": math.log(0.05)} | {c: math.log(0.002) for c in LEET if c not in "*%#?"}
+_PASS = {"*": math.log(0.05)} | {c: math.log(0.0005) for c in LEET if c not in "*%#?"} | dict.fromkeys(ALIKE, math.log(0.0005))
+#: Tokens whose evidence a worker keeps, and the longest of them.
+_KEPT, _KEPT_CHARS = 300_000, 40
 
 
 def trigram_index(text: str):
@@ -63,8 +76,8 @@ def trigram_index(text: str):
     return ((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:])[keep]
 
 
-def language_counts(docs: DataFrame) -> DataFrame:
-    """cell, n: how often each letter trigram occurs over all documents; at most SIZE cubed rows."""
+def language_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """cell, n: how often each letter trigram occurs over all texts; at most SIZE cubed rows."""
 
     def count(batches):
         import numpy as np
@@ -72,155 +85,267 @@ def language_counts(docs: DataFrame) -> DataFrame:
         total = np.zeros(SIZE**3, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                text = "\n".join(t or "" for t in b.column(0).slice(at, 500).to_pylist())
-                total += np.bincount(trigram_index(text), minlength=SIZE**3)
+                joined = "\n".join(t or "" for t in b.column(0).slice(at, 500).to_pylist())
+                total += np.bincount(trigram_index(joined), minlength=SIZE**3)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    return docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return texts.select(text).mapInArrow(tidied(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def collected(counts: DataFrame) -> dict[int, int]:
+    return {r["cell"]: r["n"] for r in counts.collect()}
 
 
 class Restorer:
-    """Viterbi decoding of disguised words under a character trigram model."""
+    """Viterbi decoding of disguised words under a character trigram model.
+
+    counts: trigrams of the corpus; own: trigrams that get OWN_SHARE of the corpus's weight, so that rare words with
+    evidence can be read at all.
+    """
 
-    def __init__(self, counts: dict[int, int] | None, entries=()):
+    def __init__(self, counts: dict[int, int], own: dict[int, int] | None = None):
         import numpy as np
 
         total = np.full(SIZE**3, 0.01)
-        for k, n in (counts or {}).items():
+        for k, n in counts.items():
             total[k] += n
-        # learned words weigh a tenth of the corpus, so that rare words can be read at all
-        if entries and total.sum() > 0:
-            own = np.zeros(SIZE**3)
-            for w in entries:
-                np.add.at(own, trigram_index(w), 1.0)
-            total += own * (0.1 * total.sum() / max(1.0, own.sum()))
+        weight = OWN_SHARE * total.sum() / max(1, sum((own or {}).values()))
+        for k, n in (own or {}).items():
+            total[k] += weight * n
         cube = total.reshape(SIZE, SIZE, SIZE)
         self.log = np.log(cube / cube.sum(axis=2, keepdims=True)).tolist()
         self.cache: dict[str, str] = {}
 
-    def decode(self, token: str) -> str:
-        """The likeliest letters behind a token."""
-        if token in self.cache:
-            return self.cache[token]
-        log = self.log
-        # state: the last two letters; value: score and letters so far
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
-        for ch, n in runs:
+    @staticmethod
+    def lattice(token: str) -> list[list[tuple[str, float]]]:
+        """For each run of one character the readings it has and the log of each one's likelihood."""
+        out = []
+        for m in re.finditer(r"(.)\1*", token, re.S):
+            ch, n = m[1], len(m[0])
             options: list[tuple[str, float]] = []
-            for read, cost in ([(ch, 0.0)] if ch in _CODE else [(x, _READ) for x in LEET.get(ch, "")]):
+            for read, cost in [(ch, 0.0)] if ch in _CODE else [(x, _READ) for x in READ.get(ch, "")]:
                 if n == 1:
                     options.append((read, cost))
                 else:  # drawn out: once or twice
                     options += [(read, cost + (_HALVED if n == 2 else _ONCE)), (read * 2, cost + (0.0 if n == 2 else _ONCE))]
             if ch not in _CODE:
                 options.append(("", _PASS.get(ch, 0.0)))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in beam.items():
+            out.append(options)
+        return out
+
+    def decode(self, token: str) -> str:
+        """The likeliest letters behind a token."""
+        if token in self.cache:
+            return self.cache[token]
+        log = self.log
+        # state: the last two letters; value: score and the readings so far, as a chain
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in self.lattice(token):
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in beam.items():
                 for read, cost in options:
                     s, x, y = score + cost, a, b
                     for c in read:
                         z = _CODE[c]
                         s, x, y = s + log[x][y][z], y, z
                     if (x, y) not in new or new[x, y][0] < s:
-                        new[x, y] = (s, text + read)
+                        new[x, y] = (s, (path, read) if read else path)
             beam = new
-        best = max(((s + log[a][b][0], t) for (a, b), (s, t) in beam.items()), default=(0.0, ""))[1]
-        if len(self.cache) > 200_000:
-            self.cache.clear()
-        self.cache[token] = best
+        path, parts = max(((s + log[a][b][0], p) for (a, b), (s, p) in beam.items()), key=lambda x: x[0])[1], []
+        while path is not None:
+            path, read = path
+            parts.append(read)
+        best = "".join(reversed(parts))
+        if len(token) <= _KEPT_CHARS:
+            if len(self.cache) > 200_000:
+                self.cache.clear()
+            self.cache[token] = best
         return best
 
-    def words(self, text: str | None) -> tuple[set[str], list[str]]:
-        """The plain and restored words of a text, and the letters restored from those set apart."""
-        if not text:
-            return set(), []
-        if not text.isascii():
-            text = text.translate(_INVISIBLE)
-        text = text.lower()
-        found = set(_WORD.findall(text))
-        for token in set(text.split()):
-            token = token.strip(_ENDS)
-            if len(token) <= 64 and _MIXED.search(token):
-                found.add(self.decode(token))
-        apart = []
-        for m in {m[0] for m in _APART.finditer(text)}:
-            letters = m[::2]
-            if len(set(letters)) > 2:
-                apart.append(self.decode(letters))
-        return found, apart
-
-
-def features(words: set[str]) -> set[str]:
-    return words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
-
-
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], float]:
-    """The lexicon, entry to share of toxic documents, and the share among documents without entries."""
+    def token_words(self, token: str) -> list[str]:
+        """The plain and restored words in a token of a lower-case text without white space."""
+        found = _WORD.findall(token)
+        token = token.strip(_ENDS)
+        if _MIXED.search(token):
+            found.append(self.decode(token))
+        return found
+
+    def apart(self, text: str) -> set[str]:
+        """What letters set apart in a lower-case text spell."""
+        return {self.decode(m) for m in {m[0][::2] for m in _APART.finditer(text)} if len(set(m)) > 2}
+
+    def words(self, text: str | None) -> set[str]:
+        """The plain and restored words of a text, those of letters set apart included."""
+        text = folded(text)
+        return {w for token in set(text.split()) for w in self.token_words(token) if w} | self.apart(text)
+
+
+def folded(text: str | None) -> str:
+    """A text in lower case, without invisible characters and full-width forms."""
+    text = text or ""
+    return (text if text.isascii() else text.translate(_FOLD)).lower()
+
+
+def entries(word: str) -> list[str]:
+    """The word and its beginnings, as entries."""
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+
+
+def evidence_of(word: str, lexicon: dict[str, float]) -> float:
+    return max((lexicon[x] for x in entries(word) if x in lexicon), default=0.0)
+
+
+def summary(evidence, words: int) -> tuple[float, float, float]:
+    """Strongest evidence, log of all evidence, log of the number of distinct words."""
+    return max(evidence, default=0.0), math.log1p(sum(evidence)), math.log1p(words)
+
+
+def _shrunk(t: Column, n: Column, toxic: float, all_: float) -> Column:
+    """Log-odds of an entry in toxic against other texts, less some standard errors; 0 for little support."""
+    c = n - t
+    odds = F.log((t + 0.5) / (toxic - t + 0.5)) - F.log((c + 0.5) / (all_ - toxic - c + 0.5))
+    error = F.sqrt(1 / (t + 0.5) + 1 / (toxic - t + 0.5) + 1 / (c + 0.5) + 1 / (all_ - toxic - c + 0.5))
+    return F.when(t >= SUPPORT, F.greatest(odds - ERRORS * error, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def fitted(rows: list[tuple[float, ...]], toxic: list[int]) -> list[float]:
+    """Weights of a logistic function (the constant last), by Newton's method with a little shrinkage."""
+    import numpy as np
+
+    x = np.hstack([np.array(rows, float), np.ones((len(rows), 1))])
+    y, w = np.array(toxic, float), np.zeros(x.shape[1])
+    keep = np.diag([1e-3 * len(rows)] * (x.shape[1] - 1) + [1e-9])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep + 1e-9 * np.eye(len(w)), x.T @ (y - p) - keep @ w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w.tolist()
+
+
+class Model:
+    """What scoring needs: the corpus's trigrams, those of words with evidence, the evidence, the logistic weights."""
+
+    def __init__(self, counts: dict[int, int], own: dict[int, int], lexicon: dict[str, float], weights: list[float] | None, prior: float):
+        self.counts, self.own, self.lexicon, self.weights, self.prior = counts, own, lexicon, weights, prior
+
+    def score(self, evidence, words: int) -> float:
+        if self.weights is None:
+            return self.prior
+        z = sum(a * b for a, b in zip(self.weights, (*summary(evidence, words), 1.0), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    counts = collected(language_counts(docs))
     train = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most TRAIN_ROWS rows
-    taught = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").dropDuplicates(["doc_id"])
+    taught = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("_t"))
+    taught = taught.select(F.col("_t.text").alias("text"), (F.col("_t.toxic") == 1).cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
+    sc = docs.sparkSession.sparkContext
+    model = sc.broadcast(counts)  # SIZE cubed counts at most
 
-    def held(batches):
-        restore = Restorer(None)
+    def restored(batches):
+        restore = Restorer(model.value)
         for b in batches:
-            word, toxic = [], []
-            for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                f = features(restore.words(text)[0]) | {""}
-                word += f
-                toxic += [int(t == 1)] * len(f)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(toxic, pa.int32())], ["word", "toxic"])
-
-    counts = taught.select("text", "toxic").mapInArrow(held, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    all_ = counts.filter("word = ''").first()
-    if not all_ or not all_["t"]:
-        return {}, 0.0
-    prior = all_["t"] / all_["n"]
-    # the lower end of the Wilson interval for the share of toxic documents
-    t, n, z = F.col("t"), F.col("n"), 1.64
-    share = (t / n + z * z / (2 * n) - z * F.sqrt((t / n * (1 - t / n) + z * z / (4 * n)) / n)) / (1 + z * z / n)
-    kept = counts.filter((F.col("word") != "") & (t >= SUPPORT) & (share >= LEAST_SHARE)).select("word", share.alias("p"), "t")
-    found = kept.orderBy(F.desc("t"), "word").limit(MOST_ENTRIES).collect()
-    return {r["word"]: r["p"] for r in found}, prior
-
-
-def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                words = [sorted(restore.words(t)) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), part.column(1), part.column(2)], ["words", "toxic", "half"])
+
+    taught = checkpointed(taught.repartition(4 * sc.defaultParallelism).mapInArrow(tidied(restored), "words array<string>, toxic int, half int"))
+    totals = {r["half"]: (r["t"], r["n"]) for r in taught.groupBy("half").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()}
+    (t0, n0), (t1, n1) = totals.get(0, (0, 0)), totals.get(1, (0, 0))
+    if not 0 < t0 + t1 < n0 + n1:
+        return Model(counts, {}, {}, None, 1.0 if t0 + t1 else 0.0)
+
+    def listed(batches):
+        for b in batches:
+            words, entry = b.column(0).to_pylist(), []
+            for ws in words:
+                entry.append(list({e for w in ws for e in entries(w)}))
+            yield pa.RecordBatch.from_arrays([pa.array(entry, pa.list_(pa.string())), b.column(1), b.column(2)], ["entries", "toxic", "half"])
+
+    held = taught.mapInArrow(tidied(listed), "entries array<string>, toxic int, half int").select(F.explode("entries").alias("entry"), "toxic", "half")
+    in_half = lambda c, h: F.sum(F.when(F.col("half") == h, c).otherwise(F.lit(0)))
+    found = held.groupBy("entry").agg(in_half(F.col("toxic"), 0).alias("ta"), in_half(F.lit(1), 0).alias("na"), in_half(F.col("toxic"), 1).alias("tb"), in_half(F.lit(1), 1).alias("nb"))
+    ta, na, tb, nb = (F.col(c) for c in ("ta", "na", "tb", "nb"))
+    found = found.select("entry", _shrunk(ta + tb, na + nb, t0 + t1, n0 + n1).alias("all"), _shrunk(ta, na, t0, n0).alias("a"), _shrunk(tb, nb, t1, n1).alias("b"))
+    # entries that stand out in at most TRAIN_ROWS texts
+    rows_ = found.filter("all > 0 OR a > 0 OR b > 0").collect()
+    lexicon, halves = {r["entry"]: r["all"] for r in rows_ if r["all"] > 0}, [{r["entry"]: r[c] for r in rows_ if r[c] > 0} for c in ("b", "a")]
+    learned = sc.broadcast((lexicon, halves))
+
+    def summed(batches):
+        lexicon, halves = learned.value
+        for b in batches:
+            out, hot = [], []
+            for ws, half in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                out.append(summary([e for w in ws if (e := evidence_of(w, halves[half]))], len(ws)))
+                hot.append("\n".join(w for w in ws if evidence_of(w, lexicon) >= STRONG))
+            yield pa.RecordBatch.from_arrays([*(pa.array([o[k] for o in out], pa.float64()) for k in range(3)), b.column(1), pa.array(hot, pa.string())], ["x", "y", "z", "toxic", "hot"])
 
+    taught = checkpointed(taught.mapInArrow(tidied(summed), "x double, y double, z double, toxic int, hot string"))
+    rows_ = taught.select("x", "y", "z", "toxic").collect()  # four numbers for each of at most TRAIN_ROWS texts
+    weights = fitted([(r["x"], r["y"], r["z"]) for r in rows_], [r["toxic"] for r in rows_])
+    return Model(counts, collected(language_counts(taught, "hot")), lexicon, weights, (t0 + t1) / (n0 + n1))
 
-def score(docs: DataFrame, lexicon: dict[str, float], prior: float, counts: dict[int, int]) -> DataFrame:
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    sc = docs.sparkSession.sparkContext
-    # bounded: SIZE cubed counts and MOST_ENTRIES entries
-    model = sc.broadcast((lexicon, prior, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE cubed counts and the entries of learn()
 
     def run(batches):
-        lexicon, prior, counts = model.value
-        restore = Restorer(counts, [w.rstrip("*") for w in lexicon])
-        whole = [w for w in lexicon if len(w) >= 4 and w[-1] != "*"]
-        starts = frozenset(w for w in lexicon if w.endswith("*"))
+        model = shared.value
+        restore, lexicon = Restorer(model.counts, model.own), model.lexicon
+        known: dict[str, tuple] = {}  # the words with evidence in a token
+
+        def evidence(words):
+            return tuple((w, e) for w in words if (e := evidence_of(w, lexicon)))
+
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part, out = b.slice(at, 1000), []
+                if len(known) > _KEPT:
+                    known.clear()
                 for text in part.column(1).to_pylist():
-                    words, apart = restore.words(text)
-                    hits = lexicon.keys() & words
-                    if starts:
-                        hits |= starts & {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
-                    hits |= {w for letters in apart for w in whole if w in letters}
-                    # entries overlap, so the strongest decides and the others only order texts
-                    best = max(map(lexicon.__getitem__, hits), default=0.3 * prior)
-                    out.append(best + (1 - best) * 0.5 * (1 - 1 / max(1, len(hits))))
+                    text = folded(text)
+                    tokens = set(text.split())
+                    hits: dict[str, float] = {}
+                    for token in tokens:
+                        found = known.get(token)
+                        if found is None:
+                            found = evidence(restore.token_words(token))
+                            if len(token) <= _KEPT_CHARS:
+                                known[token] = found
+                        if found:
+                            hits.update(found)
+                    apart = restore.apart(text)
+                    if apart:
+                        hits.update(evidence(apart))
+                        hits.update((w, e) for x in apart for w, e in inside(x, lexicon))
+                    out.append(model.score(hits.values(), len(tokens)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.float64()), pa.array([int(x >= THRESHOLD) for x in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def inside(letters: str, lexicon: dict[str, float]):
+    """Whole words of the lexicon within a chain of letters, of which nobody knows where its words part."""
+    for start in range(len(letters)):
+        for end in range(start + 4, min(len(letters), start + 24) + 1):
+            if (e := lexicon.get(letters[start:end])) is not None:
+                yield letters[start:end], e
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    lexicon, prior = learn(docs, labels)
-    counts = {r["cell"]: r["n"] for r in language_counts(docs).collect()}
-    return score(docs, lexicon, prior, counts)
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
