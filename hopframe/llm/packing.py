@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import table
+from hopframe.llm.common import table, tidied
 from hopframe.llm.token_files import vocabulary
 
 SIZE = 1024
@@ -81,28 +81,26 @@ def pieces(docs: DataFrame, vocabulary_path: str, end_id: int, size: int = SIZE,
 
         from hopframe.llm.token_cache import tokenizer
 
-        tok, end = tokenizer(vocabulary_path, word_spaces), np.array([end_id], "<u4").tobytes()
+        tok = tokenizer(vocabulary_path, word_spaces)
         for batch in batches:
             seen: Counter = Counter()
-            for at in range(0, batch.num_rows, 1000):
-                part, out, own = batch.slice(at, 1000), [], []
-                for doc, raw in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):
-                    raw += end
-                    n, copy = len(raw) // 4, seen[doc]
+            for first, ids, offsets in tok.encode(batch.column(1), end_id):
+                docs_, data, out = batch.column(0).slice(first, len(offsets) - 1).to_pylist(), ids.view(np.uint8), []
+                for doc, s, e in zip(docs_, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    copy = seen[doc]
                     seen[doc] += 1
-                    for s in range(0, n, size):
-                        piece = raw[4 * s : 4 * (s + size)]
-                        out.append((doc, copy, s, len(piece) // 4, zlib.crc32(piece), n))
-                        if with_ids:
-                            own.append(np.frombuffer(piece, "<i4"))
+                    for at in range(s, e, size):
+                        to = min(at + size, e)
+                        out.append((doc, copy, at - s, to - at, zlib.crc32(data[4 * at : 4 * to]), e - s))
                 cols = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
                 names = ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    cols, names = [*cols, pa.array(own, pa.list_(pa.int32()))], [*names, "ids"]
+                    cuts = np.append(0, np.cumsum([x[3] for x in out])).astype(np.int32)
+                    cols, names = [*cols, pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.view("<i4")))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(tidied(cut), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def pack(cut: DataFrame, n_docs: int, size: int = SIZE, docs_per_group: int = DOCS_PER_GROUP, seed: int = 17) -> DataFrame:

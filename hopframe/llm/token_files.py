@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import partitions_for, shared_folder, table
+from hopframe.llm.common import partitions_for, shared_folder, table, tidied
 
 SCHEMA = "chunk int, row int, doc_id long, n_tokens int, ids array<int>"
 #: Documents a file holds, about.
-ROWS_PER_FILE = 20_000
+ROWS_PER_FILE = 10_000
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
 
@@ -43,15 +43,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
         from hopframe.llm.token_cache import tokenizer
 
         chunk, row, tok = TaskContext.get().partitionId(), 0, tokenizer(vocabulary_path, word_spaces)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                raw = [x + end for x in tok.encode(part.column(1).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in raw], np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int32)), part.column(0), pa.array(sizes), ids], ["chunk", "row", "doc_id", "n_tokens", "ids"])
+            for first, raw, offsets in tok.encode(batch.column(1), end_id):
+                n, sizes = len(offsets) - 1, np.diff(offsets).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(raw.view("<i4")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int32)), batch.column(0).slice(first, n), pa.array(sizes), ids], ["chunk", "row", "doc_id", "n_tokens", "ids"])
                 row += n
 
     spark = docs.sparkSession
@@ -59,7 +55,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     n = partitions_for(spark, docs.count(), rows_per_file)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed.mapInArrow(encoded, SCHEMA).write.options(**OPTIONS).orc(path)
+    placed.mapInArrow(tidied(encoded), SCHEMA).write.options(**OPTIONS).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +74,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     # one row a file
     totals = files.groupBy("chunk").agg(F.sum("n_tokens").alias("_n")).select("chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = files.select("chunk", "row", "doc_id", "ids").mapInArrow(summed, "chunk int, row int, doc_id long, n_tokens long, ids_crc32 long")
+    rows = files.select("chunk", "row", "doc_id", "ids").mapInArrow(tidied(summed), "chunk int, row int, doc_id long, n_tokens long, ids_crc32 long")
     inside = Window.partitionBy("chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return rows.join(F.broadcast(totals), "chunk").select("doc_id", (F.col("_inside") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
