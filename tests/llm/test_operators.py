@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,13 +194,18 @@ def test_cached_tokens(rows, name, word_spaces, monkeypatch):
 
     from hopframe.llm import token_cache
 
-    texts = [r[1] for r in rows] + ["  a  b\n\n c ", "don't 's 'tis a's.b's", "x \x1f y\x85z", "é a .́b", "<|endoftext|> a", "日本 語。x ,  .", "\ta\t b", "a\xa0 b ß.ÀÉ,x²½", "Σας ΣΑΣ İx"]
+    texts = [r[1] for r in rows] + ["  a  b\n\n c ", "don't 's 'tis a's.b's", "x \x1f y\x85z", "é a .́b", "<|endoftext|> a", "日本 語。x ,  .", "\ta\t b", "a\xa0 b ß.ÀÉ,x²½", "Σας ΣΑΣ İx", ". a", "a\n. b", "a. . b", "5., b", "a., b.", "x!, y", "a  , b", ",", ", ", "..., . .\n, a", "'s, 5. 5.\n7. b", "\x01, a", "caf\u00e9, na\u00efve. \u00e0 \u00c0. e\u0301, I\u0307."]
     tok = Tokenizer.from_file(token_files.vocabulary(name))
     tok.encode_special_tokens = True
     want = [b"".join(x.to_bytes(4, "little") for x in tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
-    for most in (token_cache.CACHE_SIZE, 10):
-        monkeypatch.setattr(token_cache, "CACHE_SIZE", most)
-        assert token_cache.CachedTokenizer(token_files.vocabulary(name), word_spaces).encode(texts) == want
+    for most in (token_cache.BATCH_CHARS, 300, 1):
+        monkeypatch.setattr(token_cache, "BATCH_CHARS", most)
+        monkeypatch.setattr(token_cache, "PART_CHARS", most // 2 or 1)
+        cached, got = token_cache.CachedTokenizer(token_files.vocabulary(name), word_spaces), []
+        for first, ids, at in cached.encode(pa.array(texts)):
+            assert first == len(got)
+            got += [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == want
 
 
 def test_token_files(spark, docs, rows, odd, none, tmp_path):
@@ -242,6 +248,93 @@ def test_html(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><h1>Title</h1><p>See the <a>long link</a> here.</p><ul><li><a>one</a></li><li><a>two</a></li></ul></article>", "Title See the long link here."),
+        ("<div><p>Short one here.</p><p>And short two.</p></div>", "Short one here. And short two."),
+        (article("<p>a<p class='share-price'>b</p><div class=legal-history>c</div><div class='post-comments'>d</div>e"), "a b c e"),
+        (article("<p class=notice>x<p>y"), "y"), ("<p>1 <2 x</p>", "1 <2 x"), ('<p title="a>b">c</p>', "c"), ("a < b and <c", "a < b and <c"),
+        (article("<ul><li class=ad>x<li>y</ul><table><tr><td hidden>x<td>z</table>"), "y z"), (article("<b>b<i>c</b>d</i>"), "bcd"), (article("<svg><text>x</text></svg><p>y"), "y"),
+    ],
+)
+def test_html_keeps_and_drops(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_html_scanner_agrees_with_the_parser():
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.out = []
+
+        def handle_starttag(self, tag, attrs):
+            self.out.append(("start", tag, {k: v or "" for k, v in attrs}))
+
+        def handle_endtag(self, tag):
+            self.out.append(("end", tag))
+
+        def handle_data(self, data):
+            if self.out and self.out[-1][0] == "text":
+                self.out[-1] = ("text", self.out[-1][1] + data)
+            else:
+                self.out.append(("text", data))
+
+    rng = random.Random(8)
+
+    def inside(depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            name = rng.choice(["p", "div", "span", "b", "ul", "section", "h2"])
+            attrs = "".join(rng.choice([" class='x y'", ' id="a>b"', " data-x=1", " hidden", ' title="it\'s <b>"']) for _ in range(rng.randint(0, 2)))
+            out += rng.choice(["text & more ", "<!-- <p>no</p> -->", "<br>", "<script>if (a < b) { '</p>' }</script>", f"<{name}{attrs}>{inside(depth - 1) if depth else 'x'}</{name}>"])
+        return out
+
+    for _ in range(300):
+        page = "<!DOCTYPE html>" + inside(4)
+        parser, want = Parser(), []
+        parser.feed(page)
+        parser.close()
+        skip = False
+        for t in parser.out:  # the scanner passes over the content and the end of raw elements
+            if skip:
+                skip = t != ("end", "script")
+                continue
+            want.append(t)
+            skip = t[:2] == ("start", "script")
+        got = [t[:3] for t in html_extract.Scanner(page).tokens()]
+        joined = []
+        for t in got:
+            if joined and t[0] == joined[-1][0] == "text":
+                joined[-1] = ("text", joined[-1][1] + t[1])
+            else:
+                joined.append(t)
+        assert joined == [t for t in want if t != ("text", "")]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a b ", '<a b="', '<a b=">', "<a b='\">", "<div><p>", "<b><p></b>", "<li>", "</div", "<!--", "<script>", "<a href=x><li>"])
+def test_html_is_linear(unit):
+    import time
+
+    took = []
+    for n in (10_000, 80_000):
+        began = time.process_time()
+        html_extract.main_text(unit * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_html_density_rules_alone(monkeypatch):
+    """Without any hint of place, what the rules make of a page in plain divs."""
+    monkeypatch.setattr(html_extract, "HINTS", set())
+    monkeypatch.setattr(html_extract, "OUT", set())
+    long_ = "This is the text of the page and it is long enough to be of use to all of us. "
+    page = "<div><a href=a>Home</a> <a href=b>About</a></div>" + f"<div>{long_ * 3}</div><div>A short one.</div><div>{long_ * 4}</div>" + "<div><a href=c>Terms</a> | <a href=d>Privacy</a></div><div>Copyright 2020</div>"
+    assert html_extract.main_text(page) == (long_ * 3).strip() + " A short one. " + (long_ * 4).strip()
+
+
 def test_html_table(spark):
     rows = [(1, None, None), (1, "u", article("<p>é</p>")), (None, "u", "<p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -305,7 +398,7 @@ def test_hamming_search(spark):
 
 
 def test_mixing(docs, rows, odd, none):
-    got = {r["doc_id"]: r for r in mixing.mix(docs).withColumnRenamed("target", "goal").select("doc_id", "source", "source_size", "goal", "taken").collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(docs.withColumn("target", F.lit(1))).select("doc.doc_id", "source_size", F.col("target").alias("goal"), "taken").collect()}
     size = {r[0]: len(W.findall(r[1] or "")) for r in rows}
     total = Counter()
     for r in rows:
@@ -411,14 +504,60 @@ def test_toxicity(spark):
     rows += [(1000 + k, " ".join([*(rng.choice(plain) for _ in range(20)), x, "river"])) for k, x in enumerate(hidden)] + [(2000, None), (2001, ""), (None, "stone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    lexicon, prior = toxicity.learn(docs, lab)
-    got = {r["doc_id"]: r for r in toxicity.score(docs, lexicon, prior, {r["cell"]: r["n"] for r in toxicity.language_counts(docs).collect()}).collect()}
+    model = toxicity.learn(docs, lab)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400))
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(400))
     assert [got[1000 + k]["predicted"] for k in range(len(hidden))] == [1] * len(hidden)
     assert got[2000]["predicted"] == got[2001]["predicted"] == got[None]["predicted"] == 0
-    assert toxicity.learn(docs, lab.limit(0)) == ({}, 0.0)
-    assert toxicity.score(docs.limit(0), lexicon, prior, {}).count() == 0
+    for labels_ in (lab.limit(0), lab.filter("toxic = 0")):
+        none_ = toxicity.learn(docs, labels_)
+        assert none_.weights is None and {r["score"] for r in toxicity.score(docs, none_).collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    # repeated rows, several texts and labels of one id, and other columns whatever their names
+    again = docs.union(docs).withColumn("toxic", F.lit("x")).withColumn("words", F.lit(1)).withColumn("half", F.lit(1))
+    model = toxicity.learn(again, lab.union(lab.withColumn("toxic", F.lit(0))))
+    twice = toxicity.score(again, model).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k"), F.max("predicted").alias("p")).collect()
+    assert all((r["n"], r["k"]) == (2, 1) for r in twice) and all(r["p"] == int(r["doc_id"] % 4 == 0) for r in twice if r["doc_id"] is not None and r["doc_id"] < 400)
+
+
+def test_viterbi_finds_the_best_reading():
+    from itertools import product
+
+    rng = random.Random(12)
+    counts = Counter()
+    for w in ["idiot", "moron", "river", "stone", "the", "garden", "motor", "idle", "trio"] * 5 + ["loop", "tool"]:
+        counts.update(toxicity.trigram_index(w).tolist())
+    restore = toxicity.Restorer(counts)
+    for _ in range(150):
+        token = "".join(rng.choice("idotmrn01@*!eе3") for _ in range(rng.randint(1, 8)))
+        best = None
+        for path in product(*restore.lattice(token)):
+            s, x, y, text = 0.0, 0, 0, ""
+            for read, cost in path:
+                s += cost
+                for c in read:
+                    z = toxicity._CODE[c]
+                    s, x, y = s + restore.log[x][y][z], y, z
+                text += read
+            s += restore.log[x][y][0]
+            if best is None or s > best[0] + 1e-9:
+                best, reads = (s, text), {text}
+            elif abs(s - best[0]) <= 1e-9:
+                reads.add(text)
+        assert restore.decode(token) in reads
+
+
+def test_disguises_of_any_length():
+    counts = Counter()
+    for w in ["idiot"] * 50 + ["river", "stone"] * 100:
+        counts.update(toxicity.trigram_index(w).tolist())
+    restore = toxicity.Restorer(counts)
+    for text in ("i" * 70 + "d1ot", "ｉｄｉｏｔ", "ｉｄ１ｏｔ", "іdiоt", "i d i o t", "i.d.i.o.t", "1d!ot", "i\u200bdiot", "IDIOOOOT"):
+        assert "idiot" in restore.words(text), text
+    assert "idiot" in "".join(restore.words("x-" * 20_000 + "1d1ot"))
+    assert restore.words("b a d")  # three letters set apart are read too
+    assert restore.words(None) == restore.words("") == set()
 
 
 def test_quality(docs, rows, odd, none):
