@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import checkpointed, partitions_for, table
+from hopframe.llm.common import checkpointed, partitions_for, table, tidied
 from hopframe.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -107,7 +107,7 @@ def described(docs: DataFrame) -> DataFrame:
             ["kind", "id", "th", "n", "node", "digest", "map"],
         )
 
-    return _keyed(docs).mapInArrow(run, _SETS)
+    return _keyed(docs).mapInArrow(tidied(run), _SETS)
 
 
 def shared_postings(docs: DataFrame, levels, parts: int) -> DataFrame:
@@ -190,8 +190,8 @@ def shared_postings(docs: DataFrame, levels, parts: int) -> DataFrame:
             cut = slice(at_, at_ + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(kind[cut]), pa.array(a[cut]), pa.array(b[cut])], ["kind", "a", "b"])
 
-    posted = docs.select("text").mapInArrow(post, "bucket long, blob binary")
-    return posted.repartition(parts, "bucket").mapInArrow(meet, "kind int, a long, b long")
+    posted = docs.select("text").mapInArrow(tidied(post), "bucket long, blob binary")
+    return posted.repartition(parts, "bucket").mapInArrow(tidied(meet), "kind int, a long, b long")
 
 
 def _bytes(x: int) -> bytes:
@@ -320,7 +320,7 @@ def block_edges(found: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     end = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}"))
     pairs = found.filter("kind = 0").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "map_a", "n_b", "map_b")
     members = found.filter("kind = 1").select("a", "b").join(end("b"), "b").select("a", "b", "n_b", "map_b").repartition(parts, "a").sortWithinPartitions("a")
-    return pairs.mapInArrow(check, "a long, b long").union(members.mapInArrow(lists, "a long, b long")).distinct()
+    return pairs.mapInArrow(tidied(check), "a long, b long").union(members.mapInArrow(tidied(lists), "a long, b long")).distinct()
 
 
 def _merged(lists: list, size: int):
@@ -467,14 +467,14 @@ def classes(docs: DataFrame) -> DataFrame:
                 part = b.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([shingles(t).tobytes() for t in part.column(3).to_pylist()], pa.binary())], ["root", "parts", "digest", "shingles"])
 
-    found = texts.mapInArrow(build, "root long, parts int, digest binary, shingles binary")
+    found = texts.mapInArrow(tidied(build), "root long, parts int, digest binary, shingles binary")
     own = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != own), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
     )
     found = found.select("root", F.explode(pairs).alias("_p"), "digest", "shingles").select("root", "_p.i", "_p.j", "digest", "shingles")
     found = found.repartition(partitions_for(spark, n_docs, DOCS_PER_PART), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = checkpointed(found.mapInArrow(_block_links, "a binary, b binary"))
+    links = checkpointed(found.mapInArrow(tidied(_block_links), "a binary, b binary"))
     parted = weight.filter("parts > 1").limit(1).count()
     groups = components(links).select(F.col("node").alias("digest"), F.col("root").alias("class")) if parted else links.select(F.col("a").alias("digest"), F.col("b").alias("class"))
     return meta.select("id", "th", "n", "digest").join(groups, "digest", "left")

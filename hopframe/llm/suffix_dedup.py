@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import checkpointed, partitions_for, ranked, table
+from hopframe.llm.common import checkpointed, partitions_for, ranked, table, tidied
 
 LENGTH, GRAM = 100, 32
 SIDE = LENGTH - GRAM  # bytes on each side that windows with a gram can reach
@@ -235,6 +235,7 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
                         held, count = [], 0
         if held:
             yield from flush()
+        _tables.clear()  # workers outlive their tasks
 
     def meet(batches):
         import numpy as np
@@ -284,8 +285,8 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
                 ["id", "spans", "asks"],
             )
 
-    met = docs.select("id", "body").mapInArrow(post, "bucket long, blob binary").repartition(parts, "bucket").mapInArrow(meet, "bucket long, blob binary")
-    return checkpointed(met.repartition(parts, "bucket").mapInArrow(gather, "id long, spans binary, asks binary"))
+    met = docs.select("id", "body").mapInArrow(tidied(post), "bucket long, blob binary").repartition(parts, "bucket").mapInArrow(tidied(meet), "bucket long, blob binary")
+    return checkpointed(met.repartition(parts, "bucket").mapInArrow(tidied(gather), "id long, spans binary, asks binary"))
 
 
 def _common(a: bytes, b: bytes, at: int) -> int:
@@ -464,11 +465,11 @@ def spans_of_contexts(docs: DataFrame, found: DataFrame, parts: int) -> DataFram
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([np.array([x, y], np.int64).tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], ["id", "spans"])
 
     asked = found.filter(F.octet_length("asks") > 0).select("id", "asks").join(docs, "id").select("id", "asks", "body")
-    rows = asked.mapInArrow(contexts, "gram long, id long, place long, lefts binary, rights binary, hot int")
+    rows = asked.mapInArrow(tidied(contexts), "gram long, id long, place long, lefts binary, rights binary, hot int")
     if not found.filter(F.octet_length("asks") > 0).filter(F.expr(f"octet_length(asks) > 0 AND instr(hex(substring(asks, octet_length(asks) div 17 * 16 + 1)), '1') > 0")).limit(1).count():
-        return rows.drop("hot").repartition(parts, "gram").mapInArrow(resolve, "id long, spans binary")
+        return rows.drop("hot").repartition(parts, "gram").mapInArrow(tidied(resolve), "id long, spans binary")
     rows = checkpointed(rows)
-    cold = rows.filter("hot = 0").drop("hot").repartition(parts, "gram").mapInArrow(resolve, "id long, spans binary")
+    cold = rows.filter("hot = 0").drop("hot").repartition(parts, "gram").mapInArrow(tidied(resolve), "id long, spans binary")
     # the windows of hot grams by their hashes; the first of each is found before the shuffle
     offsets = F.sequence(F.greatest(F.lit(0), SIDE - F.octet_length("rights")), F.octet_length("lefts"))
     hot = rows.filter("hot = 1 AND octet_length(lefts) + octet_length(rights) >= " + str(SIDE)).withColumn("a", F.explode(offsets))
@@ -484,7 +485,7 @@ def spans_of_contexts(docs: DataFrame, found: DataFrame, parts: int) -> DataFram
             s = b.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array([x, x + LENGTH], np.int64).tobytes() for x in s.tolist()], pa.binary())], ["id", "spans"])
 
-    return cold.union(later.mapInArrow(spans, "id long, spans binary"))
+    return cold.union(later.mapInArrow(tidied(spans), "id long, spans binary"))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -539,7 +540,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = rows.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), "_spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
