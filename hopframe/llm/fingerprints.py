@@ -1,43 +1,48 @@
 """Document fingerprints: SimHash in DataFrame operations only, and exact Hamming search over permuted block tables.
 
-A text's terms are its three-word shingles (the whole sequence when it has fewer words), each weighted by how often it
+A text's terms are its five-word shingles (the whole sequence when it has fewer words), each weighted by how often it
 occurs. Every term hash votes on 128 bits; a bit is set when more than half of the weight votes for it. The votes are
 summed in whole-stage code: two 32-bit counters share a long, so a term costs 64 additions and no Python.
 
-search() finds every fingerprint within a Hamming radius: fingerprints are cut into more blocks than the radius, each
-block in turn comes first in a permuted table, and two fingerprints within the radius must agree on one block of some
-table. Equal fingerprints are looked up once.
+search() finds every fingerprint within a Hamming radius of up to 23: fingerprints are cut into eight blocks of 16
+bits, and each block in turn comes first in a permuted table. Of two fingerprints within 23 bits at least one block
+differs in two bits at most, so a query asks each table for its block and for all values two flips away. Texts whose
+five-word shingles are 0.8 alike differ in 19 bits on average, hence the radius. Equal fingerprints are looked up once.
 
 Null texts count as empty. Texts without words have the fingerprint of zeros. The order is by falling id, ties by a
 hash of the text, null ids last; the document after the last is the first, which for one document is itself. Repeated
-rows each have the next row of that order as their next document. An empty table gives no rows. Other columns are not
-carried.
+rows each have the next row of that order as their next document. An empty table gives no rows. Other columns,
+whatever their names, are not carried.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import checkpointed, table, words
+from hopframe.llm.common import checkpointed, ranked, table, words
 
-BITS, RADIUS = 128, 6
-#: Documents in a bucket of the order, and the most cut points that are kept for it.
-ROWS_PER_BUCKET, MOST_BUCKETS = 2_000, 1_024
+BITS, RADIUS, WORDS = 128, 23, 5
+#: Bits of a block, and flips in a block that are asked for; the radius is below blocks times (flips + 1).
+BLOCK, FLIPS = 16, 2
+#: Documents in a bucket of the order, and the most cut points; beyond their product buckets grow.
+ROWS_PER_BUCKET, MOST_BUCKETS = 2_000, 1_000_000
 _LOW, _HALF = 0x0000000100000001, 0xFFFFFFFF
 
 
 def terms(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the array of term hashes of a text column."""
     df = df.withColumn("_w", words(text))
-    three = F.expr("transform(slice(_w, 1, size(_w) - 2), (x, i) -> xxhash64(x, _w[i + 1], _w[i + 2]))")
-    return df.withColumn(name, F.when(F.size("_w") > 2, three).when(F.size("_w") > 0, F.array(F.xxhash64("_w"))).otherwise(F.array().cast("array<long>"))).drop("_w")
+    several = F.expr(f"transform(slice(_w, 1, size(_w) - {WORDS - 1}), (x, i) -> xxhash64(x, {', '.join(f'_w[i + {k}]' for k in range(1, WORDS))}))")
+    return df.withColumn(name, F.when(F.size("_w") >= WORDS, several).when(F.size("_w") > 0, F.array(F.xxhash64("_w"))).otherwise(F.array().cast("array<long>"))).drop("_w")
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys and `fp`, two longs a row: df's texts by SimHash. The keys tell rows apart."""
     df = terms(df.select(*keys, text), text, "_terms").select(*keys, F.explode_outer("_terms").alias("_a"))
-    df = df.withColumn("_b", F.xxhash64("_a", F.lit(7)))
+    df = df.withColumn("_b", F.when(F.col("_a").isNotNull(), F.xxhash64("_a", F.lit(7))))  # no term, no vote
     sums = [F.sum(F.shiftrightunsigned(c, k).bitwiseAND(F.lit(_LOW))).alias(f"{c}{k}") for c in ("_a", "_b") for k in range(32)]
     df = df.groupBy(*keys).agg(F.count("_a").alias("_n"), *sums)
 
@@ -61,27 +66,45 @@ def distance(x: Column, y: Column) -> Column:
     return F.bit_count(x["a"].bitwiseXOR(y["a"])) + F.bit_count(x["b"].bitwiseXOR(y["b"]))
 
 
+def _at_most(cuts: list[tuple[int, int]], key: Column) -> tuple[Column, Column]:
+    """How many of some sorted cut points are no larger than a key, and whether one equals it.
+
+    The points lie in groups of about the root of their number, so a key is held against two short lists.
+    """
+    if not cuts:
+        return F.lit(0), F.lit(False)
+    width = int(len(cuts) ** 0.5) + 1
+    points = [F.struct(F.lit(u).cast("long").alias("u"), F.lit(t).cast("long").alias("t")) for u, t in cuts]
+    groups = [F.array(*points[k : k + width]) for k in range(0, len(points), width)]
+    before = lambda a: F.size(F.filter(a, lambda x: x <= key))
+    group = before(F.array(*points[::width]))
+    own = F.element_at(F.array(*groups), F.greatest(group, F.lit(1)))
+    return F.when(group > 0, (group - 1) * width + before(own)).otherwise(F.lit(0)), F.array_contains(own, key)
+
+
 def in_falling_order(docs: DataFrame) -> DataFrame:
     """bucket, place, ghost, doc_id, text and next_text, by falling doc_id.
 
-    Cut points of the ids deal the rows to buckets, so each window is bounded. The head of each bucket also goes to
-    the bucket before it as a ghost, and the very first document to the last bucket, so every row sees its next.
+    The ranks of ids and text hashes give cut points that deal the rows to buckets, so each window is bounded. The head
+    of each bucket also goes to the bucket before it as a ghost, and the very first document to the last bucket, so
+    every row sees its next.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"_ord": F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long"), "_tie": F.xxhash64("text")})
-    n = rows.count()
-    buckets = max(1, min(MOST_BUCKETS, n // ROWS_PER_BUCKET))
-    stats = rows.agg(F.percentile_approx("_ord", [k / buckets for k in range(1, buckets)] or [1.0], 100 * buckets).alias("cuts"), F.max("_ord").alias("top")).first()
-    top = stats["top"] if stats["top"] is not None else 0
-    cuts = sorted({c for c in (stats["cuts"] or []) if c < top})
-    cuts_ = F.array(*map(F.lit, cuts)).cast("array<long>")
-    bucket = F.size(F.filter(cuts_, lambda c: c < F.col("_ord")))
-    ghost = F.when(F.col("_ord") == F.lit(top), F.lit(0)).when(F.array_contains(cuts_, F.col("_ord")), bucket + 1)
-    # as a ghost the top row follows the lowest bucket; the others follow the bucket above their own
+    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").bitwiseXOR(F.lit(-1)).alias("u"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    keys = docs.select(key.alias("_key"))
+    n = keys.count()
+    each = max(ROWS_PER_BUCKET, -(-n // MOST_BUCKETS))
+    ends = ranked(keys, [F.col("_key")], {}).filter(F.col("rank") % each == 0).select("_key.u", "_key.t").distinct().collect()
+    # at most MOST_BUCKETS points; the first row of all starts no bucket
+    first, *cuts = sorted((r["u"], r["t"]) for r in ends) or [(0, 0)]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key"))
+    bucket, heads = _at_most(cuts, F.col("_key"))
+    top = F.col("_key") == F.struct(F.lit(first[0]).cast("long").alias("u"), F.lit(first[1]).cast("long").alias("t"))
+    ghost = F.when(top, F.lit(len(cuts))).when(heads, bucket - 1)
+    # as a ghost the top row follows the last bucket; the others follow the bucket before their own
     rows = rows.withColumn("_in", F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ghost")), F.when(ghost.isNotNull(), F.struct(ghost.alias("bucket"), F.lit(True).alias("ghost"))))))
-    rows = rows.select("doc_id", "text", "_ord", "_tie", F.explode("_in").alias("_in")).select("_in.*", "doc_id", "text", "_ord", "_tie")
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("_ord").desc(), "_tie")
-    return rows.withColumns({"place": F.row_number().over(order), "next_text": F.lead("text").over(order)}).drop("_ord", "_tie")
+    rows = rows.select("doc_id", "text", "_key", F.explode("_in").alias("_in")).select("_in.*", "doc_id", "text", "_key")
+    order = Window.partitionBy("bucket").orderBy("ghost", "_key")
+    return rows.withColumns({"place": F.row_number().over(order), "next_text": F.lead("text").over(order)}).drop("_key")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -108,33 +131,28 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """The permuted tables' leading blocks: radius + 1 pieces of the bits, each with its table's number."""
-    n = radius + 1
-    cuts = [BITS * k // n for k in range(n + 1)]
-    out = []
-    for k in range(n):
-        lo, hi = cuts[k], cuts[k + 1]
-        parts = []
-        for name, at in (("a", 0), ("b", 64)):
-            s, e = max(lo, at) - at, min(hi, at + 64) - at
-            if s < e:
-                parts.append(F.shiftrightunsigned(fp[name], s).bitwiseAND(F.lit((1 << (e - s)) - 1) if e - s < 64 else F.lit(-1)))
-        out.append(F.struct(F.lit(k).alias("table"), parts[0].alias("lead"), (parts[1] if len(parts) > 1 else F.lit(0).cast("long")).alias("lead2")))
-    return F.array(*out)
+def blocks(fp: Column) -> Column:
+    """The permuted tables' leading blocks, one after another."""
+    mask = F.lit((1 << BLOCK) - 1)
+    return F.array(*(F.shiftrightunsigned(fp[half], at).bitwiseAND(mask).cast("int") for half in ("a", "b") for at in range(0, 64, BLOCK)))
 
 
 def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """query, key, distance: for each query (query, fp) every row of index (key, fp) within the radius, exactly.
 
-    Both sides are joined by the leading block of each permuted table; a pair that agrees on several tables is kept
-    for the first of them only, so no distinct is needed.
+    Queries and index are joined by table and leading block; a pair that meets in several tables is kept for the first
+    of them only, so no distinct is needed.
     """
-    q = queries.select("query", F.col("fp").alias("_q"), F.explode(blocks(F.col("fp"), radius)).alias("_t")).select("query", "_q", "_t.*")
-    x = index.select("key", F.col("fp").alias("_x"), F.explode(blocks(F.col("fp"), radius)).alias("_t")).select("key", "_x", "_t.*")
-    hits = q.join(x, ["table", "lead", "lead2"]).withColumn("distance", distance(F.col("_q"), F.col("_x"))).filter(F.col("distance") <= radius)
-    agree = F.zip_with(blocks(F.col("_q"), radius), blocks(F.col("_x"), radius), lambda a, b: a == b)
-    return hits.filter(F.array_position(agree, F.lit(True)) == F.col("table") + 1).select("query", "key", "distance")
+    if radius >= BITS // BLOCK * (FLIPS + 1):
+        raise ValueError(f"a radius of {radius} needs more flips or more blocks")
+    flips = [x for n in range(FLIPS + 1) for c in combinations(range(BLOCK), n) if (x := sum(1 << k for k in c)) or not n]
+    near = lambda v: F.transform(F.array(*map(F.lit, flips)), lambda m: v.bitwiseXOR(m))
+    q = queries.select("query", F.col("fp").alias("_q"), F.posexplode(blocks(F.col("fp"))).alias("table", "_v"))
+    q = q.select("query", "_q", "table", F.explode(near(F.col("_v"))).alias("lead"))
+    x = index.select("key", F.col("fp").alias("_x"), F.posexplode(blocks(F.col("fp"))).alias("table", "lead"))
+    hits = q.join(x, ["table", "lead"]).withColumn("distance", distance(F.col("_q"), F.col("_x"))).filter(F.col("distance") <= radius)
+    meet = F.zip_with(blocks(F.col("_q")), blocks(F.col("_x")), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= FLIPS)
+    return hits.filter(F.array_position(meet, F.lit(True)) == F.col("table") + 1).select("query", "key", "distance")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
