@@ -35,11 +35,19 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop_words",
+    "mean_word_chars", "symbol_ratio", "stop_word_ratio", "dup_line_ratio",
+)
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios of the threshold table."""
     value = F.coalesce(F.col(text), F.lit(""))
     stop = F.array(*(F.lit(w) for w in sorted({w for line in STOP_WORDS for w in line.split()})))
-    df = docs.withColumns({"_words": words(text), "_lines": F.filter(F.split(value, "\n", -1), lambda x: F.translate(x, WS_CHARS, "") != "")})
+    kept = [c for c in docs.columns if c not in MEASURES]
+    # the input's columns wait in a struct, so that no name can clash
+    df = docs.select(F.struct(*docs.columns).alias("_doc"), text).withColumns({"_words": words(text), "_lines": F.filter(F.split(value, "\n", -1), lambda x: F.translate(x, WS_CHARS, "") != "")})
     # each window of three words with its place, equal windows side by side
     df = df.withColumn("n_words", F.size("_words").cast("long"))
     df = df.withColumn(
@@ -65,7 +73,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "stop_word_ratio": _ratio(F.col("n_stop_words"), F.col("n_words")),
             "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
         }
-    ).drop("_words", "_lines", "_windows", "_again")
+    ).select(*(F.col("_doc")[c].alias(c) for c in kept), *MEASURES)
 
 
 def compiled(thresholds=THRESHOLDS) -> Column:

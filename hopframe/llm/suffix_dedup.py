@@ -500,7 +500,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """docs with `_id` and `_spans`: the covered bytes as two arrays of longs in one binary, null for none."""
+    """docs (doc_id, text and maybe a struct `_doc`) with `_id` and `_spans`: the covered bytes as two arrays of longs in one binary, null for none."""
     docs = _numbered(docs)
     parts = partitions_for(docs.sparkSession, docs.count(), DOCS_PER_PART)
     bodies = docs.select(F.col("_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("body")).filter(F.octet_length("body") >= LENGTH)
@@ -555,8 +555,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         return pd.Series([_cut(bytes(b), list(x))[0].decode("utf-8", "ignore") for b, x in zip(body, blobs, strict=True)], dtype=object)
 
-    rows = removed(docs)
+    rows = removed(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")).cast("binary"), F.coalesce("_spans", F.array().cast("array<binary>"))))
     rows = rows.withColumn("_text", text).filter(F.col("_spans").isNull() | (F.trim("_text") != ""))
-    new = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast("long")} if "n_chars" in docs.columns else {})
-    return rows.withColumns(new).select(*docs.columns)
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return rows.select(*(new[c].alias(c) if c in new else F.col("_doc")[c].alias(c) for c in docs.columns))

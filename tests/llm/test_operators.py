@@ -170,7 +170,14 @@ def test_packing(docs, rows, odd, none):
             assert o == at
             at += n
         assert at <= size
+    # first-fit decreasing leaves at most one sequence of a group less than half full
+    total = sum(r["length"] for r in got)
+    assert len(bins) <= -(-2 * total // size) and total > 0.9 * size * len(bins)
     assert packing.pack_documents(odd, token_files.vocabulary("byte_bpe_50k.json"), 0).filter("start = 0").count() == odd.count()
+    plain = Counter()
+    for r in odd.select("doc_id", "text").collect():
+        plain[r["doc_id"], len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1] += 1
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in packing.pack_documents(odd, token_files.vocabulary("byte_bpe_50k.json"), 0).filter("start = 0").collect()) == plain
     assert packing.pack_documents(none, token_files.vocabulary("byte_bpe_50k.json"), 0).count() == 0
 
 
@@ -225,7 +232,17 @@ def test_token_files(spark, docs, rows, odd, none, tmp_path):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
         assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
         at += len(ids)
-    assert [r["doc_id"] for r in token_files.lookup(spark, path, [3]).collect()] == [3]
+    found = token_files.lookup(spark, path, [3])
+    assert [r["doc_id"] for r in found.collect()] == [3] and "EqualTo(doc_id,3)], ReadSchema" in found._jdf.queryExecution().toString()
+    # each file holds a range of ids of its own, so that statistics rule out all files but one, and has Bloom filters
+    ranges = spark.read.orc(path).groupBy(F.input_file_name()).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("a").collect()
+    assert len(ranges) > 1 and all(x["b"] < y["a"] for x, y in zip(ranges, ranges[1:], strict=False))
+    from pyarrow import orc
+
+    for file in (tmp_path / "a").glob("*.orc"):
+        data = orc.ORCFile(str(file))
+        own = orc.read_table(str(file), columns=["doc_id"]).column(0).to_pylist()
+        assert own == sorted(own) and data.compression == "ZSTD" and data.row_index_stride == 1000
     assert token_files.read_token_files(spark, write(odd, "b", 5)).count() == odd.count()
     assert token_files.read_token_files(spark, write(none, "c", 5)).count() == 0
 
@@ -358,6 +375,21 @@ def test_sharding(docs, rows, odd, none):
     assert sharding.shard_plan(odd).count() == odd.count() and sharding.shard_plan(none).count() == 0
 
 
+def test_sharding_follows_the_curve(docs, rows):
+    """Texts come in one order along the curve, cut into eight runs of near equal bytes; equal texts stay together."""
+    got = sharding.shard_plan(docs).collect()
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[r[1] or ""].add(shard[r[0]])
+    total = sum(r["size"] for r in got)
+    size = {r["doc_id"]: r["size"] for r in got}
+    for t, shards in by_text.items():
+        if sum(size[r[0]] for r in rows if (r[1] or "") == t) <= sharding.WHOLE_GROUP * total / 8:
+            assert len(shards) == 1
+    assert set(shard.values()) <= set(range(8))
+
+
 def test_hilbert_neighbours_touch(spark):
     df = spark.range(256).select((F.col("id") % 16).alias("a"), F.floor(F.col("id") / 16).alias("b"))
     at = sorted((r["k"], r["a"], r["b"]) for r in sharding.hilbert(df, ["a", "b"], 4, "k").collect())
@@ -382,19 +414,92 @@ def test_fingerprints(docs, rows, odd, none, tiny_buckets):
         assert abs(r["near_next"] - like) < 1e-9
         prints[t].add(r["fingerprint"])
     assert all(len(x) == 1 for x in prints.values())
-    assert fingerprints.neighbour_fingerprints(odd).count() == odd.count() and fingerprints.neighbour_fingerprints(none).count() == 0
+    assert fingerprints.neighbour_fingerprints(none).count() == 0
+    # null and repeated ids, repeated rows: the order is by falling id, then by a hash of the text, null ids last
+    own = [(r[0], r[1] or "") for r in odd.select("doc_id", "text").collect()]
+    own = sorted(own, key=lambda r: (r[0] is None, -(r[0] or 0), (xx64([r[1]]) + (1 << 63)) % (1 << 64)))
+    want = Counter()
+    for (d, t), (_, n) in zip(own, own[1:] + own[:1], strict=True):
+        want[d, hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.neighbour_fingerprints(odd.withColumnRenamed("rank", "place")).collect()) == want
 
 
 def test_hamming_search(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(128) for _ in range(20)]
     flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(128), n))
-    all_ = base + [flip(x, n) for x in base for n in (1, 5, 6, 7, 9)]
+    all_ = base + [flip(x, n) for x in base for n in (1, 9, 17, 22, 23, 24, 30)]
     half = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(i, (half(x & (2**64 - 1)), half(x >> 64))) for i, x in enumerate(all_)], "key long, fp struct<a:long,b:long>")
-    got = {(r["query"], r["key"]): r["distance"] for r in fingerprints.search(df.filter("key < 20").withColumnRenamed("key", "query"), df, 6).collect()}
-    want = {(i, j): d for i in range(20) for j, y in enumerate(all_) if (d := (all_[i] ^ y).bit_count()) <= 6}
-    assert got == want and len(want) > 60
+    for radius in (6, 23):
+        got = [(r["query"], r["key"], r["distance"]) for r in fingerprints.search(df.filter("key < 20").withColumnRenamed("key", "query"), df, radius).collect()]
+        want = {(i, j, d) for i in range(20) for j, y in enumerate(all_) if (d := (all_[i] ^ y).bit_count()) <= radius}
+        assert len(got) == len(want) and set(got) == want
+    with pytest.raises(ValueError):
+        fingerprints.search(df, df, 24)
+
+
+def xx64(parts, seed=42):
+    """Spark's xxhash64 of some strings, the hash of one the seed of the next."""
+    import xxhash
+
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p.encode(), seed)
+    return seed
+
+
+def simhash(text):
+    """The fingerprint in plain Python."""
+    import struct
+
+    import xxhash
+
+    ws = W.findall(text)
+    terms = [xx64(ws[i : i + 5]) for i in range(len(ws) - 4)] if len(ws) >= 5 else [xx64(ws)] if ws else []
+    out = []
+    for half in (lambda t: t, lambda t: xxhash.xxh64_intdigest(struct.pack("<i", 7), xxhash.xxh64_intdigest(struct.pack("<Q", t), 42))):
+        bits, hashes = 0, [half(t) for t in terms]
+        for k in range(64):
+            if 2 * sum(h >> k & 1 for h in hashes) > len(terms):
+                bits |= 1 << k
+        out.append(bits)
+    return f"{out[0]:016x}{out[1]:016x}"
+
+
+def test_fingerprint_bits(docs, rows, tiny_buckets):
+    down = sorted(((r[0], r[1] or "") for r in rows), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.neighbour_fingerprints(docs).collect()}
+    for (d, t), (_, n) in zip(down, down[1:] + down[:1], strict=True):
+        k = len(t) // 3
+        own, changed, following = simhash(t), simhash(t[: len(t) - k] + n[:k]), simhash(n)
+        like = lambda x, y: 1 - (int(x, 16) ^ int(y, 16)).bit_count() / 128
+        r = got[d]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own, changed)
+        assert abs(r["near_edited"] - like(own, changed)) < 1e-9 and abs(r["near_next"] - like(own, following)) < 1e-9
+
+
+def test_fingerprint_search_of_documents(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(fingerprints, "table", lambda *_: docs)
+    got = {r["doc_id"]: r["n_near"] for r in fingerprints.op10(spark, "").collect()}
+    prints = {r[0]: int(simhash(r[1] or ""), 16) for r in rows}
+    want = {d: sum((x ^ y).bit_count() <= fingerprints.RADIUS for y in prints.values()) if d % 50 == 0 else None for d, x in prints.items()}
+    assert got == want and any((n or 0) > 1 for n in want.values())
+
+
+def test_near_copies_are_within_the_radius():
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    found = total = 0
+    for _ in range(60):
+        a = [rng.choice(words) for _ in range(300)]
+        b = a[:]
+        for _ in range(rng.randint(1, 6)):
+            b[rng.randrange(300)] = rng.choice(words)
+        x, y = ({tuple(t[i : i + 5]) for i in range(296)} for t in (a, b))
+        if len(x & y) >= 0.8 * len(x | y):
+            total += 1
+            found += (int(simhash(" ".join(a)), 16) ^ int(simhash(" ".join(b)), 16)).bit_count() <= fingerprints.RADIUS
+    assert total > 30 and found >= 0.9 * total
 
 
 def test_mixing(docs, rows, odd, none):
@@ -456,6 +561,11 @@ def test_suffix_dedup(spark, docs, rows, odd, none, monkeypatch, hot):
         assert len(run(odd)) == len({r[0] for r in rows}) + 1 and run(none) == {}
         kept = suffix_dedup.stage(spark, docs, "")
         assert kept.columns == docs.columns and kept.count() <= docs.count()
+        # names that clash with the operator's own, where ids tell texts apart and where they don't
+        for df in (docs, odd):
+            clash = df.withColumns({c: F.lit(1) for c in ("_id", "_spans", "_text", "_th", "_doc", "_key", "rank")})
+            kept = suffix_dedup.stage(spark, clash, "")
+            assert kept.columns == clash.columns and kept.filter("_id = 1 AND _spans = 1 AND _text = 1 AND _th = 1 AND rank = 1").count() == kept.count() > 0
 
 
 def test_long_text_in_chunks(monkeypatch):
@@ -572,6 +682,10 @@ def test_quality(docs, rows, odd, none):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
     assert quality_rules.judge(odd).count() == odd.count() and quality_rules.judge(none).count() == 0
     assert quality_rules.stage(None, odd, "").columns == odd.columns
+    clash = odd.withColumns({c: F.lit(1) for c in ("_words", "_lines", "_windows", "_again", "_doc", "n_words")})
+    judged = quality_rules.judge(clash)
+    assert judged.columns[: len(odd.columns)] == odd.columns and judged.filter("_words = 1 AND _again = 1 AND _doc = 1").count() == odd.count()
+    assert {(r["doc_id"], r["text"]): r["n_words"] for r in judged.collect()} == {(r["doc_id"], r["text"]): len(W.findall(r["text"] or "")) for r in odd.collect()}
 
 
 def test_pipeline(spark, sf):
