@@ -125,17 +125,21 @@ def legacy_metric_task(question: Column, label: Column) -> Column:
 
 
 def _payload(pred: Column) -> Column:
-    return F.regexp_extract(pred, r"(?s)\{.*\}", 0)
+    """What the widest braces of a text hold, if that is one value of strict JSON, in an array; else null."""
+    # a parser stops at the end of a value; within brackets what follows it is an error or a second element
+    v = F.try_parse_json(F.concat(F.lit("["), F.nullif(F.regexp_extract(pred, r"(?s)\{.*\}", 0), F.lit("")), F.lit("]")))
+    return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), v)
 
 
 def parsed_answer(pred: Column) -> Column:
-    """The answer field of the widest braces that are JSON; else the text itself."""
-    return F.coalesce(F.get_json_object(_payload(pred), "$.answer"), pred)
+    """The answer field of the widest braces that are JSON, null if it is null there; without the field the text itself."""
+    v = _payload(pred)
+    return F.when(F.try_variant_get(v, "$[0].answer", "variant").isNotNull(), F.try_variant_get(v, "$[0].answer", "string")).otherwise(pred)
 
 
 def parsed_path(pred: Column) -> Column:
     """The path field of the same, as an array; null without one."""
-    return F.from_json(F.get_json_object(_payload(pred), "$.path"), "array<string>")
+    return F.try_variant_get(_payload(pred), "$[0].path", "array<string>")
 
 
 def first_integer(text: Column) -> Column:
@@ -157,6 +161,50 @@ def trim_numeric_noise(text: Column, most: int = 48) -> Column:
     return F.array_join(F.slice(F.filter(found, lambda t: ~t.rlike("^[0-9]")), 1, most), " ")
 
 
+# The features that the two noisy domains drop, and the words that the others keep at most.
+BOOK_DROPS = ("popular_shelves", "num_pages", "publication_year", "isbn", "isbn13", "publication_month", "publication_day")
+BOOK_WORDS = {"title": 64, "description": 96}
+BOOK_PLAIN = ("language_code", "country_code", "format", "is_ebook")
+BOOK_REST, BOOK_GENRES = 32, 8
+MEDICAL_DROPS = ("id", "identifier", "mesh_id", "omim_id", "doid", "umls", "entrez", "tax_id", "drugbank_id", "inchi", "inchikey", "pubchem", "pubmed", "pmid")
+MEDICAL_LONG, MEDICAL_WORDS, MEDICAL_REST, MEDICAL_NAME = ("name", "title", "description", "definition"), 64, 24, 32
+
+
+def sanitized_features(features: Column, domain: Column) -> Column:
+    """A node's features (name to text, lists as JSON) without noise: names of records, counts and numbers go.
+
+    The book domain keeps up to eight genres as a list and plain codes as they are; the medical domain falls back to
+    the name if nothing is left. Other domains keep all.
+    """
+    some = lambda m: F.map_filter(m, lambda k, v: v.isNotNull() & (v != ""))
+    def genres(v: Column) -> Column:
+        own = F.filter(F.transform(F.slice(F.from_json(v, "array<string>"), 1, BOOK_GENRES), stripped), lambda x: x != "")
+        return F.array_join(own, ", ")
+
+    def book(k: Column, v: Column) -> Column:
+        out = F.when(k.isin(*BOOK_DROPS), F.lit(None).cast("string"))
+        for name, most in BOOK_WORDS.items():
+            out = out.when(k == name, trim_numeric_noise(v, most))
+        out = out.when((k == "genres") & v.startswith("[") & F.from_json(v, "array<string>").isNotNull(), genres(v))
+        return out.when(k.isin(*BOOK_PLAIN), stripped(v)).otherwise(trim_numeric_noise(v, BOOK_REST))
+
+    def medical(k: Column, v: Column) -> Column:
+        gone = k.isin(*MEDICAL_DROPS) | k.endswith("_id")
+        return F.when(gone, F.lit(None).cast("string")).when(k.isin(*MEDICAL_LONG), trim_numeric_noise(v, MEDICAL_WORDS)).otherwise(trim_numeric_noise(v, MEDICAL_REST))
+
+    books, medicine = some(F.transform_values(features, book)), some(F.transform_values(features, medical))
+    name = F.try_element_at(features, F.lit("name"))
+    fallback = some(F.create_map(F.lit("name"), trim_numeric_noise(F.coalesce(name, F.lit("")), MEDICAL_NAME)))
+    medicine = F.when((F.size(medicine) == 0) & F.map_contains_key(features, "name"), fallback).otherwise(medicine)
+    d = F.lower(domain)
+    return F.when(d == "goodreads", books).when(d == "biomedical", medicine).otherwise(features)
+
+
+def flattened(features: Column) -> Column:
+    """name: value; name: value."""
+    return F.array_join(F.transform(F.map_entries(features), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+
+
 def keywords(text: Column) -> Column:
     """The keywords of a list: label, brackets, numbering and quotes stripped."""
     x = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"(?i)^(answer|keywords?)\s*:\s*", "")
@@ -203,10 +251,25 @@ def _cut(x: Column) -> Column:
     return F.trim(F.get(F.split(x, "```", 2), F.lit(0)))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean_tags_last(text: Column) -> Column:
-    """The other order: cut at end tokens first, then drop tags."""
-    x = F.trim(F.get(F.split(text, r"</s>|<\|eot_id\|>|<\|end_of_text\|>", 2), F.lit(0)))
-    return _cut(F.trim(F.regexp_replace(x, "<[^>]+>", "")))
+    """Generated text up to the first end token, instruction mark or code fence; only what is left loses its tags."""
+    for mark in (r"</s>|<\|eot_id\|>|<\|end_of_text\|>", r"\[/?INST\]", "```"):
+        text = stripped(F.get(F.split(text, mark, 2), F.lit(0)))
+    return stripped(F.regexp_replace(stripped(F.regexp_replace(text, "<[^>]+>", "")), r"(?i)\][\s]*\(?/?INST\)?", ""))
+
+
+def legal_integer(text: Column, least: int | None = None, most: int | None = None) -> Column:
+    """The first whole number of a text, else the text; with bounds a number outside them is empty."""
+    found = F.regexp_extract(text, "-?[0-9]+", 0)
+    if least is None:
+        return F.when(found == "", text).otherwise(found)
+    low, high = sorted((least, least if most is None else most))
+    number = found.try_cast("decimal(38,0)")
+    return F.when(found == "", text).when(number.between(low, high), number.cast("string")).otherwise("")
 
 
 def keyword_list(text: Column, most: int = 3) -> Column:

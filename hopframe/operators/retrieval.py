@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,48 +27,145 @@ def edge_prizes(scores: DataFrame, key: str, score: str, k: int) -> DataFrame:
     return scores.join(F.broadcast(table), score, "left").select(key, F.coalesce("prize", F.lit(0.0)).alias("prize"))
 
 
-def grow_tree(nodes: dict[int, float], edges: list[tuple[int, int, float]]) -> tuple[set[int], list[tuple[int, int]]]:
-    """A connected subgraph with a high sum of prizes less costs: cheapest paths between prized nodes that pay for
-    themselves are joined, the best gain first."""
-    near: dict[int, list[tuple[int, float]]] = {}
-    for u, v, c in edges:
-        near.setdefault(u, []).append((v, c))
-        near.setdefault(v, []).append((u, c))
-    prized = sorted((n for n, p in nodes.items() if p > 0), key=lambda n: (-nodes[n], n))
-    if not prized:
-        return set(), []
-    tree, links = {prized[0]}, {}
-    while True:
-        dist, via, heap = {n: 0.0 for n in tree}, {}, [(0.0, n) for n in sorted(tree)]
+def ranked_edge_prizes(edges: DataFrame, group: str, score: str, k: int) -> DataFrame:
+    """edges with `prize`: edge_prizes() within each group. Distinct scores are ranked, not edges, and only k of them
+    are gathered for a group."""
+    levels = edges.groupBy(group, score).agg(F.count("*").alias("_c"))
+    levels = levels.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score)))).filter(F.col("_r") <= k)
+    rows = levels.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_r", F.col(score).alias("v"), "_c"))).alias("_l"))
+    zero = F.struct(F.lit(None).cast("double").alias("prev"), F.array().cast("array<struct<v:double,p:double>>").alias("out"))
+
+    def fold(s: Column, e: Column) -> Column:
+        top = F.size("_l").cast("double")
+        v = F.least((top - e["_r"] + 1) / e["_c"], F.coalesce(s["prev"] * 0.99, top))
+        return F.struct(v.alias("prev"), F.array_append(s["out"], F.struct(e["v"].alias("v"), v.alias("p"))).alias("out"))
+
+    table = rows.select(group, F.explode(F.aggregate("_l", zero, fold, lambda s: s["out"])).alias("r")).select(group, F.col("r.v").alias(score), F.col("r.p").alias("prize"))
+    return edges.join(table, [group, score], "left").withColumn("prize", F.coalesce("prize", F.lit(0.0)))
+
+
+def grow(n: int, edges: list[tuple[int, int, float]], prizes: list[float]) -> list[tuple]:
+    """The growth phase of Goemans and Williamson without a root: merges in order, until one cluster is active.
+
+    Every active cluster's moat grows at the same pace. Where the moats at an edge's ends use up its cost, the clusters
+    merge; where a cluster's moats use up its prizes, it stops. A merge is (edge, cluster of u, cluster of v, whether
+    each was active, new cluster). The last entry is the cluster that is active at the end, or the last one that was.
+    """
+    top, parent = list(range(n)), {}
+    members = {i: [i] for i in range(n)}
+    dual = [0.0] * n  # moats around each node
+    active, prize, moat = {i: prizes[i] > 0 for i in range(n)}, dict(enumerate(prizes)), dict.fromkeys(range(n), 0.0)
+    merges, new = [], n
+    last = max(range(n), key=lambda i: (prizes[i], -i), default=-1)
+    while sum(active.values()) > 1:
         best = None
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist.get(u, float("inf")):
-                continue
-            if u not in tree and nodes.get(u, 0.0) > 0:
-                gain = nodes[u] - d
-                if gain > 0 and (best is None or (gain, -u) > best[:2]):
-                    best = (gain, -u, u)
-            for v, c in near.get(u, []):
-                cost = d + c
-                if cost < dist.get(v, float("inf")):
-                    dist[v], via[v] = cost, u
-                    heapq.heappush(heap, (cost, v))
-        if best is None:
-            return tree, sorted({(min(a, b), max(a, b)) for a, b in links.items()})
-        u = best[2]
-        while u not in tree:
-            tree.add(u)
-            links[u] = via[u]
-            u = via[u]
-
-
-def retrieve(graphs: DataFrame) -> DataFrame:
-    """qid, node for tables of a question's edges (qid, u, v, cost, prize_u, prize_v); each question's graph is small."""
+        for c, on in active.items():
+            if on and (best is None or (prize[c] - moat[c], 0, c) < best[:3]):
+                best = (prize[c] - moat[c], 0, c, None)
+        for k, (u, v, cost) in enumerate(edges):
+            a, b = top[u], top[v]
+            pace = active[a] + active[b]
+            if a != b and pace and ((cost - dual[u] - dual[v]) / pace, 1, k) < best[:3]:
+                best = ((cost - dual[u] - dual[v]) / pace, 1, k, (a, b))
+        step = max(0.0, best[0])
+        for c, on in active.items():
+            if on:
+                moat[c] += step
+                for x in members[c]:
+                    dual[x] += step
+        if best[3] is None:
+            active[best[2]], last = False, best[2]
+            continue
+        a, b = best[3]
+        merges.append((best[2], a, b, active[a], active[b], new))
+        members[new], prize[new], moat[new] = members.pop(a) + members.pop(b), prize[a] + prize[b], moat[a] + moat[b]
+        active.pop(a), active.pop(b)
+        active[new], parent[a], parent[b] = True, new, new
+        for x in members[new]:
+            top[x] = new
+        new += 1
+    last = next((c for c, on in active.items() if on), last)
+    while last in parent:
+        last = parent[last]
+    return [*merges, last, {c: m for c, m in members.items()}]
+
+
+def prize_tree(prizes: dict[int, float], edges: list[tuple[int, int, float]]) -> tuple[set[int], list[int]]:
+    """nodes, indices of edges: the prize-collecting tree of Goemans and Williamson with their pruning, one cluster."""
+    names = sorted(set(prizes) | {x for u, v, _ in edges for x in (u, v)})
+    at = {x: i for i, x in enumerate(names)}
+    if not names:
+        return set(), []
+    local = [(at[u], at[v], c) for u, v, c in edges]
+    *merges, last, members = grow(len(names), local, [max(0.0, prizes.get(x, 0.0)) for x in names])
+    good, parent = set(members[last]), {}
+    for _, a, b, _, _, new in merges:
+        parent[a] = parent[b] = new
+    below: dict[int, list[int]] = {i: [i] for i in range(len(names))}
+    for _, a, b, _, _, new in merges:
+        below[new] = below[a] + below[b]
+    needed: set[int] = set()
+
+    def need(node: int) -> None:
+        while node is not None and node not in needed:
+            needed.add(node)
+            node = parent.get(node)
+
+    kept: list[int] = []
+    for k, a, b, on_a, on_b, _ in reversed(merges):
+        u, v, _ = local[k]
+        if u not in good or v not in good:
+            continue
+        idle = a if not on_a else b if not on_b else None
+        if idle is not None and idle not in needed:
+            # a cluster that had stopped and leads to nothing that is kept
+            good -= set(below[idle])
+            continue
+        kept.append(k)
+        need(u)
+        need(v)
+    # what the pruning has cut off from the tree's edges goes too
+    touched = {x for k in kept for x in local[k][:2]}
+    good = good & touched if touched else {max(good, key=lambda i: (prizes.get(names[i], 0.0), -i))}
+    return {names[i] for i in good}, sorted(kept)
+
+
+def retrieve_subgraph(prizes: dict[int, float], edges: list[tuple[int, int, float]], cost: float) -> tuple[set[int], list[int]]:
+    """nodes, indices of edges for edges (u, v, prize) of one cost.
+
+    The cost is at most a little under the best edge prize. A prize up to the cost lowers it; a larger one becomes a
+    node of its own between two free edges. The ends of every kept edge are kept.
+    """
+    best = max((p for *_, p in edges), default=0.0)
+    cost = min(cost, best * 0.995) if best > 0 else cost
+    first = max([*prizes, *(x for u, v, _ in edges for x in (u, v))], default=0) + 1
+    plain, owner, prized = [], [], dict(prizes)
+    for k, (u, v, p) in enumerate(edges):
+        if p <= cost:
+            plain.append((u, v, cost - p))
+            owner.append(k)
+        else:
+            prized[first + k] = p - cost
+            plain += [(u, first + k, 0.0), (first + k, v, 0.0)]
+            owner += [None, None]
+    nodes, kept = prize_tree(prized, plain)
+    own = sorted({owner[k] for k in kept if owner[k] is not None} | {x - first for x in nodes if x >= first})
+    return {x for x in nodes if x < first} | {x for k in own for x in edges[k][:2]}, own
+
+
+def retrieve(graphs: DataFrame, cost: float) -> DataFrame:
+    """qid, kind, u, v: the nodes (u) and edges of each question's subgraph.
+
+    graphs: a row an edge, qid, u, v, prize_u, prize_v, prize. Each question's graph is small by construction: the
+    neighbourhood that was sampled for it.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        prizes = dict(zip(pdf["u"], pdf["prize_u"], strict=True)) | dict(zip(pdf["v"], pdf["prize_v"], strict=True))
-        kept, _ = grow_tree(prizes, list(zip(pdf["u"], pdf["v"], pdf["cost"], strict=True)))
-        return pd.DataFrame({"qid": int(pdf["qid"].iloc[0]), "node": sorted(kept)})
+        pdf = pdf.sort_values(["u", "v", "prize"], ignore_index=True)
+        prizes = dict(zip(pdf["u"].tolist(), pdf["prize_u"].tolist(), strict=True)) | dict(zip(pdf["v"].tolist(), pdf["prize_v"].tolist(), strict=True))
+        edges = list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["prize"].tolist(), strict=True))
+        nodes, kept = retrieve_subgraph(prizes, edges, cost)
+        rows = [("node", x, None) for x in sorted(nodes)] + [("edge", *edges[k][:2]) for k in kept]
+        return pd.DataFrame(rows, columns=["kind", "u", "v"]).astype({"u": "Int64", "v": "Int64"}).assign(qid=int(pdf["qid"].iloc[0]))[["qid", "kind", "u", "v"]]
 
-    return graphs.groupBy("qid").applyInPandas(solve, "qid long, node long")
+    return graphs.groupBy("qid").applyInPandas(solve, "qid long, kind string, u long, v long")

@@ -80,11 +80,20 @@ def graph_edges(s, d):
     return edges(s, d)
 
 
-@query("""SELECT * FROM (VALUES ('author', 'paper_nodes', 'author_nodes'), ('cited_by', 'paper_nodes', 'paper_nodes'), ('reference', 'paper_nodes', 'paper_nodes'), ('venue', 'paper_nodes', 'venue_nodes'),
- ('papers', 'author_nodes', 'paper_nodes'), ('paper_nodes', 'author_nodes', 'paper_nodes'), ('paper-writes-author', 'paper_nodes', 'author_nodes'), ('unknown', 'paper_nodes', NULL)) t(relation, source_type, target_type)""")
+#: relation, source type, target among paper_nodes, author_nodes, venue_nodes, Disease_nodes and genes_nodes.
+_RELATIONS = (
+    ("author", "paper_nodes", "author_nodes"), ("cited_by", "paper_nodes", "paper_nodes"), ("reference", "paper_nodes", "paper_nodes"), ("venue", "paper_nodes", "venue_nodes"),
+    ("papers", "author_nodes", "paper_nodes"), ("paper_nodes", "author_nodes", "paper_nodes"), ("paper-writes-author", "paper_nodes", "author_nodes"), ("unknown", "paper_nodes", None),
+    ("Author", "paper_nodes", None), ("Disease-x-gene", "Disease_nodes", "genes_nodes"), ("Disease - has - gene", "genes_nodes", "Disease_nodes"), ("disease-x-gene", "Disease_nodes", None),
+    ("a-b", "paper_nodes", None), ("paper--cites--cited_by", "paper_nodes", "paper_nodes"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{t}', " + (f"'{x}'" if x else "NULL") + ")" for r, t, x in _RELATIONS) + ") t(relation, source_type, target_type)")
 def relation_resolution(s, d):
-    rows = s.createDataFrame([("author", "paper_nodes"), ("cited_by", "paper_nodes"), ("reference", "paper_nodes"), ("venue", "paper_nodes"), ("papers", "author_nodes"), ("paper_nodes", "author_nodes"), ("paper-writes-author", "paper_nodes"), ("unknown", "paper_nodes")], "relation string, source_type string")
-    return rows.withColumn("target_type", resolve_relation(F.col("relation"), F.col("source_type"), F.array(*(F.lit(f"{t}_nodes") for t in ("paper", "author", "venue")))))
+    rows = s.createDataFrame([r[:2] for r in _RELATIONS], "relation string, source_type string")
+    types = F.array(*(F.lit(f"{t}_nodes") for t in ("paper", "author", "venue", "Disease", "genes")))
+    return rows.withColumn("target_type", resolve_relation(F.col("relation"), F.col("source_type"), types))
 
 
 @query("WITH " + NODES + " SELECT node_type, CAST(row_number() OVER (ORDER BY node_type) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT node_type FROM gn)")
@@ -159,7 +168,7 @@ def normalized_adjacency_binary(s, d):
     return _normalized(s, d, True)
 
 
-@query(rec(_NORM, "a AS (SELECT u, v, CAST(count(*) AS DOUBLE) AS w FROM (SELECT u, v FROM su UNION ALL SELECT node_idx, node_idx FROM sn) GROUP BY u, v)", "dg AS (SELECT u, sum(w) AS d FROM a GROUP BY u)"))
+@query(rec(_NORM, "a AS (SELECT u, v, CAST(count(*) AS DOUBLE) AS w FROM (SELECT src_idx AS u, dst_idx AS v FROM ge UNION ALL SELECT dst_idx, src_idx FROM ge UNION ALL SELECT node_idx, node_idx FROM gn) GROUP BY u, v)", "dg AS (SELECT u, sum(w) AS d FROM a GROUP BY u)"))
 def normalized_adjacency_weighted(s, d):
     return _normalized(s, d, False)
 
@@ -193,44 +202,11 @@ def hsgs_fanouts(s, d):
     return s.createDataFrame([(n, k, i, f) for n, k in ((4, 25), (2, 16)) for i, f in enumerate(graph.fanouts(n, k, 0.7))], "layers int, k_init int, hop int, fanout int")
 
 
-_SAMPLE = (
-    "qs AS (SELECT node_idx % 7 AS qid, node_idx FROM sn WHERE node_type = 'customer_nodes' ORDER BY " + hash_sql("node_idx", 21) + ", node_idx LIMIT 28)",
-    "ei AS (SELECT dst_idx AS s, src_idx AS t, 2 * src_idx AS id FROM se UNION ALL SELECT src_idx, dst_idx, 2 * src_idx + 1 FROM se)",
-    "t1 AS (SELECT qid, s, t, id FROM (SELECT q.qid, e.s, e.t, e.id, row_number() OVER (PARTITION BY q.qid, e.t ORDER BY " + hash_sql("e.id", 23) + ", e.id) AS rn FROM qs q JOIN ei e ON e.t = q.node_idx) WHERE rn <= 16)",
-    "f1 AS (SELECT DISTINCT qid, s AS node_idx FROM t1 EXCEPT SELECT qid, node_idx FROM qs)",
-    "t2 AS (SELECT qid, s, t, id FROM (SELECT q.qid, e.s, e.t, e.id, row_number() OVER (PARTITION BY q.qid, e.t ORDER BY " + hash_sql("e.id", 23) + ", e.id) AS rn FROM f1 q JOIN ei e ON e.t = q.node_idx) WHERE rn <= 11)",
-    "f2 AS (SELECT DISTINCT qid, s AS node_idx FROM t2 EXCEPT (SELECT qid, node_idx FROM qs UNION SELECT qid, node_idx FROM f1))",
-)
-
-
-def _sampled(s, d):
-    """Both ends of each HopQA question are its seeds in the full graph; an edge's two directions have ids of their own."""
-    seeds = hop_records(s, d).select("qid", F.explode(F.array("src", "dst")).alias("node_idx"))
-    e = edges(s, d, numbered=True)
-    both = e.select(F.col("dst_idx").alias("src_idx"), F.col("src_idx").alias("dst_idx"), (2 * F.col("edge_id")).alias("edge_id")).unionByName(e.select("src_idx", "dst_idx", (2 * F.col("edge_id") + 1).alias("edge_id")))
-    return graph.sample_neighbourhood(seeds, both, graph.fanouts(2, 16, 0.7), 23)
-
-
-@query(rec("SELECT qid, node_idx, 0 AS hop FROM qs UNION ALL SELECT qid, node_idx, 1 FROM f1 UNION ALL SELECT qid, node_idx, 2 FROM f2", *_SAMPLE))
-def hsgs_sample_nodes(s, d):
-    return _sampled(s, d)[0]
-
-
-@query(rec("SELECT qid, s AS src_idx, t AS dst_idx, id AS edge_id, 1 AS hop FROM t1 UNION ALL SELECT qid, s, t, id, 2 FROM t2", *_SAMPLE))
-def hsgs_sample_edges(s, d):
-    return _sampled(s, d)[1]
-
-
 @query(rec("SELECT node_idx, " + hash_sql("node_idx", 7) + " AS hash FROM gdeg WHERE total_deg > 0 ORDER BY hash, node_idx LIMIT 1000"))
 def reservoir_sources(s, d):
     return hopqa.sources(nodes(s, d), edges(s, d), 1000, 7)
 
 
-@query(rec("SELECT src_idx, dst_idx, edge_attr FROM se WHERE " + hash_sql("src_idx", 31) + " >= 0.2::DOUBLE * 2147483647"))
-def edge_dropout(s, d):
-    return edges(s, d, numbered=True).filter(h("edge_id", 31) >= 0.2 * 2147483647).select("src_idx", "dst_idx", "edge_attr")
-
-
 def _anchors(s, d):
     return nodes(s, d, True).filter("node_type = 'customer_nodes'").orderBy(h("node_idx", 3), "node_idx").limit(10).select("node_idx")
 
@@ -365,6 +341,53 @@ def hop_records(s, d):
     return hopqa.records(nodes(s, d, True), e, undirected(e), 200, 4, 40, 13)
 
 
+#: The full graph's edges with ids that no two share; a line's place is by all its columns.
+NUMBERED = (
+    """ln AS (
+      SELECT l_orderkey, l_partkey, l_suppkey,
+             l_orderkey * (SELECT max(c) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey))
+             + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS place
+      FROM lineitem)""",
+    """ne AS (
+      SELECT src_idx, dst_idx, edge_attr, src_idx AS edge_id FROM ge WHERE edge_attr NOT IN ('part', 'supplier')
+      UNION ALL SELECT a + b + c + d + e + l_orderkey, a + b + c + d + l_partkey, 'part', a + b + c + d + e + (SELECT count(*) FROM orders) + 2 * place FROM ln, o
+      UNION ALL SELECT a + b + c + d + e + l_orderkey, a + b + l_suppkey, 'supplier', a + b + c + d + e + (SELECT count(*) FROM orders) + 2 * place + 1 FROM ln, o)""",
+)
+_SAMPLE = (
+    *HQ,
+    *NUMBERED,
+    "qs AS (SELECT qid, src AS node_idx FROM hx UNION SELECT qid, dst FROM hx)",
+    "ei AS (SELECT dst_idx AS s, src_idx AS t, 2 * edge_id AS id FROM ne UNION ALL SELECT src_idx, dst_idx, 2 * edge_id + 1 FROM ne)",
+    "t1 AS (SELECT qid, s, t, id FROM (SELECT q.qid, e.s, e.t, e.id, row_number() OVER (PARTITION BY q.qid, e.t ORDER BY " + hash_sql("e.id", 23) + ", e.id) AS rn FROM qs q JOIN ei e ON e.t = q.node_idx) WHERE rn <= 16)",
+    "f1 AS (SELECT DISTINCT qid, s AS node_idx FROM t1 EXCEPT SELECT qid, node_idx FROM qs)",
+    "t2 AS (SELECT qid, s, t, id FROM (SELECT q.qid, e.s, e.t, e.id, row_number() OVER (PARTITION BY q.qid, e.t ORDER BY " + hash_sql("e.id", 23) + ", e.id) AS rn FROM f1 q JOIN ei e ON e.t = q.node_idx) WHERE rn <= 11)",
+    "f2 AS (SELECT DISTINCT qid, s AS node_idx FROM t2 EXCEPT (SELECT qid, node_idx FROM qs UNION SELECT qid, node_idx FROM f1))",
+)
+
+
+def _sampled(s, d):
+    """Both ends of each HopQA question are its seeds in the full graph; an edge's two directions have ids of their own."""
+    seeds = hop_records(s, d).select("qid", F.explode(F.array("src", "dst")).alias("node_idx"))
+    e = edges(s, d, numbered=True)
+    both = e.select(F.col("dst_idx").alias("src_idx"), F.col("src_idx").alias("dst_idx"), (2 * F.col("edge_id")).alias("edge_id")).unionByName(e.select("src_idx", "dst_idx", (2 * F.col("edge_id") + 1).alias("edge_id")))
+    return graph.sample_neighbourhood(seeds, both, graph.fanouts(2, 16, 0.7), 23)
+
+
+@query(rec("SELECT qid, node_idx, 0 AS hop FROM qs UNION ALL SELECT qid, node_idx, 1 FROM f1 UNION ALL SELECT qid, node_idx, 2 FROM f2", *_SAMPLE))
+def hsgs_sample_nodes(s, d):
+    return _sampled(s, d)[0]
+
+
+@query(rec("SELECT qid, s AS src_idx, t AS dst_idx, id AS edge_id, 1 AS hop FROM t1 UNION ALL SELECT qid, s, t, id, 2 FROM t2", *_SAMPLE))
+def hsgs_sample_edges(s, d):
+    return _sampled(s, d)[1]
+
+
+@query(rec("SELECT src_idx, dst_idx, edge_attr FROM ne WHERE " + hash_sql("edge_id", 31) + " >= 0.2::DOUBLE * 2147483647", *NUMBERED))
+def edge_dropout(s, d):
+    return edges(s, d, numbered=True).filter(h("edge_id", 31) >= 0.2 * 2147483647).select("src_idx", "dst_idx", "edge_attr")
+
+
 @query(rec("SELECT qid, src, dst, hop, path, src_id, dst_id, question, answer FROM hx", *HQ))
 def hopqa_records(s, d):
     return hop_records(s, d).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))

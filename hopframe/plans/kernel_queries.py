@@ -44,7 +44,7 @@ def mean_pool(s, d):
     return _emb(s, d).select("label", F.posexplode("embedding").alias("dim", "y")).groupBy("label", "dim").agg(F.round(F.avg(F.col("y").cast("double")), 6).alias("mean"))
 
 
-@query("WITH " + _V + ", q AS (SELECT vec_id AS qid, e AS q FROM v WHERE vec_id % 100 = 0), x AS (SELECT qid, vec_id, round(" + dot_sql("q", "e") + " / (sqrt(" + dot_sql("q", "q") + ") * sqrt(" + dot_sql("e", "e") + ")), 6) AS sim FROM q, v WHERE vec_id <> qid) SELECT qid, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rn FROM x) WHERE rn <= 5")
+@query("WITH " + _V + ", q AS (SELECT vec_id AS qid, e AS q FROM v WHERE vec_id % 50 = 0), x AS (SELECT qid, vec_id, round(" + dot_sql("q", "e") + " / (sqrt(" + dot_sql("q", "q") + ") * sqrt(" + dot_sql("e", "e") + ")), 6) AS sim FROM q, v WHERE vec_id <> qid) SELECT qid, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rn FROM x) WHERE rn <= 5")
 def cosine_topk(s, d):
     v = _emb(s, d)
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
@@ -62,7 +62,7 @@ def align_loss(s, d):
     return x.groupBy("g").agg(F.round(F.sum(F.col("diff") * F.col("diff")) / F.greatest(F.count("*"), F.lit(1)), 6).alias("loss"))
 
 
-@query("WITH " + _V + ", k AS (SELECT e AS k FROM v WHERE vec_id < 64), q AS (SELECT vec_id, e AS q, " + dot_sql("e", "e") + " / 0.07 AS pos FROM v WHERE vec_id % 50 = 0), x AS (SELECT vec_id, pos, " + dot_sql("q", "k") + " / 0.07 AS l FROM q, k), m AS (SELECT vec_id, pos, greatest(pos, max(l)) AS m, list(l) AS ls FROM x GROUP BY 1, 2) SELECT vec_id, round(ln(exp(pos - m) + list_sum(list_transform(ls, lambda l: exp(l - m)))) + m - pos, 6) AS nce FROM m")
+@query("WITH " + _V + ", k AS (SELECT e AS k FROM v WHERE vec_id < 64), q AS (SELECT vec_id, e AS q, " + dot_sql("e", "e") + " / 0.07 AS pos FROM v), x AS (SELECT vec_id, pos, " + dot_sql("q", "k") + " / 0.07 AS l FROM q, k), m AS (SELECT vec_id, pos, greatest(pos, max(l)) AS m, list(l) AS ls FROM x GROUP BY 1, 2) SELECT vec_id, round(ln(exp(pos - m) + list_sum(list_transform(ls, lambda l: exp(l - m)))) + m - pos, 6) AS nce FROM m")
 def infonce(s, d):
     v = _emb(s, d)
     queue = F.broadcast(v.filter("vec_id < 64").select(F.col("embedding").alias("k")))  # a queue of fixed length
@@ -91,7 +91,7 @@ def score_accumulate(s, d):
 
 
 #: Scores of the small graph's nodes: the sum of the events of the user with a node's number.
-_SC = "sv AS (SELECT user_id AS node_idx, sum(value) AS t, count(*) AS n FROM events GROUP BY 1), cb AS (SELECT d.node_idx, d.total_deg, coalesce(t / n * (1 - exp(-n / 8.0::DOUBLE)), 0) AS sc, coalesce(n, 0) AS n FROM sdeg d LEFT JOIN sv USING (node_idx)), mx AS (SELECT max(sc) AS ms, max(total_deg) AS md FROM cb), nm AS (SELECT node_idx, round(0.7::DOUBLE * CASE WHEN ms > 0 THEN sc / ms ELSE 0 END + 0.3::DOUBLE * total_deg / md, 9) AS combined, round(total_deg / CAST(md AS DOUBLE) / (n + 1), 9) AS explore FROM cb, mx)"
+_SC = "sv AS (SELECT user_id AS node_idx, sum(value) AS t, count(*) AS n FROM events GROUP BY 1), cb AS (SELECT d.node_idx, d.total_deg, coalesce(t / n * (1 - exp(-n / 8.0::DOUBLE)), 0) AS sc, coalesce(n, 0) AS n FROM gdeg d LEFT JOIN sv USING (node_idx)), mx AS (SELECT max(sc) AS ms, max(total_deg) AS md FROM cb), nm AS (SELECT node_idx, round(0.7::DOUBLE * CASE WHEN ms > 0 THEN sc / ms ELSE 0 END + 0.3::DOUBLE * total_deg / md, 9) AS combined, round(total_deg / CAST(md AS DOUBLE) / (n + 1), 9) AS explore FROM cb, mx)"
 
 
 @query(rec("SELECT node_idx, tier FROM (SELECT node_idx, 'exploit' AS tier FROM (SELECT node_idx FROM nm ORDER BY combined DESC, node_idx LIMIT 48) UNION ALL SELECT node_idx, 'explore' FROM (SELECT node_idx FROM nm WHERE node_idx NOT IN (SELECT node_idx FROM nm ORDER BY combined DESC, node_idx LIMIT 48) ORDER BY explore DESC, node_idx LIMIT 16))", _SC))
@@ -132,8 +132,22 @@ def pcst_edge_prizes(s, d):
 
 @query()
 def pcst_solve(s, d):
-    e = edges(s, d, True).filter("edge_attr = 'nation'").select((F.col("dst_idx") % 8).alias("qid"), F.col("src_idx").alias("u"), F.col("dst_idx").alias("v"), F.lit(0.5).alias("cost"))
-    return retrieval.retrieve(e.withColumns({"prize_u": (F.col("u") % 5 == 0).cast("double"), "prize_v": F.lit(0.0)}))
+    """The subgraph of every HopQA question's sampled neighbourhood: prizes from the similarity of its nodes' vectors
+    (the vector of a node has its index, wrapped around) to that of its source, five best; three best edge values."""
+    found, links = _sampled(s, d)
+    v = _emb(s, d).select("vec_id", "embedding")
+    n_vec = v.count()
+    own = lambda c: F.pmod(F.col(c), F.lit(n_vec))
+    seeds = found.filter("hop = 0").groupBy("qid").agg(F.min("node_idx").alias("seed"))
+    seeds = seeds.join(v, own("seed") == F.col("vec_id")).select("qid", F.col("embedding").alias("q"))
+    near = found.select("qid", "node_idx").distinct().join(seeds, "qid").join(v, own("node_idx") == F.col("vec_id"))
+    near = near.select("qid", "node_idx", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
+    by = Window.partitionBy("qid").orderBy(F.desc("sim"), "node_idx")
+    near = near.withColumn("rn", F.row_number().over(by)).withColumn("prize", F.when(F.col("rn") <= 5, 6.0 - F.col("rn")).otherwise(0.0))
+    end = lambda c: near.select("qid", F.col("node_idx").alias(c), F.col("sim").alias(f"sim_{c}"), F.col("prize").alias(f"prize_{c}"))
+    e = links.select("qid", F.col("src_idx").alias("u"), F.col("dst_idx").alias("v")).distinct().join(end("u"), ["qid", "u"]).join(end("v"), ["qid", "v"])
+    e = e.withColumn("sim", F.round((F.col("sim_u") + F.col("sim_v")) / 2, 6))
+    return retrieval.retrieve(retrieval.ranked_edge_prizes(e, "qid", "sim", 3), 0.5)
 
 
 @query(rec("SELECT h.qid, count(*) AS n_nodes, sum(CAST(h.hop = 0 AS BIGINT)) AS n_seeds FROM (SELECT qid, node_idx, 0 AS hop FROM qs UNION ALL SELECT qid, node_idx, 1 FROM f1 UNION ALL SELECT qid, node_idx, 2 FROM f2) h GROUP BY 1", *_SAMPLE))
@@ -259,21 +273,81 @@ def early_stop(s, d):
     return control.early_stop(_epochs(s, d).select("epoch", "val_loss"), 6)
 
 
-@query("WITH " + _EP + " SELECT * FROM (SELECT 'val_loss' AS policy, epoch FROM ep ORDER BY val_loss, epoch LIMIT 1) UNION ALL SELECT * FROM (SELECT 'val_em', epoch FROM ep ORDER BY val_em DESC, epoch LIMIT 1) UNION ALL SELECT * FROM (SELECT 'val_em_legal_integer', epoch FROM ep ORDER BY val_em DESC, legal_rate DESC, epoch LIMIT 1) UNION ALL SELECT * FROM (SELECT 'val_em_digit8', epoch FROM ep WHERE digit8_rate <= 0.1 ORDER BY val_em DESC, digit8_rate, epoch LIMIT 1)")
+#: What makes an epoch better than the kept one, its score and its second rate, by policy.
+_POLICIES = {
+    "val_loss": ("r.val_loss < f.score", "r.val_loss", "NULL"),
+    "val_em": ("r.val_em > f.score", "r.val_em", "NULL"),
+    "val_em_legal_integer": ("r.val_em > f.score OR (abs(r.val_em - f.score) <= 1e-12::DOUBLE AND (f.second IS NULL OR r.legal_rate > f.second))", "r.val_em", "r.legal_rate"),
+    "val_em_digit8": (
+        "CASE WHEN r.digit8_rate <= 0.09::DOUBLE THEN r.val_em > f.score OR (abs(r.val_em - f.score) <= 1e-12::DOUBLE AND (f.second IS NULL OR r.digit8_rate < f.second)) ELSE f.kept < 0 END",
+        "CASE WHEN r.digit8_rate <= 0.09::DOUBLE THEN r.val_em ELSE r.val_loss END", "r.digit8_rate",
+    ),
+}
+
+
+def _kept_sql(name: str, better: str, score: str, second: str) -> str:
+    return f"""f_{name}(k, score, second, kept) AS (
+      SELECT 0::BIGINT, {"1e300" if name == "val_loss" else "-1e300"}::DOUBLE, NULL::DOUBLE, -1::BIGINT
+      UNION ALL
+      SELECT r.k, CASE WHEN {better} THEN {score} ELSE f.score END, CASE WHEN {better} THEN CAST({second} AS DOUBLE) ELSE f.second END, CASE WHEN {better} THEN r.epoch ELSE f.kept END
+      FROM f_{name} f JOIN r ON r.k = f.k + 1)"""
+
+
+@query(
+    "WITH RECURSIVE " + _EP + ", r AS (SELECT *, row_number() OVER (ORDER BY epoch) AS k FROM ep), "
+    + ", ".join(_kept_sql(n, *p) for n, p in _POLICIES.items())
+    + " " + " UNION ALL ".join(f"SELECT '{n}' AS policy, kept AS epoch FROM f_{n} WHERE k = (SELECT max(k) FROM r)" for n in _POLICIES)
+)
 def best_checkpoint(s, d):
     e = _epochs(s, d)
-    parts = [control.best_checkpoint(e, p, 0.1).select(F.lit(p).alias("policy"), "epoch") for p in ("val_loss", "val_em", "val_em_legal_integer", "val_em_digit8")]
+    parts = [control.best_checkpoint(e, p, 0.09).select(F.lit(p).alias("policy"), "epoch") for p in _POLICIES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("WITH RECURSIVE " + _EP + ", r AS (SELECT epoch, val_em AS progress, row_number() OVER (ORDER BY epoch) AS k FROM ep), f(k, epoch, ema, w) AS (SELECT k, epoch, progress, greatest(0.05::DOUBLE, least(0.5::DOUBLE, 0.25::DOUBLE + greatest(-0.02::DOUBLE, least(0.02::DOUBLE, 0.05::DOUBLE + 0.45::DOUBLE * (1 - progress) - 0.25::DOUBLE)))) FROM r WHERE k = 1 UNION ALL SELECT r.k, r.epoch, 0.8::DOUBLE * f.ema + 0.2::DOUBLE * r.progress, greatest(0.05::DOUBLE, least(0.5::DOUBLE, f.w + greatest(-0.02::DOUBLE, least(0.02::DOUBLE, 0.05::DOUBLE + 0.45::DOUBLE * (1 - (0.8::DOUBLE * f.ema + 0.2::DOUBLE * r.progress)) - f.w)))) FROM f JOIN r ON r.k = f.k + 1) SELECT epoch, round(ema, 6) AS ema, round(w, 6) AS weight FROM f")
-def progress_ema(s, d):
-    return control.progress_controller(_epochs(s, d).select("epoch", F.col("val_em").alias("progress")), 0.8, 0.05, 0.5, 0.02, 0.25)
+_HAT = "round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.2::DOUBLE + 0.9::DOUBLE * val_em + 2.0::DOUBLE * digit8_rate - 0.5::DOUBLE * legal_rate)), 6)"
+
 
+def _hat(e: DataFrame) -> DataFrame:
+    hat = control.progress(F.col("val_em"), F.col("digit8_rate"), F.col("legal_rate"), 0.2, (0.9, 2.0, -0.5))
+    return e.select("epoch", F.round(hat, 6).alias("progress"), "digit8_rate")
 
-@query("WITH RECURSIVE " + _EP + ", r AS (SELECT epoch, digit8_rate > 0.09 AND coalesce(lag(digit8_rate) OVER (ORDER BY epoch), 0) <= 0.09 AS hit, row_number() OVER (ORDER BY epoch) AS k FROM ep), f(k, epoch, reset, last) AS (SELECT k, epoch, hit, CASE WHEN hit THEN epoch ELSE -1000000 END FROM r WHERE k = 1 UNION ALL SELECT r.k, r.epoch, r.hit AND r.epoch - f.last > 3, CASE WHEN r.hit AND r.epoch - f.last > 3 THEN r.epoch ELSE f.last END FROM f JOIN r ON r.k = f.k + 1) SELECT epoch, reset FROM f")
+
+@query("WITH " + _EP + f" SELECT epoch, {_HAT} AS progress FROM ep")
+def progress_hat(s, d):
+    return _hat(_epochs(s, d)).select("epoch", "progress")
+
+
+@query(
+    "WITH RECURSIVE " + _EP + f", r AS (SELECT epoch, {_HAT} AS p, digit8_rate AS g, row_number() OVER (ORDER BY epoch) AS k FROM ep), "
+    + """f(k, epoch, ema, w) AS (
+      SELECT 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, 0.25::DOUBLE
+      UNION ALL
+      SELECT k, epoch, ema, greatest(0.05::DOUBLE, least(0.5::DOUBLE, w + greatest(-0.02::DOUBLE, least(0.02::DOUBLE, aim + rate + band - w)))) FROM (
+        SELECT *, CASE WHEN ema >= 0.55::DOUBLE THEN greatest(0.05::DOUBLE + 0.45::DOUBLE * (1 - ema), 0.28::DOUBLE) ELSE 0.05::DOUBLE + 0.45::DOUBLE * (1 - ema) END AS aim,
+               0.5::DOUBLE * CASE WHEN abs(g - 0.09::DOUBLE) <= 0.002::DOUBLE THEN 0 ELSE g - 0.09::DOUBLE END AS rate,
+               CASE WHEN g > 0.1::DOUBLE + 0.001::DOUBLE THEN 0.8::DOUBLE * (g - (0.1::DOUBLE + 0.001::DOUBLE))
+                    WHEN g < 0.085::DOUBLE - 0.001::DOUBLE THEN 0.4::DOUBLE * (g - (0.085::DOUBLE - 0.001::DOUBLE)) ELSE 0 END AS band
+        FROM (SELECT r.k, r.epoch, coalesce(0.8::DOUBLE * f.ema + 0.2::DOUBLE * r.p, r.p) AS ema, r.g, f.w FROM f JOIN r ON r.k = f.k + 1)))
+    SELECT epoch, round(ema, 6) AS ema, round(w, 6) AS weight FROM f WHERE k > 0"""
+)
+def progress_ema(s, d):
+    e = _hat(_epochs(s, d))
+    return control.progress_controller(e, 0.8, 0.05, 0.5, 0.02, 0.25, hold=(0.55, 0.28), target=(0.09, 0.5, 0.002), band=(0.085, 0.1, 0.001, 0.8, 0.4))
+
+
+@query(
+    "WITH RECURSIVE " + _EP + f", r AS (SELECT epoch, {_HAT} AS p, row_number() OVER (ORDER BY epoch) AS k FROM ep), "
+    + """f(k, epoch, reset, before, wait) AS (
+      SELECT 0::BIGINT, NULL::BIGINT, false, NULL::DOUBLE, 0
+      UNION ALL
+      SELECT k, epoch, hit, p, CASE WHEN hit THEN 3 ELSE wait END FROM (
+        SELECT r.k, r.epoch, r.p, greatest(f.wait - 1, 0) AS wait,
+               coalesce(f.before >= 0.55::DOUBLE AND r.p < 0.55::DOUBLE + 0.02::DOUBLE AND r.p - f.before <= -0.01::DOUBLE, false) AND f.wait <= 1 AS hit
+        FROM f JOIN r ON r.k = f.k + 1))
+    SELECT epoch, reset FROM f WHERE k > 0"""
+)
 def momentum_reset(s, d):
-    return control.momentum_resets(_epochs(s, d).select("epoch", F.col("digit8_rate").alias("rate")), 0.09, 3)
+    return control.momentum_resets(_hat(_epochs(s, d)).select("epoch", "progress"), 0.55, 0.02, 0.01, 3)
 
 
 @query("SELECT * FROM (VALUES (3300::BIGINT, 800::BIGINT)) t(total, trainable)")

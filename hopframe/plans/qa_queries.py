@@ -94,10 +94,20 @@ def prompt_protocol_lookup(s, d):
     return f.select("family", T.output_mode(F.col("family")).alias("output_mode"), T.prompt(F.col("family")).alias("prompt"))
 
 
-@query(PR + "SELECT id, answer, array_to_string(path, ',') AS path FROM g")
+#: Predictions that tell strict from lenient parsing, by id; the rest are as they are.
+_ODD_PREDICTIONS = ("{'answer': 3}", '{"answer": null, "path": ["a", "b"]}', 'x {"answer": 3} y', '{"path":["a"]}', "{bad", '{"answer": [1, 2]}')
+
+
+@query(
+    PR + """SELECT id,
+      CASE id % 12 WHEN 0 THEN '{''answer'': 3}' WHEN 1 THEN NULL WHEN 2 THEN '3' WHEN 3 THEN '{"path":["a"]}' WHEN 4 THEN '{bad' WHEN 5 THEN '[1,2]' ELSE answer END AS answer,
+      CASE id % 12 WHEN 1 THEN 'a,b' WHEN 3 THEN 'a' WHEN 0 THEN NULL WHEN 2 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE array_to_string(path, ',') END AS path
+    FROM g"""
+)
 def parse_pred_json(s, d):
     p = predictions(s, d)
-    return p.select("id", T.parsed_answer(F.col("pred")).alias("answer"), F.array_join(T.parsed_path(F.col("pred")), ",").alias("path"))
+    text = F.when(F.col("id") % 12 < len(_ODD_PREDICTIONS), F.get(F.array(*map(F.lit, _ODD_PREDICTIONS)), (F.col("id") % 12).cast("int"))).otherwise(F.col("pred"))
+    return p.select("id", T.parsed_answer(text).alias("answer"), F.array_join(T.parsed_path(text), ",").alias("path"))
 
 
 @query(PR + "SELECT id, num AS extracted FROM g")
@@ -119,16 +129,34 @@ def trim_numeric_noise(s, d):
 @query("SELECT p_partkey, 'type=part_nodes; brand: ' || p_brand || '; name: ' || p_name || '; size: ' || p_size AS node_attr FROM part")
 def flatten_features(s, d):
     m = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("name"), F.col("p_name"), F.lit("size"), F.col("p_size").cast("string"))
-    flat = F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
-    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("type=part_nodes; "), flat).alias("node_attr"))
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("type=part_nodes; "), T.flattened(m)).alias("node_attr"))
+
+
+_NOISE = "array_to_string(list_slice(list_filter(regexp_extract_all({0}, '[A-Za-z]+(?:''[A-Za-z]+)?|[0-9]+(?:\\.[0-9]+)?'), lambda t: NOT regexp_matches(t, '^[0-9]')), 1, {1}), ' ')"
 
 
-@query("SELECT p_partkey, array_to_string(list_filter(['name: ' || array_to_string(list_slice(string_split(p_name, ' '), 1, 2), ' '), CASE WHEN p_size > 25 THEN 'size: ' || p_size END], lambda x: x IS NOT NULL), '; ') AS features FROM part")
+def _parts_sql(*parts: tuple[str, str]) -> str:
+    """name: value of the values that are not empty."""
+    return "array_to_string(list_filter([" + ", ".join(f"'{k}: ' || nullif({v}, '')" for k, v in parts) + "], lambda x: x IS NOT NULL), '; ')"
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, p_name || ' 12 ' || p_type || ' 3.5' AS t, p_size, p_brand FROM part) SELECT p_partkey, CASE k "
+    + "WHEN 0 THEN " + _parts_sql(("title", _NOISE.format("t", 64)), ("genres", "'a, b c'"), ("format", "p_brand"), ("shelf", _NOISE.format("p_brand || ' 7 x'", 32)))
+    + " WHEN 1 THEN " + _parts_sql(("name", _NOISE.format("t", 64)), ("note", _NOISE.format("repeat(t || ' ', 9)", 24)))
+    + " WHEN 2 THEN 'isbn: 12; size: ' || p_size ELSE '' END AS features FROM p"
+)
 def sanitize_features(s, d):
-    m = F.create_map(F.lit("name"), F.col("p_name"), F.lit("part_id"), F.col("p_partkey").cast("string"), F.lit("size"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")))
-    m = F.map_filter(m, lambda k, v: ~k.endswith("_id") & v.isNotNull())
-    m = F.transform_values(m, lambda k, v: F.when(k == "name", F.array_join(F.slice(F.split(v, " "), 1, 2), " ")).otherwise(v))
-    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ").alias("features"))
+    """The two noisy domains, another one, and a medical node of which only the name's fallback is left, which is empty."""
+    p = s.read.parquet(f"{d}/part.parquet").withColumn("t", F.concat("p_name", F.lit(" 12 "), "p_type", F.lit(" 3.5")))
+    m = lambda *x: F.create_map(*(v if not isinstance(v, str) else F.lit(v) for v in x))
+    k = F.col("p_partkey") % 4
+    book = m("title", F.col("t"), "isbn", "123", "genres", '["a", " b c ", " "]', "format", F.concat(F.lit(" "), "p_brand", F.lit(" ")), "shelf", F.concat("p_brand", F.lit(" 7 x")), "pages", "12")
+    medical = m("name", F.col("t"), "mesh_id", "D1", "other_id", "x y", "note", F.repeat(F.concat("t", F.lit(" ")), F.lit(9)), "dose", "3.5")
+    plain = m("isbn", "12", "size", F.col("p_size").cast("string"))
+    features = F.when(k == 0, book).when(k == 1, medical).when(k == 2, plain).otherwise(m("name", "12 3", "x_id", "y"))
+    domain = F.element_at(F.array(*map(F.lit, ("Goodreads", "biomedical", "dblp", "biomedical"))), (k + 1).cast("int"))
+    return p.select("p_partkey", T.flattened(T.sanitized_features(features, domain)).alias("features"))
 
 
 @query(PR + "SELECT id, trim(regexp_replace('<b>' || answer, '<[^>]+>', '', 'g')) || 'x' AS clean FROM g")
@@ -137,10 +165,33 @@ def clean_generation_a(s, d):
     return predictions(s, d).select("id", T.clean_tags_first(x).alias("clean"))
 
 
-@query(PR + "SELECT id, trim(answer) AS clean FROM g")
+_B_HEAD = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _clean_b_sql(x: str) -> str:
+    for mark in (r"</s>|<\|eot_id\|>|<\|end_of_text\|>", r"\[/?INST\]", "```"):
+        x = _B_HEAD.format(f"string_split_regex({x}, '{mark}')[1]")
+    x = _B_HEAD.format(f"regexp_replace({x}, '<[^>]+>', '', 'g')")
+    return _B_HEAD.format(f"regexp_replace({x}, '\\]\\s*\\(?/?INST\\)?', '', 'gi')")
+
+
+@query(
+    "WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN replace(html, '<article>', 'a <b [INST] c>') WHEN 2 THEN replace(html, '</p>', ' x</s>') ELSE replace(html, '<p>', '] (/INST) ``` ') END AS t FROM pages) "
+    "SELECT page_id, " + _clean_b_sql("t") + " AS clean FROM x"
+)
 def clean_generation_b(s, d):
-    x = F.concat(F.lit("<b>"), T.parsed_answer(F.col("pred")), F.lit("</s>x"))
-    return predictions(s, d).select("id", T.clean_tags_last(x).alias("clean"))
+    """Whole pages with marks put in, so that the order of the cuts shows."""
+    k, t = F.col("page_id") % 4, F.col("html")
+    put = lambda old, new: F.replace(t, F.lit(old), F.lit(new))
+    x = F.when(k == 0, t).when(k == 1, put("<article>", "a <b [INST] c>")).when(k == 2, put("</p>", " x</s>")).otherwise(put("<p>", "] (/INST) ``` "))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", T.clean_tags_last(x).alias("clean"))
+
+
+@query("SELECT event_id AS id, CASE WHEN v IS NULL THEN 'none' ELSE CAST(v AS VARCHAR) END AS first, CASE WHEN v IS NULL THEN 'none' WHEN v BETWEEN 1 AND 9 THEN CAST(v AS VARCHAR) ELSE '' END AS legal FROM (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_id % 23 - 3 END AS v FROM events)")
+def legal_integers(s, d):
+    i = F.col("event_id")
+    text = F.when(i % 5 > 0, F.concat(F.lit("about "), (i % 23 - 3).cast("string"), F.lit(" or 7"))).otherwise("none")
+    return s.read.parquet(f"{d}/events.parquet").select(i.alias("id"), T.legal_integer(text).alias("first"), T.legal_integer(text, 1, 9).alias("legal"))
 
 
 @query("SELECT p_partkey, replace(p_name, ' ', '|') AS keys, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n, array_to_string(list_slice(string_split(p_name, ' '), 1, 3), ', ') AS first_three FROM part")
@@ -394,7 +445,7 @@ def split_apportion(s, d):
     return c.withColumn("need", F.lit(50) - F.sum("base").over(all_)).select("k", "cap", (F.col("base") + (rank <= F.col("need")).cast("long")).alias("take"))
 
 
-@query("SELECT count(*) AS pairs, sum(CAST(contains(d.text, b.text) AS BIGINT)) AS hits FROM benchmark b, (SELECT text FROM documents WHERE length(text) < 4000) d")
+@query("SELECT count(*) AS pairs, sum(CAST(contains(d.text, b.text) AS BIGINT)) AS hits FROM benchmark b, documents d")
 def contains_match(s, d):
     b = s.read.parquet(f"{d}/benchmark.parquet").agg(F.collect_list("text").alias("items"))  # the benchmark is a bounded list
     docs = s.read.parquet(f"{d}/documents.parquet").select("text")

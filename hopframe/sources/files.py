@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RAW = "map<string,map<string,struct<features:map<string,string>,neighbors:map<string,array<string>>>>>"
 
@@ -34,12 +35,16 @@ def graph_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_table(spark: SparkSession, path: str, schema: str, required: list[str], optional: list[str] = [], sep: str = ",") -> DataFrame:  # noqa: B006
-    """A CSV table's required columns and those optional ones it has; an error names the missing."""
-    df = spark.read.schema(schema).csv(path, header=True, sep=sep)
+    """A CSV table's required columns and those optional ones it has, by name; an error names the missing.
+
+    The header is read first, so columns may come in any order. Values that their type can't hold are null.
+    """
+    df = spark.read.csv(path, header=True, sep=sep)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*required, *(c for c in optional if c in df.columns))
+    types = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+    return df.select(*(F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in [*required, *(c for c in optional if c in df.columns)]))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -105,9 +105,96 @@ def test_edge_prizes(spark):
 
 
 def test_tree_pays_for_itself():
-    kept, links = retrieval.grow_tree({0: 3.0, 1: 0.0, 2: 2.0, 3: 0.4}, [(0, 1, 0.5), (1, 2, 0.5), (2, 3, 1.0)])
-    assert kept == {0, 1, 2} and links == [(0, 1), (1, 2)]
-    assert retrieval.grow_tree({}, []) == (set(), [])
+    kept, links = retrieval.prize_tree({0: 3.0, 1: 0.0, 2: 2.0, 3: 0.4}, [(0, 1, 0.5), (1, 2, 0.5), (2, 3, 1.0)])
+    assert kept == {0, 1, 2} and links == [0, 1]
+    assert retrieval.prize_tree({}, []) == (set(), [])
+    # three linked nodes of 3 are worth more than a lone one of 5
+    assert retrieval.prize_tree({0: 5.0, 1: 3.0, 2: 3.0, 3: 3.0}, [(1, 2, 0.5), (2, 3, 0.5)])[0] == {1, 2, 3}
+    # an edge prize above the cost is a node of its own, and its ends come with it
+    assert retrieval.retrieve_subgraph({0: 0.0, 1: 0.0, 2: 0.0}, [(0, 1, 3.0), (1, 2, 0.0)], 0.5) == ({0, 1}, [0])
+
+
+def test_tree_keeps_the_guarantee():
+    """A connected tree whose cost and twice its missed prizes are at most twice the least possible."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    for _ in range(120):
+        k = rng.randint(2, 7)
+        prizes = {i: rng.choice([0, 0, 1, 2, 3, 0.5]) for i in range(k)}
+        edges = [(i, j, rng.choice([0.25, 0.5, 1, 1.5, 2])) for i in range(k) for j in range(i) if rng.random() < 0.45]
+
+        def joined(own, some):
+            root, cost = {x: x for x in own}, 0.0
+            for u, v, c in some:
+                a, b = u, v
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b:
+                    root[a], cost = b, cost + c
+            return cost if sum(root[x] == x for x in own) == 1 else None
+
+        total, least = sum(prizes.values()), None
+        for size in range(1, k + 1):
+            for own in itertools.combinations(range(k), size):
+                cost = joined(own, sorted((e for e in edges if e[0] in own and e[1] in own), key=lambda e: e[2]))
+                if cost is not None:
+                    value = cost + total - sum(prizes[x] for x in own)
+                    least = value if least is None else min(least, value)
+        nodes, kept = retrieval.prize_tree(prizes, edges)
+        cost = joined(nodes, [edges[e] for e in kept])
+        assert cost is not None and len(kept) == len(nodes) - 1
+        assert cost + 2 * (total - sum(prizes[x] for x in nodes)) <= 2 * least + 1e-9
+
+
+def test_clean_tags_come_last(spark):
+    assert one(spark, T.clean_tags_last(F.lit("x <a [INST] b> y"))) == "x <a"
+    assert one(spark, T.clean_tags_last(F.lit(" <b>3</b>\n```x"))) == "3"
+    for text, want in (("a 12", "12"), ("none", "none"), ("-3", "-3")):
+        assert one(spark, T.legal_integer(F.lit(text))) == want
+    for text, want in (("a 12", ""), ("none", "none"), ("007", "7"), ("99999999999999999999999999999999999999999", "")):
+        assert one(spark, T.legal_integer(F.lit(text), 1, 9)) == want
+
+
+def test_json_is_strict(spark):
+    for text, want in (("{'answer': 3}", "{'answer': 3}"), ('{"answer": null}', None), ('{"answer": "a"} {', "a"), ('{"answer": 1} }', '{"answer": 1} }'), ('x {"path": []}', 'x {"path": []}'), ('{"answer": 1}, {"answer": 2}', '{"answer": 1}, {"answer": 2}')):
+        assert one(spark, T.parsed_answer(F.lit(text))) == want
+
+
+def test_features_without_noise(spark):
+    book = {"title": "Vol 12 of Books", "isbn": "1", "genres": '["a", "", " b "]', "format": " Paper 2 ", "shelf": "top 10"}
+    m = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+    assert one(spark, T.sanitized_features(m(book), F.lit("Goodreads"))) == {"title": "Vol of Books", "genres": "a, b", "format": "Paper 2", "shelf": "top"}
+    assert one(spark, T.sanitized_features(m({"mesh_id": "1", "name": "Gene 7 x", "taxon_id": "9"}), F.lit("biomedical"))) == {"name": "Gene x"}
+    assert one(spark, T.sanitized_features(m(book), F.lit("dblp"))) == book
+
+
+def test_resets_fire_on_a_fall(spark):
+    e = spark.createDataFrame([(0, 0.5), (1, 0.6), (2, 0.58), (3, 0.54), (4, 0.6), (5, 0.4), (6, 0.6), (7, 0.4)], "epoch long, progress double")
+    got = [r["reset"] for r in control.momentum_resets(e, 0.55, 0.02, 0.01, 2).orderBy("epoch").collect()]
+    assert got == [False, False, False, True, False, True, False, True]
+    assert [r["reset"] for r in control.momentum_resets(e, 0.55, 0.04, 0.01, 5).orderBy("epoch").collect()] == [False, False, True, False, False, False, False, True]
+
+
+def test_checkpoint_policies(spark):
+    e = spark.createDataFrame([(0, 9.0, 0.5, 0.3, 0.2), (1, 8.0, 0.5, 0.05, 0.3), (2, 8.5, 0.7, 0.4, 0.1), (3, 7.0, 0.5, 0.01, 0.3)], "epoch long, val_loss double, val_em double, digit8_rate double, legal_rate double")
+    pick = lambda p, **k: [r["epoch"] for r in control.best_checkpoint(e, p, 0.1, **k).collect()]
+    assert (pick("val_loss"), pick("val_em"), pick("val_em_legal_integer")) == ([3], [2], [2])
+    # the first epoch is kept for its loss, which no later score beats; without the fallback ties go by the rate
+    assert pick("val_em_digit8") == [0] and pick("val_em_digit8", fallback=False) == [3]
+
+
+def test_tables_bind_by_name(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "t.csv").write_text("b,a\nx,1\ny,z\n")
+    got = files.read_table(spark, str(tmp_path / "t.csv"), "a int, b string, c string", ["a"], ["b", "c"])
+    assert got.columns == ["a", "b"] and [tuple(r) for r in got.collect()] == [(1, "x"), (None, "y")]
+    with pytest.raises(ValueError, match="missing columns: zz"):
+        files.read_table(spark, str(tmp_path / "t.csv"), "a int, zz int", ["a", "zz"])
 
 
 def test_learning_rate(spark):
