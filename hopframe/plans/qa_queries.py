@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hopframe.functions import text as T
 from hopframe.functions.hashing import h
+from hopframe.operators import evaluate
 from hopframe.plans.graph_queries import hash_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,19 +251,7 @@ SCORED = (
 
 
 def scored(s, d, dialect: str = "tasks"):
-    """Scores of each prediction under the current rules or, as "legacy", the older ones."""
-    q, lab = F.col("question"), F.col("label")
-    task = T.legacy_metric_task(q, lab) if dialect == "legacy" else T.metric_task(q, lab, T.task_family(q))
-    p = predictions(s, d).withColumn("answer", F.trim(T.parsed_answer(F.col("pred")))).withColumn("task", task)
-    number = F.col("task").isin("hop", "counting")
-    a = F.when(number, T.first_integer(F.col("answer"))).otherwise(F.col("answer"))
-    exact, tf1, recall = T.topic_scores(F.col("answer"), F.col("label"))
-    ok, wit = T.witness_scores(F.col("answer"), F.col("label"), F.col("gt_path"), F.lit(None).cast("string"))
-    topic, path = F.col("task") == "topic", F.col("task") == "path_witness"
-    joint = ((ok > 0) & (wit > 0)).cast("double")
-    em = F.when(topic, exact).when(path, joint).otherwise((T.normalize(a) == T.normalize(F.col("label"))).cast("double"))
-    f1 = F.when(topic, tf1).when(path, joint).otherwise(T.token_f1(a, F.col("label")))
-    return p.select("id", "task", "label", em.alias("em"), f1.alias("f1"), F.when(topic, recall).alias("recall"), F.when(path, ok).alias("ans"), F.when(path, wit).alias("wit"))
+    return evaluate.scored(predictions(s, d), dialect)
 
 
 @query(SCORED + "SELECT count(*) AS n, round(coalesce(avg(em), 0), 6) AS em, round(coalesce(avg(f1), 0), 6) AS f1 FROM sc")

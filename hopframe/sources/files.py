@@ -51,6 +51,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def indexed_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """raw_index and the fields of a JSONL file's lines, blank ones not counted, in the file's order.
+
+    The order within a file is kept by the reader's splits; a table of several files is in the order of their names.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"), "value").filter(F.trim("value") != "")
+    blocks = lines.groupBy("f", "b").agg(F.count("*").alias("n"))  # a row a split of a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("f", "b").orderBy("k")) - 1
+    x = lines.withColumn("_rn", rank).join(F.broadcast(blocks.select("f", "b", before.alias("_before"))), ["f", "b"])
+    return x.select((F.col("_rn") + F.col("_before")).cast("long").alias("raw_index"), F.from_json("value", schema).alias("r")).select("raw_index", "r.*")
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
