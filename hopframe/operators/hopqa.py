@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from hopframe.functions.hashing import h, h2
 from hopframe.operators.graph import bfs_paths, degrees
 
+# The three ways a question is put.
 TEMPLATES = (
     "What is the minimum number of graph hops needed to connect {a} to {b}?",
-    "How many hops separate {a} and {b} in the graph?",
-    "Find the shortest hop count from {a} to {b}.",
+    "What is the shortest hop count from {a} to {b} in the graph?",
+    "How many graph hops at minimum separate {a} from {b}?",
 )
 
 
@@ -26,8 +27,8 @@ def records(nodes: DataFrame, edges: DataFrame, und: DataFrame, n: int, hops: in
     reached = bfs_paths(sources(nodes, edges, n_sources, seed), und, hops).withColumn("hop", F.size("path") - 1).filter("hop > 0")
     quota = F.lit(n // hops) + (F.col("hop") <= n % hops).cast("int")
     by = Window.partitionBy("hop").orderBy("_h", "src", "node")
-    # the window keeps few rows a hop; ranks beyond the quota are pruned within each task first
-    got = reached.withColumn("_h", h2("src", "node", seed)).withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= quota)
+    # no hop's quota is over the literal bound, by which each task prunes its rows before they meet
+    got = reached.withColumn("_h", h2("src", "node", seed)).withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= -(-n // hops)).filter(F.col("rn") <= quota)
     qid = F.col("hop") * 100000 + F.col("rn")
     names = nodes.select("node_idx", "node_id")
     got = got.select(qid.cast("long").alias("qid"), "src", F.col("node").alias("dst"), "hop", "path")

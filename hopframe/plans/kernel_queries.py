@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopframe.functions import vectors as V
-from hopframe.operators import control, graph, retrieval
+from hopframe.operators import control, graph, propagate, retrieval
 from hopframe.plans.graph_queries import _SAMPLE, _sampled, rec
 from hopframe.sources.testgraph import edges, nodes, undirected
 
@@ -164,46 +164,45 @@ def propagate_degree(s, d):
     return y.groupBy(F.col("u").alias("node_idx")).agg(F.round(F.sum(F.col("gv") / (F.sqrt(F.col("gu") + 1) * F.sqrt(F.col("gv") + 1))), 6).alias("message"))
 
 
-#: The binary normalised adjacency, one and two steps of the degree signal.
+#: The binary normalised adjacency, a vector a node (that of its index, wrapped around), one and two steps, gates.
 _PROP = (
+    _V,
     "ad AS (SELECT u, v FROM su UNION SELECT node_idx, node_idx FROM sn)",
     "ag AS (SELECT u, CAST(count(*) AS DOUBLE) AS k FROM ad GROUP BY u)",
     "aw AS (SELECT ad.u, ad.v, 1 / sqrt(p.k * q.k) AS w FROM ad JOIN ag p ON p.u = ad.u JOIN ag q ON q.u = ad.v)",
-    "x1 AS (SELECT aw.u AS node_idx, sum(aw.w * d.total_deg) AS x FROM aw JOIN sdeg d ON d.node_idx = aw.v GROUP BY 1)",
-    "x2 AS (SELECT aw.u AS node_idx, sum(aw.w * x1.x) AS x FROM aw JOIN x1 ON x1.node_idx = aw.v GROUP BY 1)",
+    "x0 AS (SELECT n.node_idx, unnest(range(0, len(v.e))) AS dim, unnest(v.e) AS x FROM sn n JOIN v ON v.vec_id = n.node_idx % (SELECT count(*) FROM v))",
+    "x1 AS (SELECT aw.u AS node_idx, dim, sum(aw.w * x) AS x FROM aw JOIN x0 ON x0.node_idx = aw.v GROUP BY 1, 2)",
+    "x2 AS (SELECT aw.u AS node_idx, dim, sum(aw.w * x) AS x FROM aw JOIN x1 ON x1.node_idx = aw.v GROUP BY 1, 2)",
+    "ga AS (SELECT node_idx, 1 / (1 + exp(-(0.1::DOUBLE * total_deg - 0.5::DOUBLE))) AS g FROM sdeg)",
+    "h1 AS (SELECT x0.node_idx, x0.dim, g * x0.x + (1 - g) * x1.x AS x, (1 - g) * (x1.x - x0.x) AS moved FROM x0 JOIN x1 USING (node_idx, dim) JOIN ga USING (node_idx))",
+    "m2 AS (SELECT aw.u AS node_idx, dim, sum(aw.w * x) AS x FROM aw JOIN h1 ON h1.node_idx = aw.v GROUP BY 1, 2)",
 )
 
 
-def _propagated(s, d):
-    """node_idx, x0, x1, x2."""
-    e, n = edges(s, d, True), nodes(s, d, True)
-    a = undirected(e).unionByName(n.select(F.col("node_idx").alias("u"), F.col("node_idx").alias("v"))).distinct()
-    k = a.groupBy("u").agg(F.count("*").cast("double").alias("k"))
-    a = a.join(k, "u").join(k.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").select("u", "v", (1 / F.sqrt(F.col("k") * F.col("kv"))).alias("w"))
-    x0 = graph.degrees(n, e).select("node_idx", F.col("total_deg").cast("double").alias("x0"))
-    step = lambda x, c, to: a.join(x.select(F.col("node_idx").alias("v"), F.col(c).alias("_x")), "v").groupBy(F.col("u").alias("node_idx")).agg(F.sum(F.col("w") * F.col("_x")).alias(to))
-    x1 = step(x0, "x0", "x1")
-    return x0.join(x1, "node_idx").join(step(x1, "x1", "x2"), "node_idx")
+def _signal(s, d):
+    """The adjacency, the vectors and the gates of the small graph."""
+    e, n, v = edges(s, d, True), nodes(s, d, True), _emb(s, d)
+    n_vec = v.count()
+    x = n.select("node_idx", F.pmod("node_idx", F.lit(n_vec)).alias("vec_id")).join(v.select("vec_id", "embedding"), "vec_id")
+    gates = graph.degrees(n, e).select("node_idx", (1 / (1 + F.exp(-(0.1 * F.col("total_deg") - 0.5)))).alias("g"))
+    return propagate.adjacency(n, undirected(e)), propagate.exploded(x, "embedding"), gates
 
 
-@query(rec("SELECT x1.node_idx, round(x1.x + x2.x, 6) AS x FROM x1 JOIN x2 USING (node_idx)", *_PROP))
+@query(rec("SELECT node_idx, CAST(dim AS INTEGER) AS dim, round(x1.x + x2.x, 6) AS x FROM x1 JOIN x2 USING (node_idx, dim)", *_PROP))
 def propagate_l2(s, d):
-    return _propagated(s, d).select("node_idx", F.round(F.col("x1") + F.col("x2"), 6).alias("x"))
-
-
-_GATE = "1 / (1 + exp(-(0.1::DOUBLE * d.total_deg - 0.5::DOUBLE)))"
+    a, x, _ = _signal(s, d)
+    return propagate.propagated(a, x, 2).select("node_idx", "dim", F.round("x", 6).alias("x"))
 
 
-@query(rec("SELECT x1.node_idx, round(" + _GATE + " * d.total_deg + (1 - " + _GATE + ") * x1.x, 6) AS mixed FROM x1 JOIN sdeg d USING (node_idx)", *_PROP))
+@query(rec("SELECT node_idx, CAST(dim AS INTEGER) AS dim, round(x, 6) AS mixed FROM h1", *_PROP))
 def gated_mix(s, d):
-    g = 1 / (1 + F.exp(-(0.1 * F.col("x0") - 0.5)))
-    return _propagated(s, d).select("node_idx", F.round(g * F.col("x0") + (1 - g) * F.col("x1"), 6).alias("mixed"))
+    a, x, gates = _signal(s, d)
+    return propagate.gated(x, propagate.step(a, x), gates).select("node_idx", "dim", F.round("x", 6).alias("mixed"))
 
 
-@query(rec("SELECT x1.node_idx, round(((1 - " + _GATE + ") * abs(x1.x - d.total_deg) + (1 - " + _GATE + ") * abs(x2.x - x1.x)) / 2, 6) AS importance FROM x1 JOIN x2 USING (node_idx) JOIN sdeg d USING (node_idx)", *_PROP))
+@query(rec("SELECT node_idx, round((a.i + b.i) / 2, 6) AS importance FROM (SELECT node_idx, sqrt(sum(moved * moved)) AS i FROM h1 GROUP BY 1) a JOIN (SELECT node_idx, sqrt(sum(power((1 - g) * (m2.x - h1.x), 2))) AS i FROM m2 JOIN h1 USING (node_idx, dim) JOIN ga USING (node_idx) GROUP BY 1) b USING (node_idx)", *_PROP))
 def node_importance(s, d):
-    g = 1 / (1 + F.exp(-(0.1 * F.col("x0") - 0.5)))
-    return _propagated(s, d).select("node_idx", F.round(((1 - g) * F.abs(F.col("x1") - F.col("x0")) + (1 - g) * F.abs(F.col("x2") - F.col("x1"))) / 2, 6).alias("importance"))
+    return propagate.importance(*_signal(s, d), 2).select("node_idx", F.round("importance", 6).alias("importance"))
 
 
 @query(rec("SELECT n.batch, n_nodes, n_graphs, n_edges FROM (SELECT qid // 2 AS batch, count(*) AS n_nodes, count(DISTINCT qid) AS n_graphs FROM (SELECT qid FROM qs UNION ALL SELECT qid FROM f1 UNION ALL SELECT qid FROM f2) GROUP BY 1) n JOIN (SELECT qid // 2 AS batch, count(*) AS n_edges FROM (SELECT qid FROM t1 UNION ALL SELECT qid FROM t2) GROUP BY 1) e ON e.batch = n.batch", *_SAMPLE))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hopframe.functions import text as T
 from hopframe.functions.hashing import h
-from hopframe.operators import evaluate
+from hopframe.operators import evaluate, splits
 from hopframe.plans.graph_queries import hash_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -369,7 +369,7 @@ def split_family_80_10_10(s, d):
 @query(PR + ", m AS (SELECT id AS raw_index, row_number() OVER (ORDER BY id) - 1 AS sample_index FROM g WHERE family = 'hop') SELECT CASE raw_index % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, raw_index, sample_index FROM m")
 def split_explicit_map(s, d):
     p = predictions(s, d).filter(T.task_family(F.col("question")) == "hop").select(F.col("id").alias("raw_index"))
-    kept = p.withColumn("sample_index", (F.row_number().over(Window.orderBy("raw_index")) - 1).cast("long"))
+    kept = splits.numbered(p, "raw_index", "sample_index")
     listed = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("raw_index")).withColumn("split", F.when(F.col("raw_index") % 4 == 0, "train").when(F.col("raw_index") % 4 == 1, "val").otherwise("test"))
     return listed.join(kept, "raw_index").select("split", "raw_index", "sample_index")
 
@@ -414,12 +414,9 @@ def split_contiguous(s, d):
 
 @query("SELECT doc_id, CASE WHEN rk <= floor(0.6::DOUBLE * n) THEN 'train' WHEN rk <= floor(0.8::DOUBLE * n) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY " + hash_sql("doc_id", 42) + ", doc_id) AS rk, count(*) OVER () AS n FROM documents)")
 def split_random_60_20_20(s, d):
-    x = s.read.parquet(f"{d}/documents.parquet").select("doc_id").withColumn("hash", h("doc_id", 42))
+    x = splits.numbered(s.read.parquet(f"{d}/documents.parquet").select(F.struct(h("doc_id", 42).alias("hash"), "doc_id").alias("k")), "k", "rank")
     n = x.count()
-    # two order statistics instead of a rank over all rows: the hashes at the cuts
-    cuts = [x.orderBy("hash", "doc_id").limit(int(f * n)).agg(F.max(F.struct("hash", "doc_id")).alias("m")).first()["m"] for f in (0.6, 0.8)]
-    at = lambda c: F.lit(False) if c is None else F.struct("hash", "doc_id") <= F.struct(F.lit(c["hash"]).alias("hash"), F.lit(c["doc_id"]).alias("doc_id"))
-    return x.select("doc_id", F.when(at(cuts[0]), "train").when(at(cuts[1]), "val").otherwise("test").alias("split"))
+    return x.select("k.doc_id", F.when(F.col("rank") < int(0.6 * n), "train").when(F.col("rank") < int(0.8 * n), "val").otherwise("test").alias("split"))
 
 
 _APPORTION = "c AS (SELECT quality * 2 + toxic AS k, count(*) AS cap FROM labels GROUP BY 1), a AS (SELECT k, cap, cap * 50 / CAST(sum(cap) OVER () AS DOUBLE) AS raw FROM c), b AS (SELECT *, floor(raw) AS base, 50 - sum(floor(raw)) OVER () AS need FROM a) SELECT k, cap, CAST(base + CASE WHEN row_number() OVER (ORDER BY raw - base DESC, cap - base DESC, k DESC) <= need THEN 1 ELSE 0 END AS BIGINT) AS take FROM b"

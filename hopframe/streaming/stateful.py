@@ -49,6 +49,33 @@ def exponential_means(events: DataFrame, beta: float) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, ema double, n long", "ema double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def best_so_far(events: DataFrame, patience: int) -> DataFrame:
+    """user_id, best, wait, stop: a user's least value, how many values came since, and whether that is the patience.
+
+    The twin of early_stop(), in event order within each batch; three numbers of state a key.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best, wait, stop = state.get if state.exists else (float("inf"), 0, False)
+        for v in pd.concat(list(frames)).sort_values(["ts", "event_id"])["value"]:
+            best, wait = (float(v), 0) if v < best else (best, wait + 1)
+            stop = stop or wait >= patience
+        state.update((best, wait, stop))
+        yield pd.DataFrame({"user_id": [key[0]], "best": [best], "wait": [wait], "stop": [stop]})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, best double, wait long, stop boolean", "best double, wait long, stop boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def bottom_k(events: DataFrame, k: int, seed: int, hash_of) -> DataFrame:
+    """slot, event_id: a sample of up to k events, in each of k slots the one with the least hash.
+
+    hash_of(column, seed) gives the hash. Merging two samples is taking the lesser in each slot, so the order in which
+    events come, and how they are dealt to batches, doesn't matter; the state is k rows.
+    """
+    slot = F.pmod(hash_of("event_id", seed), F.lit(k)).alias("slot")
+    return events.select(slot, F.struct(hash_of("event_id", seed).alias("h"), "event_id").alias("r")).groupBy("slot").agg(F.min("r").alias("r")).select("slot", "r.event_id")
+
+
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Processes all that is there into an in-memory table and returns it."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,3 +37,22 @@ def test_exponential_means(spark, sf, tmp_path):
         m, n = want.get(r["user_id"], (None, 0))
         want[r["user_id"]] = (r["value"] if m is None else 0.8 * m + 0.2 * r["value"], n + 1)
     assert {r["user_id"]: (round(r["ema"], 6), r["n"]) for r in got.collect()} == {k: (round(m, 6), n) for k, (m, n) in want.items()}
+
+
+def test_best_so_far(spark, sf, tmp_path):
+    path, e = folder(spark, sf, tmp_path)
+    got = stateful.run_once(stateful.best_so_far(stateful.read_events(spark, path, 3), 4), "best", str(tmp_path / "c5"), "update")
+    want = {}
+    for r in e.orderBy("ts", "event_id").collect():
+        best, wait, stop = want.get(r["user_id"], (float("inf"), 0, False))
+        best, wait = (r["value"], 0) if r["value"] < best else (best, wait + 1)
+        want[r["user_id"]] = (best, wait, stop or wait >= 4)
+    assert {r["user_id"]: (r["best"], r["wait"], r["stop"]) for r in got.collect()} == want
+
+
+def test_reservoir_does_not_depend_on_batches(spark, sf, tmp_path):
+    from hopframe.functions.hashing import h
+
+    path, e = folder(spark, sf, tmp_path)
+    got = stateful.run_once(stateful.bottom_k(stateful.read_events(spark, path), 32, 5, h), "kept", str(tmp_path / "c6"))
+    assert rows(got, "slot", "event_id") == rows(stateful.bottom_k(e, 32, 5, h), "slot", "event_id") and got.count() <= 32
