@@ -697,3 +697,67 @@ def test_pipeline(spark, sf):
     assert ids and ids <= {r["doc_id"] for r in docs.select("doc_id").collect()}
     seqs = got.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert all(r["n"] <= 1024 for r in seqs)
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept: the rows that stay, their texts, the mix and the packed ids."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.2 else rng.choice(words) for _ in range(n))
+    passage, texts = text(40), []
+    for k in range(14):
+        texts.append(text(rng.randint(80, 200)) + (" " + passage if k % 3 == 0 else "") + " " + text(20))
+        if k % 4 == 0:
+            ws = texts[-1].split()
+            ws[len(ws) // 2] = "changed"
+            texts += [" ".join(ws), texts[-1]]
+    texts += [text(20), "\n".join(["the same line and no other here"] * 12), None, "# $ % & " * 40, text(70)]
+    sources = [rng.choice(["s1", "s2", "s3", None]) for _ in texts]
+    docs = spark.createDataFrame([(i, t, "en", c, len(t or "")) for i, (t, c) in enumerate(zip(texts, sources, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            docs.write.parquet(str(tmp_path / f"{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}"))
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        got.append(docs.collect())
+    stop = {w for line in quality_rules.STOP_WORDS for w in line.split()}
+
+    def good(t):
+        w = W.findall(t or "")
+        tri = Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {k for i in range(len(w) - 2) if tri[w[i], w[i + 1], w[i + 2]] > 1 for k in (i, i + 1, i + 2)}
+        lines = [x for x in (t or "").split("\n") if W.search(x)]
+        if len(w) < 50 or 100 * len(again) > 50 * len(w):
+            return False
+        symbols, dup = len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
+        return 1.5 <= sum(map(len, w)) / len(w) <= 25 and symbols / len(w) <= 0.1 and sum(x.lower() in stop for x in w) / len(w) >= 0.01 and dup / len(lines) <= 0.3
+
+    want = {i: t for i, t in enumerate(texts) if good(t)}
+    assert {r["doc_id"]: r["text"] for r in got[0]} == want and 0 < len(want) < len(texts)
+    group = components(shingle_sets(list(want.items())))
+    alone = {i: t for i, t in want.items() if group[i] == i}
+    assert {r["doc_id"]: r["text"] for r in got[1]} == alone and len(alone) < len(want)
+    cut = brute_removed(list(alone.items()))
+    assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in got[2]} == {i: c[3] for i, c in cut.items()} and any(c[1] for c in cut.values())
+    assert all(r["n_chars"] == len(r["text"]) for r in got[2])
+    size = {r["doc_id"]: len(W.findall(r["text"])) for r in got[2]}
+    times, total = Counter(r["doc_id"] for r in got[3]), sum(size.values())
+    assert set(times) <= set(size) and max(times.values()) <= 2
+    sources_ = len({r["source"] for r in got[2]})
+    assert abs(sum(size[i] * n for i, n in times.items()) - 1.5 * total) <= sources_ * max(size.values())
+    tok = Tokenizer.from_file(token_files.vocabulary("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    ids = {r["doc_id"]: tok.encode(r["text"], add_special_tokens=False).ids + [0] for r in got[2]}
+    pieces = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got[4])
+    assert pieces == Counter({(i, s, len(p := ids[i][s : s + 1024]), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in p))): n for i, n in times.items() for s in range(0, len(ids[i]), 1024)})
+    bins = defaultdict(list)
+    for r in got[4]:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        assert [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 1024
