@@ -52,8 +52,10 @@ _WORD = re.compile(f"[{_L}]+")
 #: Letters or signs set apart by single separators; signs or foreign letters among letters; a letter drawn out.
 _APART = re.compile(rf"(?<![{_L}{_SIGNS}])(?:[{_L}{_SIGNS}][ ._\-*~'/,]){{2,}}[{_L}{_SIGNS}](?![{_L}{_SIGNS}])")
 _MIXED = re.compile(rf"[{_L}][{_SIGNS}._\-~^'/]+[{_L}]|[{_SIGNS}][{_L}]|[{_L}]{{2}}[013457@$](?![{_SIGNS}])|[{_L}][{_ALIKE}]|[{_ALIKE}][{_L}]|([{_L}])\1\1")
+_DRAWN = re.compile(r"(.)\1\1")
 _ENDS = ".,;:\"'()[]"
 #: Invisible characters go, full-width forms become the plain ones.
+_FOLDED = re.compile("[\xad\u200b-\u200d\u2060\ufeff\uff01-\uff5e]")
 _FOLD = dict.fromkeys(map(ord, "\xad\u200b\u200c\u200d\u2060\ufeff")) | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 #: Log costs: a sign read as a letter; a separator, a star or another sign passed over; a run shortened.
 _READ, _ONCE, _HALVED = math.log(0.3), math.log(0.5), math.log(0.05)
@@ -67,11 +69,11 @@ def trigram_index(text: str):
     import numpy as np
 
     codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    table_ = np.zeros(0x180, np.int64)
+    table_ = np.zeros(0x180, np.int32)
     for c, i in _CODE.items():
         table_[ord(c)] = i
-    x = table_[np.minimum(codes, 0x17F)]
-    x = np.concatenate([[0, 0], x, [0]])
+    x = np.zeros(len(codes) + 3, np.int32)
+    x[2:-1] = table_[np.minimum(codes, 0x17F)]
     keep = (x[2:] > 0) | (x[1:-1] > 0)
     return ((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:])[keep]
 
@@ -165,10 +167,12 @@ class Restorer:
 
     def token_words(self, token: str) -> list[str]:
         """The plain and restored words in a token of a lower-case text without white space."""
+        core = token.strip(_ENDS)
+        if core.isascii() and core.isalpha() and not _DRAWN.search(core):
+            return [core]
         found = _WORD.findall(token)
-        token = token.strip(_ENDS)
-        if _MIXED.search(token):
-            found.append(self.decode(token))
+        if _MIXED.search(core):
+            found.append(self.decode(core))
         return found
 
     def apart(self, text: str) -> set[str]:
@@ -184,7 +188,7 @@ class Restorer:
 def folded(text: str | None) -> str:
     """A text in lower case, without invisible characters and full-width forms."""
     text = text or ""
-    return (text if text.isascii() else text.translate(_FOLD)).lower()
+    return (text if text.isascii() or not _FOLDED.search(text) else text.translate(_FOLD)).lower()
 
 
 def entries(word: str) -> list[str]:
@@ -193,7 +197,13 @@ def entries(word: str) -> list[str]:
 
 
 def evidence_of(word: str, lexicon: dict[str, float]) -> float:
-    return max((lexicon[x] for x in entries(word) if x in lexicon), default=0.0)
+    """The strongest evidence among a word's entries."""
+    best = lexicon.get(word, 0.0)
+    for n in BEGINNINGS:
+        if len(word) <= n:
+            break
+        best = max(best, lexicon.get(word[:n] + "*", 0.0))
+    return best
 
 
 def summary(evidence, words: int) -> tuple[float, float, float]:
@@ -305,7 +315,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         restore, lexicon = Restorer(model.counts, model.own), model.lexicon
-        known: dict[str, tuple] = {}  # the words with evidence in a token
+        hot: dict[str, tuple] = {}  # tokens with evidence and the words that hold it
+        cold: set[str] = set()  # tokens without
 
         def evidence(words):
             return tuple((w, e) for w in words if (e := evidence_of(w, lexicon)))
@@ -313,20 +324,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part, out = b.slice(at, 1000), []
-                if len(known) > _KEPT:
-                    known.clear()
+                if len(cold) + len(hot) > _KEPT:
+                    cold.clear()
+                    hot.clear()
                 for text in part.column(1).to_pylist():
                     text = folded(text)
                     tokens = set(text.split())
                     hits: dict[str, float] = {}
-                    for token in tokens:
-                        found = known.get(token)
-                        if found is None:
-                            found = evidence(restore.token_words(token))
-                            if len(token) <= _KEPT_CHARS:
-                                known[token] = found
-                        if found:
-                            hits.update(found)
+                    for token in tokens - cold - hot.keys():
+                        found = evidence(restore.token_words(token))
+                        hits.update(found)
+                        if len(token) <= _KEPT_CHARS:
+                            if found:
+                                hot[token] = found
+                            else:
+                                cold.add(token)
+                    for token in tokens & hot.keys():
+                        hits.update(hot[token])
                     apart = restore.apart(text)
                     if apart:
                         hits.update(evidence(apart))
