@@ -94,10 +94,10 @@ def monitor_steps(s, d):
     return splits.monitor_steps(m, 2)
 
 
-@query(rec("SELECT q.qid, q.node_idx, (SELECT 1) IS NULL AS found FROM (SELECT qid, node_idx + 7 AS node_idx FROM qs) q WHERE q.node_idx NOT IN (SELECT node_idx FROM gn)", *_SAMPLE))
+@query(rec("SELECT q.qid, q.node_idx, (SELECT 1) IS NULL AS found FROM (SELECT qid, node_idx + 18000 AS node_idx FROM qs) q WHERE q.node_idx NOT IN (SELECT node_idx FROM gn)", *_SAMPLE))
 def missing_metadata(s, d):
     """Needed ids that the node table lacks: seeds shifted out of it."""
-    need = _sampled(s, d)[0].filter("hop = 0").select("qid", (F.col("node_idx") + 7).alias("node_idx"))
+    need = _sampled(s, d)[0].filter("hop = 0").select("qid", (F.col("node_idx") + 18000).alias("node_idx"))
     return describe.missing(need, nodes(s, d), "node_idx").withColumn("found", F.lit(False))
 
 
