@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopframe.llm import fim, fingerprints, html_extract, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_files, toxicity
+from hopframe.llm import fim, fingerprints, hard_negatives, html_extract, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9,
     "op10_fingerprints": fingerprints.op10,
     "op11_fill_in_middle": fim.op11,
+    "op12_hard_negatives": hard_negatives.op12,
 }
 ORACLES = {
     "op6_mixing": mixing.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op11_fill_in_middle": fim.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }
