@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopframe.llm import fim, fingerprints, hard_negatives, html_extract, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_files, toxicity
+from hopframe.llm import fim, fingerprints, hard_negatives, html_extract, mixing, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_fingerprints": fingerprints.op10,
     "op11_fill_in_middle": fim.op11,
     "op12_hard_negatives": hard_negatives.op12,
+    "op13_pii": pii.op13,
 }
 ORACLES = {
     "op6_mixing": mixing.ORACLE_SQL,

@@ -11,8 +11,8 @@ so a list that holds a third of all rows is many tasks. Results are exact: the i
 Rows with a null label, a null vector, or a null or non-finite component take no part; the shorter of two vectors of
 unequal length counts as padded with zeros. Rows are told apart by place, not by id: repeated rows are other rows.
 Null ids come last in ties and are never anchors. Ties beyond the id are broken by an internal row number. Scores are
-computed exactly, in doubles where they and their products with the window's shares fit 53 bits and in unbounded integers otherwise; a score that a long cannot
-hold is an error. Other columns are ignored. An empty table, or one without anchors, gives an empty result.
+computed exactly, in doubles where they and the window's multiples of them fit 53 bits and in unbounded integers
+otherwise; a score that a long cannot hold is an error. Other columns are ignored. An empty table, or one without anchors, gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,19 +124,19 @@ def visits(index: Index, low: int, high: int, scale: int):
     def chosen(v: pa.Array, window: pa.Array, kth: pa.Array, seen: pa.Array, width: pa.Array) -> pa.Array:
         import numpy as np
 
-        m, out = _matrix(v, dim), []
-        lengths, mid = np.sqrt((m**2).sum(1)), m @ centroids.T
-        reach = lengths[:, None] * radii
-        slack = 1 + 1e-9 * (lengths[:, None] * np.sqrt((centroids**2).sum(1)) + reach)  # rounding never costs a list
-        upper, lower = mid + reach + slack, mid - reach - slack
-        for i, (p, k, at, w) in enumerate(zip(window.to_pylist(), kth.to_pylist(), seen.to_pylist(), width.to_pylist(), strict=True)):
-            ok = used.copy()
-            bound = upper[i]
-            if p is not None:
-                ok &= (scale * upper[i] >= low * p) & (scale * lower[i] <= high * p)
-                bound = np.minimum(bound, high * p / scale + 1)
-            order = np.argsort(np.where(ok, -bound, np.inf), kind="stable")[: int(ok.sum())][at : at + w]
-            out.append(order[bound[order] >= k] if k is not None else order)
+        m, norms, out = _matrix(v, dim), np.sqrt((centroids**2).sum(1)), []
+        args = list(zip(window.to_pylist(), kth.to_pylist(), seen.to_pylist(), width.to_pylist(), strict=True))
+        for s in range(0, len(m), 256):
+            lengths, mid = np.sqrt((m[s : s + 256] ** 2).sum(1))[:, None], m[s : s + 256] @ centroids.T
+            slack = 1 + 1e-9 * lengths * (norms + radii)  # rounding never costs a list
+            upper, lower = mid + lengths * radii + slack, mid - lengths * radii - slack
+            for up, down, (p, k, at, w) in zip(upper, lower, args[s : s + 256], strict=True):
+                ok, bound = used, up
+                if p is not None:
+                    ok = used & (scale * up >= low * p) & (scale * down <= high * p)
+                    bound = np.minimum(up, high * p / scale + 1)
+                order = np.argsort(np.where(ok, -bound, np.inf), kind="stable")[: int(ok.sum())][at : at + w]
+                out.append(order[bound[order] >= k] if k is not None else order)
         return pa.array(out, pa.list_(pa.int32()))
 
     return chosen
