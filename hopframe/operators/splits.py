@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopframe.functions.hashing import h
 from hopframe.functions.text import ENTITY_FAMILIES, task_family
+from hopframe.session import checkpointed
 
 # The filters by name, each with the families it keeps; None keeps all.
 TASK_FILTERS: dict[str, tuple[str, ...] | None] = {
@@ -44,9 +45,11 @@ def task_filtered(samples: DataFrame, name: str | None, domain: str | None = Non
 def numbered(samples: DataFrame, key: str, name: str) -> DataFrame:
     """key and its dense rank from 0 in `name`, without sorting all rows in one task.
 
-    Rows are dealt by ranges of the key, ranked within each range, and shifted by the rows of the ranges before.
+    Rows are dealt by ranges of the key, ranked within each range, and shifted by the rows of the ranges before. The
+    ranges are written before they are counted: bounds are sampled anew each time rows are dealt, so sizes and ranks
+    would else come from different ranges.
     """
-    placed = samples.select(key).repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
+    placed = checkpointed(samples.select(key).repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()))
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
     start = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     local = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1)
