@@ -42,18 +42,23 @@ def task_filtered(samples: DataFrame, name: str | None, domain: str | None = Non
     return kept
 
 
-def numbered(samples: DataFrame, key: str, name: str) -> DataFrame:
-    """key and its dense rank from 0 in `name`, without sorting all rows in one task.
+def ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with their rank from 0 in the order of the keys in `name`, without sorting all rows in one task.
 
-    Rows are dealt by ranges of the key, ranked within each range, and shifted by the rows of the ranges before. The
+    Rows are dealt by ranges of the keys, ranked within each range, and shifted by the rows of the ranges before. The
     ranges are written before they are counted: bounds are sampled anew each time rows are dealt, so sizes and ranks
     would else come from different ranges.
     """
-    placed = checkpointed(samples.select(key).repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()))
+    placed = checkpointed(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
     start = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    local = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1)
-    return local.join(F.broadcast(start), "_range").select(key, (F.col("_rn") + F.col("_start")).cast("long").alias(name))
+    local = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1)
+    return local.join(F.broadcast(start), "_range").withColumn(name, (F.col("_rn") + F.col("_start")).cast("long")).drop("_range", "_rn", "_start")
+
+
+def numbered(samples: DataFrame, key: str, name: str) -> DataFrame:
+    """key and its rank from 0 in `name`."""
+    return ranked(samples.select(key), [key], name)
 
 
 def explicit_split(listed: DataFrame, kept: DataFrame, n_samples: int) -> DataFrame:

@@ -420,17 +420,3 @@ def bfs_token_order(s, d):
     e = edges(s, d, True)
     links = e.select(F.col("src_idx").alias("u"), F.col("dst_idx").alias("v"), F.col("src_idx").alias("edge_pos")).unionByName(e.select(F.col("dst_idx").alias("u"), F.col("src_idx").alias("v"), F.col("src_idx").alias("edge_pos")))
     return graph.bfs_token_order(lab.filter("role < 2").select("qid", "node_idx", F.col("role").alias("ord")), links, lab.select("qid", "node_idx"), 2)
-
-
-@query("SELECT * FROM (VALUES (0::BIGINT, 2::BIGINT, 'p1', 'a1', 'author'), (0::BIGINT, 1::BIGINT, 'p1', 'p2', 'reference')) t(src_idx, dst_idx, src_id, dst_id, edge_attr)")
-def raw_json_ingest(s, d):
-    """The edge table of a small raw graph, written to and read from the shared folder."""
-    import uuid
-
-    from hopframe.session import shared_folder
-    from hopframe.sources import files
-
-    raw = '{"paper_nodes": {"p1": {"features": {"title": "Paper One"}, "neighbors": {"author": ["a1"], "reference": ["p2"], "venue": ["nowhere"]}}, "p2": {"features": {"title": "Paper Two"}, "neighbors": {}}}, "author_nodes": {"a1": {"features": {"name": "Alice"}, "neighbors": {}}}}'
-    path = f"{shared_folder(s)}/graph-{uuid.uuid4().hex}"
-    s.createDataFrame([(raw,)], "value string").coalesce(1).write.text(path)
-    return files.graph_tables(files.read_raw_graph(s, path))[1]

@@ -1,7 +1,7 @@
 """From a raw graph and its questions to tables: nodes, edges, features, seeds, samples, and a sidecar that seals them.
 
-A raw graph is one JSON document, or a folder of them, of node types, node ids, features and neighbours; each file is
-read whole by one task, so a large graph comes as many files. Everything is written as Parquet under one folder, the
+A raw graph is one JSON document, or a folder of them, of node types, node ids, features and neighbours; a file of any
+size is read by many tasks (sources/raw_graph.py). Everything is written as Parquet under one folder, the
 sidecar last: a folder without a sidecar that fits it is incomplete and is written anew.
 """
 
@@ -10,53 +10,76 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from hopframe.functions import text as T
 from hopframe.functions.relations import resolve_relation
 from hopframe.operators import graph
+from hopframe.operators.splits import ranked
+from hopframe.session import checkpointed
+from hopframe.sources import raw_graph
 
-RAW = "map<string,map<string,struct<features:map<string,string>,neighbors:map<string,string>>>>"
 #: Seeds kept with a graph; the sanitiser's version, which the sidecar must name.
 SEEDS, VERSION = 4096, 1
 TABLES = ("nodes", "edges", "features", "seeds")
+#: Domains whose features are cleaned before they are joined.
+SANITIZED = ("goodreads", "biomedical")
 
 
-def flattened(value: Column, depth: int = 3) -> Column:
-    """A feature's value as text: lists joined by commas, objects as name: value, to a bounded depth."""
-    if not depth:
-        return value
-    items, fields = F.from_json(value, "array<string>"), F.from_json(value, "map<string,string>")
-    inner = F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(flattened(e["value"], depth - 1), F.lit("None")))), "; ")
-    return F.when(value.startswith("[") & items.isNotNull(), F.array_join(items, ", ", "None")).when(value.startswith("{") & fields.isNotNull(), inner).otherwise(value)
+#: An entry as its parts; features stay JSON, in which texts and numbers can be told apart.
+ENTRY = "map<string,struct<features:string,neighbors:map<string,variant>>>"
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """file, type_pos, node_type, pos, node_id, features, neighbors of every entry; a malformed document is an error."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", RAW, {"mode": "FAILFAST"}).alias("doc"))
-    typed = docs.select("file", F.posexplode("doc").alias("type_pos", "node_type", "entries"))
-    return typed.select("file", "type_pos", "node_type", F.posexplode("entries").alias("pos", "node_id", "info")).select("file", "type_pos", "node_type", "pos", "node_id", "info.features", "info.neighbors")
+def _printed(v) -> str:
+    if isinstance(v, dict):
+        return "; ".join(f"{k}: {_printed(x)}" for k, x in v.items())
+    return ", ".join(map(str, v)) if isinstance(v, list) else str(v)
+
+
+@F.arrow_udf(MapType(StringType(), StringType()))
+def _printed_features(features: pa.Array) -> pa.Array:
+    said = [None if v is None else [(k, _printed(x)) for k, x in json.loads(v).items()] for v in features.to_pylist()]
+    return pa.array(said, pa.map_(pa.string(), pa.string()))
+
+
+def feature_texts(features: Column) -> Column:
+    """Features (a JSON object) as name to text: lists joined by commas, objects as name: value to any depth, the items
+    of lists, numbers, truth values and nulls as Python prints them. Objects of plain texts stay in the engine.
+    """
+    kinds = F.map_values(F.from_json(features, "map<string,variant>"))
+    plain = ~F.exists(kinds, lambda v: v.isNull() | (F.schema_of_variant(v) != "STRING"))
+    return F.when(plain, F.from_json(features, "map<string,string>")).otherwise(_printed_features(F.when(~plain, features)))
+
+
+def read_raw(spark: SparkSession, path: str, domain: str) -> DataFrame:
+    """file, at, type_pos, node_type, node_id, text, neighbors (relation to ids) of every entry; a malformed document is
+    an error."""
+    name = F.get_json_object(F.concat(F.lit('{"t":'), F.col("node_type"), F.lit("}")), "$.t").alias("node_type")
+    entry = F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), ENTRY, {"mode": "FAILFAST"})
+    x = raw_graph.entries(spark, path).select("file", "at", "type_pos", name, F.explode(entry).alias("node_id", "info"))
+    x = x.select("file", "at", "type_pos", "node_type", "node_id", F.coalesce("info.features", F.lit("{}")).alias("f"), "info.neighbors")
+    if domain.lower() in SANITIZED:
+        clean = F.transform_values(T.sanitized_features(F.from_json("f", "map<string,string>"), F.lit(domain)), lambda k, v: F.coalesce(v, F.lit("None")))
+    else:
+        clean = feature_texts(F.col("f"))
+    ids = lambda k, v: F.when(F.schema_of_variant(v).startswith("OBJECT"), F.map_keys(F.variant_get(v, "$", "map<string,variant>"))).otherwise(F.variant_get(v, "$", "array<string>"))
+    return x.select("file", "at", "type_pos", "node_type", "node_id", T.flattened(clean).alias("text"), F.transform_values("neighbors", ids).alias("neighbors"))
 
 
 def graph_tables(spark: SparkSession, path: str, domain: str) -> tuple[DataFrame, DataFrame]:
     """The node and edge tables. Nodes are numbered type by type in the order the types and nodes come in; neighbours
-    are a list or an object's names; those that resolve to no node are dropped."""
-    raw = read_raw(spark, path)
-    sizes = raw.groupBy("file", "type_pos", "node_type").agg(F.count("*").alias("n"))  # a row a type and file
-    first = sizes.withColumn("_first", F.min(F.struct("file", "type_pos")).over(Window.partitionBy("node_type")))
-    before = Window.orderBy("_first", "file", "type_pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = first.select("file", "type_pos", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    clean = T.sanitized_features(F.coalesce("features", F.create_map().cast("map<string,string>")), F.lit(domain))
-    text = T.flattened(F.transform_values(clean, lambda k, v: F.coalesce(flattened(v), F.lit("None"))))
-    nodes = raw.join(F.broadcast(start), ["file", "type_pos"]).select(
-        (F.col("_start") + F.col("pos")).alias("node_idx"), "node_id", "node_type", F.concat(F.lit("type="), F.col("node_type"), F.lit("; "), text).alias("node_attr"), "neighbors"
-    )
-    types = F.array(*(F.lit(r[0]) for r in first.orderBy("_first").select("node_type").distinct().collect()))  # type names
-    ids = lambda v: F.when(v.startswith("{"), F.map_keys(F.from_json(v, "map<string,string>"))).otherwise(F.from_json(v, "array<string>"))
-    out = nodes.select(F.col("node_idx").alias("src_idx"), F.col("node_id").alias("src_id"), "node_type", F.explode("neighbors").alias("edge_attr", "v"))
-    out = out.select("src_idx", "src_id", resolve_relation(F.col("edge_attr"), F.col("node_type"), types).alias("dst_type"), "edge_attr", F.explode(ids(F.col("v"))).alias("dst_id"))
+    are a list or an object's names; those that resolve to no node are dropped. The document is parsed once."""
+    raw = checkpointed(read_raw(spark, path, domain))
+    first = raw.groupBy("node_type").agg(F.min(F.struct("file", "type_pos")).alias("_first"))  # a row a type
+    types = F.array(*(F.lit(r[0]) for r in first.orderBy("_first").collect()))
+    nodes = ranked(raw.join(F.broadcast(first), "node_type"), ["_first", "file", "at"], "node_idx")
+    nodes = nodes.select("node_idx", "node_id", "node_type", F.concat(F.lit("type="), F.col("node_type"), F.lit("; "), "text").alias("node_attr"), "neighbors")
+    out = nodes.select(F.col("node_idx").alias("src_idx"), F.col("node_id").alias("src_id"), "node_type", F.explode("neighbors").alias("edge_attr", "ids"))
+    out = out.select("src_idx", "src_id", resolve_relation(F.col("edge_attr"), F.col("node_type"), types).alias("dst_type"), "edge_attr", F.explode("ids").alias("dst_id"))
     far = nodes.select(F.col("node_type").alias("dst_type"), F.col("node_id").alias("dst_id"), F.col("node_idx").alias("dst_idx"))
     return nodes.drop("neighbors"), out.join(far, ["dst_type", "dst_id"]).select("src_idx", "dst_idx", "src_id", "dst_id", "edge_attr")
 
@@ -94,6 +117,8 @@ def build(spark: SparkSession, graph_path: str, data_path: str | None, out: str,
     wanted = {"domain": domain, "dim": dim, "graph": graph_path}
     if reuse and complete(spark, out, **wanted):
         return read_meta(spark, out)
+    # the old sidecar goes first: while tables are being written, nothing may call the folder complete
+    spark.createDataFrame([("{}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/meta")
     nodes, edges = graph_tables(spark, graph_path, domain)
     nodes.write.mode("overwrite").parquet(f"{out}/nodes")
     nodes = spark.read.parquet(f"{out}/nodes")

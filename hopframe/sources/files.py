@@ -9,31 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-RAW = "map<string,map<string,struct<features:map<string,string>,neighbors:map<string,array<string>>>>>"
-
-
-def read_raw_graph(spark: SparkSession, path: str) -> DataFrame:
-    """node_type, node_id, features, neighbors of a two-level JSON document."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", RAW, {"mode": "FAILFAST"}).alias("doc"))
-    typed = doc.select(F.posexplode("doc").alias("type_pos", "node_type", "entries"))
-    return typed.select("type_pos", "node_type", F.posexplode("entries").alias("pos", "node_id", "info")).select("type_pos", "pos", "node_type", "node_id", "info.features", "info.neighbors")
-
-
-def graph_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The node and edge tables of a raw graph; neighbours that resolve to no node are dropped."""
-    from hopframe.functions.relations import resolve_relation
-
-    sizes = raw.groupBy("type_pos").agg(F.count("*").alias("_n"))  # a row a type
-    start = sizes.select("type_pos", F.coalesce(F.sum("_n").over(Window.orderBy("type_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    flat = F.array_join(F.transform(F.map_entries("features"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
-    nodes = raw.join(F.broadcast(start), "type_pos").select((F.col("_s") + F.col("pos")).alias("node_idx"), "node_id", "node_type", F.concat(F.lit("type="), F.col("node_type"), F.lit("; "), flat).alias("node_attr"), "neighbors")
-    types = F.array(*(F.lit(r[0]) for r in raw.select("node_type").distinct().orderBy("node_type").collect()))  # type names
-    out = nodes.select(F.col("node_idx").alias("src_idx"), F.col("node_id").alias("src_id"), "node_type", F.explode("neighbors").alias("edge_attr", "ids"))
-    out = out.select("src_idx", "src_id", resolve_relation(F.col("edge_attr"), F.col("node_type"), types).alias("dst_type"), "edge_attr", F.explode("ids").alias("dst_id"))
-    dst = nodes.select(F.col("node_type").alias("dst_type"), F.col("node_id").alias("dst_id"), F.col("node_idx").alias("dst_idx"))
-    return nodes.drop("neighbors"), out.join(dst, ["dst_type", "dst_id"]).select("src_idx", "dst_idx", "src_id", "dst_id", "edge_attr")
-
-
 def read_table(spark: SparkSession, path: str, schema: str, required: list[str], optional: list[str] = [], sep: str = ",") -> DataFrame:  # noqa: B006
     """A CSV table's required columns and those optional ones it has, by name; an error names the missing.
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hopframe import preprocess
 from hopframe.functions import text as T
 from hopframe.functions.hashing import h
 from hopframe.functions.udfs import embed, rouge_l_score, stable_index
@@ -210,7 +211,7 @@ def test_accumulation(spark):
 
 def test_raw_graph(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"paper_nodes": {"p1": {"features": {"title": "Paper One"}, "neighbors": {"author": ["a1"], "reference": ["p2"]}}, "p2": {"features": {"title": "Paper Two"}, "neighbors": {}}}, "author_nodes": {"a1": {"features": {"name": "Alice"}, "neighbors": {}}}}')
-    nodes, edges = files.graph_tables(files.read_raw_graph(spark, str(tmp_path / "g.json")))
+    nodes, edges = preprocess.graph_tables(spark, str(tmp_path / "g.json"), "dblp")
     assert [(r["node_idx"], r["node_id"], r["node_attr"]) for r in nodes.orderBy("node_idx").collect()] == [
         (0, "p1", "type=paper_nodes; title: Paper One"), (1, "p2", "type=paper_nodes; title: Paper Two"), (2, "a1", "type=author_nodes; name: Alice")]
     assert sorted((r["src_idx"], r["dst_idx"], r["edge_attr"]) for r in edges.collect()) == [(0, 1, "reference"), (0, 2, "author")]
