@@ -4,10 +4,11 @@ A text's terms are its five-word shingles (the whole sequence when it has fewer
 occurs. Every term hash votes on 128 bits; a bit is set when more than half of the weight votes for it. The votes are
 summed in whole-stage code: two 32-bit counters share a long, so a term costs 64 additions and no Python.
 
-search() finds every fingerprint within a Hamming radius of up to 23: fingerprints are cut into eight blocks of 16
-bits, and each block in turn comes first in a permuted table. Of two fingerprints within 23 bits at least one block
-differs in two bits at most, so a query asks each table for its block and for all values two flips away. Texts whose
-five-word shingles are 0.8 alike differ in 19 bits on average, hence the radius. Equal fingerprints are looked up once.
+search() finds every fingerprint within a Hamming radius of up to 26: fingerprints are cut into nine blocks, eight of 14
+bits and one of 16, and each block in turn comes first in a permuted table. Of two fingerprints within 26 bits at least
+one block differs in two bits at most, so a query asks each table for its block and for all values two flips away. Texts
+whose five-word shingles are 0.8 alike differ in 19 bits on average, hence the radius. Equal fingerprints are looked up
+once.
 
 Null texts count as empty. Texts without words have the fingerprint of zeros. The order is by falling id, ties by a
 hash of the text, null ids last; the document after the last is the first, which for one document is itself. Repeated
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 
 from hopframe.llm.common import checkpointed, ranked, table, words
 
-BITS, RADIUS, WORDS = 128, 23, 5
-#: Bits of a block, and flips in a block that are asked for; the radius is below blocks times (flips + 1).
-BLOCK, FLIPS = 16, 2
+BITS, RADIUS, WORDS = 128, 26, 5
+#: Bits of each block (the last is what the others leave of both halves), and flips in a block that are asked for; the
+#: radius is below blocks times (flips + 1).
+BLOCKS, FLIPS = (14,) * 8 + (16,), 2
 #: Documents in a bucket of the order, and the most cut points; beyond their product buckets grow.
 ROWS_PER_BUCKET, MOST_BUCKETS = 2_000, 1_000_000
 _LOW, _HALF = 0x0000000100000001, 0xFFFFFFFF
@@ -66,20 +68,34 @@ def distance(x: Column, y: Column) -> Column:
     return F.bit_count(x["a"].bitwiseXOR(y["a"])) + F.bit_count(x["b"].bitwiseXOR(y["b"]))
 
 
-def _at_most(cuts: list[tuple[int, int]], key: Column) -> tuple[Column, Column]:
-    """How many of some sorted cut points are no larger than a key, and whether one equals it.
+def _cut_points(keys: DataFrame) -> Column:
+    """The cut points of the order as one value that a job works out when it runs: first, the least key of all, and the
+    others in `groups` of about the root of their number with their `heads`, so that a key is held against two short
+    lists. At most MOST_BUCKETS points, 16 bytes each; no part of the plan grows with them.
+    """
+    n = keys.count()
+    each = max(ROWS_PER_BUCKET, -(-n // MOST_BUCKETS))
+    ends = ranked(keys, [F.col("_key")], {}).filter(F.col("rank") % each == 0).select("_key").distinct()
+    points = ends.agg(F.array_sort(F.collect_list("_key")).alias("p")).select(F.get("p", F.lit(0)).alias("first"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("p"))
+    width = F.ceil(F.sqrt(F.greatest(F.size("p"), F.lit(1)))).cast("int")
+    starts = F.when(F.size("p") > 0, F.sequence(F.lit(1), F.size("p"), width)).otherwise(F.array().cast("array<int>"))
+    points = points.select("first", width.alias("width"), F.size("p").alias("n"), F.transform(starts, lambda i: F.slice("p", i, F.col("width"))).alias("groups"))
+    return checkpointed(points.withColumn("heads", F.transform("groups", lambda g: F.get(g, F.lit(0))))).select(F.struct("first", "width", "n", "groups", "heads")).scalar()
+
+
+def _at_most(cuts: Column, key: Column) -> tuple[Column, Column]:
+    """How many cut points are no larger than a key, and whether one equals it.
 
-    The points lie in groups of about the root of their number, so a key is held against two short lists.
+    A key's place in a short list is its place once the list is sorted with it; a sorted list but for its last takes one
+    pass. Nothing of the lists enters a row.
     """
-    if not cuts:
-        return F.lit(0), F.lit(False)
-    width = int(len(cuts) ** 0.5) + 1
-    points = [F.struct(F.lit(u).cast("long").alias("u"), F.lit(t).cast("long").alias("t")) for u, t in cuts]
-    groups = [F.array(*points[k : k + width]) for k in range(0, len(points), width)]
-    before = lambda a: F.size(F.filter(a, lambda x: x <= key))
-    group = before(F.array(*points[::width]))
-    own = F.element_at(F.array(*groups), F.greatest(group, F.lit(1)))
-    return F.when(group > 0, (group - 1) * width + before(own)).otherwise(F.lit(0)), F.array_contains(own, key)
+
+    def before(a: Column) -> Column:
+        return F.array_position(F.sort_array(F.array_append(a, key)), key) - 1 + F.array_contains(a, key).cast("int")
+
+    group = before(cuts["heads"]).cast("int")
+    own = F.get(cuts["groups"], F.greatest(group - 1, F.lit(0)))
+    return F.when(group > 0, (group - 1) * cuts["width"] + before(own)).otherwise(F.lit(0)), F.coalesce(F.array_contains(own, key), F.lit(False))
 
 
 def in_falling_order(docs: DataFrame) -> DataFrame:
@@ -90,18 +106,14 @@ def in_falling_order(docs: DataFrame) -> DataFrame:
     every row sees its next.
     """
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").bitwiseXOR(F.lit(-1)).alias("u"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
-    keys = docs.select(key.alias("_key"))
-    n = keys.count()
-    each = max(ROWS_PER_BUCKET, -(-n // MOST_BUCKETS))
-    ends = ranked(keys, [F.col("_key")], {}).filter(F.col("rank") % each == 0).select("_key.u", "_key.t").distinct().collect()
-    # at most MOST_BUCKETS points; the first row of all starts no bucket
-    first, *cuts = sorted((r["u"], r["t"]) for r in ends) or [(0, 0)]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key"))
+    cuts = _cut_points(docs.select(key.alias("_key")))
     bucket, heads = _at_most(cuts, F.col("_key"))
-    top = F.col("_key") == F.struct(F.lit(first[0]).cast("long").alias("u"), F.lit(first[1]).cast("long").alias("t"))
-    ghost = F.when(top, F.lit(len(cuts))).when(heads, bucket - 1)
+    rows = rows.withColumns({"_bucket": bucket, "_head": heads})
     # as a ghost the top row follows the last bucket; the others follow the bucket before their own
-    rows = rows.withColumn("_in", F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ghost")), F.when(ghost.isNotNull(), F.struct(ghost.alias("bucket"), F.lit(True).alias("ghost"))))))
+    ghost = F.when(F.col("_key") == cuts["first"], cuts["n"]).when(F.col("_head"), F.col("_bucket") - 1)
+    rows = rows.withColumn("_ghost", ghost)
+    rows = rows.withColumn("_in", F.array_compact(F.array(F.struct(F.col("_bucket").alias("bucket"), F.lit(False).alias("ghost")), F.when(F.col("_ghost").isNotNull(), F.struct(F.col("_ghost").alias("bucket"), F.lit(True).alias("ghost"))))))
     rows = rows.select("doc_id", "text", "_key", F.explode("_in").alias("_in")).select("_in.*", "doc_id", "text", "_key")
     order = Window.partitionBy("bucket").orderBy("ghost", "_key")
     return rows.withColumns({"place": F.row_number().over(order), "next_text": F.lead("text").over(order)}).drop("_key")
@@ -132,9 +144,10 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def blocks(fp: Column) -> Column:
-    """The permuted tables' leading blocks, one after another."""
-    mask = F.lit((1 << BLOCK) - 1)
-    return F.array(*(F.shiftrightunsigned(fp[half], at).bitwiseAND(mask).cast("int") for half in ("a", "b") for at in range(0, 64, BLOCK)))
+    """The permuted tables' leading blocks, one after another; the last has the 8 bits that each half has left."""
+    part = lambda half, at, n: F.shiftrightunsigned(fp[half], at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    rest = F.shiftleft(part("a", 56, 8), 8).bitwiseOR(part("b", 56, 8))
+    return F.array(*(part(half, 14 * k, 14) for half in ("a", "b") for k in range(4)), rest)
 
 
 def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -143,10 +156,11 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFr
     Queries and index are joined by table and leading block; a pair that meets in several tables is kept for the first
     of them only, so no distinct is needed.
     """
-    if radius >= BITS // BLOCK * (FLIPS + 1):
+    if radius >= len(BLOCKS) * (FLIPS + 1):
         raise ValueError(f"a radius of {radius} needs more flips or more blocks")
-    flips = [x for n in range(FLIPS + 1) for c in combinations(range(BLOCK), n) if (x := sum(1 << k for k in c)) or not n]
-    near = lambda v: F.transform(F.array(*map(F.lit, flips)), lambda m: v.bitwiseXOR(m))
+    flips = [sorted({sum(1 << k for k in c) for n in range(FLIPS + 1) for c in combinations(range(bits), n)}) for bits in BLOCKS]
+    masks = F.array(*(F.array(*map(F.lit, f)) for f in flips))
+    near = lambda v: F.transform(F.get(masks, F.col("table")), lambda m: v.bitwiseXOR(m))
     q = queries.select("query", F.col("fp").alias("_q"), F.posexplode(blocks(F.col("fp"))).alias("table", "_v"))
     q = q.select("query", "_q", "table", F.explode(near(F.col("_v"))).alias("lead"))
     x = index.select("key", F.col("fp").alias("_x"), F.posexplode(blocks(F.col("fp"))).alias("table", "lead"))

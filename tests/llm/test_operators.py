@@ -428,15 +428,15 @@ def test_hamming_search(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(128) for _ in range(20)]
     flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(128), n))
-    all_ = base + [flip(x, n) for x in base for n in (1, 9, 17, 22, 23, 24, 30)]
+    all_ = base + [flip(x, n) for x in base for n in (1, 9, 17, 22, 23, 24, 25, 26, 27, 30)]
     half = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(i, (half(x & (2**64 - 1)), half(x >> 64))) for i, x in enumerate(all_)], "key long, fp struct<a:long,b:long>")
-    for radius in (6, 23):
+    for radius in (6, 23, 26):
         got = [(r["query"], r["key"], r["distance"]) for r in fingerprints.search(df.filter("key < 20").withColumnRenamed("key", "query"), df, radius).collect()]
         want = {(i, j, d) for i in range(20) for j, y in enumerate(all_) if (d := (all_[i] ^ y).bit_count()) <= radius}
         assert len(got) == len(want) and set(got) == want
     with pytest.raises(ValueError):
-        fingerprints.search(df, df, 24)
+        fingerprints.search(df, df, 27)
 
 
 def xx64(parts, seed=42):
