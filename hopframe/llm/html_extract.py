@@ -1,16 +1,20 @@
 """HTML extraction by two-pass block rules.
 
 A forward scanner cuts a page into blocks. The first pass decides each by its place (menus, headers, footers, forms,
-notices, adverts, comments and the like are out; where the page has an article, so is all outside it), its link
-density, its stop-word density and its length. Short or middling blocks stay undecided. The second pass gives each
-undecided block the label of its nearest decided neighbours. In an article what stays undecided is text, and lists of
-links decide nothing but themselves. On a page without an article and without any block that the first pass takes,
-paragraphs and blocks with stop words are taken, and where there are none, all undecided blocks.
+notices, adverts, comments and the like are out), its link density, its stop-word density and its length. Short or
+middling blocks stay undecided. The second pass gives each undecided block the label of its nearest decided neighbours.
+
+Articles and the main part narrow a page to what holds its text: the articles, less those of under half the largest
+one's text; or the main part, where what it holds outside articles is more than they do, with its articles under the
+same rule; or neither, where the rest of the page holds over twice as much (articles of under half of it then still go). In them what stays undecided is text, and
+lists of short links decide nothing but themselves and the heading above them. On a page without either and without any
+block that the first pass takes, paragraphs and blocks with stop words are taken, and where there are none, all
+undecided blocks. Stop words count only where they can be expected: not in a text without blanks between its words, and
+not on a page in none of the languages that have a list.
 
 Null and empty pages give an empty text. Pages are whole and independent, so repeated rows repeat their result. A page
-of any length is one task's work, linear in its length whatever its markup: where a tag doesn't close, quotes count as
-ordinary characters from there on, and a tag without any later `>` is text. An empty table gives no rows. Other columns
-are not carried.
+of any length is one task's work, linear in its length whatever its markup: a tag with a quote that never closes ends at
+its next `>`, and a tag without any later `>` is text. An empty table gives no rows. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -57,19 +61,23 @@ HINTS = set(
 )
 BESIDE = set(
     "area bar block bottom box button buttons container content form global group icons inner item items left link links list main message outer page panel post posts primary reader readers"
-    " region right row secondary section sections site slot text thread top unit us user users wrap wrapper".split()
+    " region right row secondary section sections site slot stories story articles news reads text thread top unit us user users wrap wrapper".split()
 )
 GOOD, BAD, OPEN = 1, 0, -1
 LINKS, SHORT, LONG, DENSE, SPARSE = 0.5, 70, 200, 0.2, 0.08
+#: Characters a word beyond which a text has no blanks between words; characters of a link that is no mere label.
+UNBROKEN, TITLE = 20, 30
 
 
 class Found(NamedTuple):
-    """A block with text: characters in links, whether its place is out, in an article (2) or main part (1), its kind."""
+    """A block with text: characters in links, whether its place is out, its outermost article (0: none), whether it is
+    in the main part, its kind."""
 
     text: str
     linked: int
     out: bool
-    scope: int
+    article: int
+    main: bool
     heading: bool
     listed: bool
     paragraph: bool
@@ -97,7 +105,7 @@ class Scanner:
     """Reads a page once from left to right: pieces of text, start tags and end tags."""
 
     def __init__(self, page: str):
-        self.page, self.quotes = page, True
+        self.page, self.unclosed = page, set()
 
     def _attributes(self, at: int) -> tuple[dict[str, str], int]:
         """The attributes of a tag and the place after its `>`, or -1 if it doesn't close."""
@@ -108,8 +116,10 @@ class Scanner:
             if m[2] is not None:
                 quote = page[at : at + 1]
                 if quote in ("'", '"') and quote:
-                    end = page.find(quote, at + 1)
+                    # a quote that was not found is not looked for again, so all tags together read the page once
+                    end = -1 if quote in self.unclosed else page.find(quote, at + 1)
                     if end < 0:
+                        self.unclosed.add(quote)
                         return out, -1
                     value, at = page[at + 1 : end], end + 1
                 else:
@@ -148,9 +158,8 @@ class Scanner:
             if m is None or not m[0][0].isascii():
                 at = lt + 1
                 continue
-            attributes, end = self._attributes(m.end()) if self.quotes else ({}, -1)
-            if end < 0:  # from here on a tag ends at the next >
-                self.quotes = False
+            attributes, end = self._attributes(m.end())
+            if end < 0:  # this tag ends at the next >
                 end = page.find(">", m.end()) + 1
                 if not end:
                     break
@@ -179,7 +188,8 @@ def blocks(page: str) -> list[Found]:
     # open elements: name, whether out, scope, whether a link, whether still open; and the places of each name
     stack: list[list] = []
     places: dict[str, list[int]] = defaultdict(list)
-    n_out = n_article = n_main = n_link = 0
+    blocks_at: list[int] = []  # places of the open elements that are not inline
+    n_out = n_article = n_main = n_link = articles = 0
     kind = ""
 
     def flush() -> None:
@@ -188,7 +198,7 @@ def blocks(page: str) -> list[Found]:
             body = _SPACE.sub(" ", "".join(text)).strip()
             if body:
                 heading = len(kind) == 2 and kind[0] == "h" and kind[1] in "123456"
-                out.append(Found(body, linked, n_out > 0, 2 if n_article else 1 if n_main else 0, heading, bool(places["li"]), kind == "p"))
+                out.append(Found(body, linked, n_out > 0, articles if n_article else 0, n_main > 0, heading, bool(places["li"]), kind == "p"))
             text.clear()
         linked = 0
 
@@ -205,6 +215,8 @@ def blocks(page: str) -> list[Found]:
         while len(stack) > k:
             element = stack.pop()
             places[element[0]].pop()
+            if element[0] not in INLINE:
+                blocks_at.pop()
             close(element)
 
     def last(names) -> int:
@@ -227,7 +239,7 @@ def blocks(page: str) -> list[Found]:
                 k = places[name][-1]
                 if block:
                     pop_to(k)
-                elif len(stack) - k <= 32 and all(x[0] in INLINE for x in stack[k:]):
+                elif not blocks_at or blocks_at[-1] < k:
                     pop_to(k)
                 else:  # an inline element ends while a block in it stays open
                     close(stack[k])
@@ -253,7 +265,10 @@ def blocks(page: str) -> list[Found]:
         if closed and name in ("svg", "math"):
             continue
         places[name].append(len(stack))
+        if name not in INLINE:
+            blocks_at.append(len(stack))
         stack.append([name, is_out, True])
+        articles += name == "article" and not n_article
         n_out += is_out
         n_article += name == "article"
         n_main += name == "main"
@@ -269,17 +284,58 @@ def _stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?") in _STOP for w in words) / len(words)
 
 
-def _first_pass(block: Found, scope: int) -> int:
-    if block.out or block.scope < scope:
+def _scope(found: list[Found]) -> tuple[bool, list[bool]]:
+    """Whether articles or a main part narrow the page, and for each block whether it lies where the text is."""
+    own = defaultdict(int)
+    main = rest = 0
+    for b in found:
+        n = 0 if b.out else len(b.text) - min(b.linked, len(b.text))
+        if b.article:
+            own[b.article] += n
+        elif b.main:
+            main += n
+        else:
+            rest += n
+    most = max(own.values(), default=0)
+    kept = {k for k, n in own.items() if n and 2 * n >= most}
+    held = sum(own[k] for k in kept)
+    if main > held:
+        kept, held = {k for k in kept if 2 * own[k] >= main}, main
+        inside = [b.article in kept if b.article else b.main for b in found]
+    else:
+        inside = [b.article in kept for b in found]
+    if not held or rest > 2 * held:
+        return False, [not b.article or 2 * own[b.article] >= rest for b in found]
+    return True, inside
+
+
+def _languages(found: list[Found]) -> bool:
+    """Whether the page's running text is in a language that has a list of stop words."""
+    stop = n = 0
+    for b in found:
+        if not b.out and b.linked <= LINKS * len(b.text) and len(b.text) >= SHORT and not _unbroken(b.text):
+            words = len(b.text.split())
+            stop, n = stop + _stop_density(b.text) * words, n + words
+    return not n or stop >= SPARSE * n
+
+
+def _unbroken(text: str) -> bool:
+    return len(text) > UNBROKEN * len(text.split())
+
+
+def _first_pass(block: Found, scoped: bool, inside: bool, listed: bool) -> int:
+    """listed: stop words can be expected."""
+    if block.out or not inside:
         return BAD
-    n, stop = len(block.text), _stop_density(block.text)
+    n = len(block.text)
     if block.linked > LINKS * n:
-        return BAD if not scope or block.listed else OPEN
+        return BAD if not scoped or (block.listed and block.linked < TITLE) else OPEN
     if n < SHORT:
         return OPEN
+    stop = _stop_density(block.text) if listed and not _unbroken(block.text) else DENSE
     if stop >= DENSE:
-        return GOOD if n > LONG or scope else OPEN
-    if scope:
+        return GOOD if n > LONG or scoped else OPEN
+    if scoped:
         return GOOD if stop >= SPARSE else OPEN
     return OPEN if stop >= SPARSE else BAD
 
@@ -287,15 +343,15 @@ def _first_pass(block: Found, scope: int) -> int:
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for null, and where no block is main text."""
     found = blocks(page or "")
-    scope = max((b.scope for b in found if not b.out), default=0)
-    label = [_first_pass(b, scope) for b in found]
-    if not scope and GOOD not in label:
+    (scoped, inside), listed = _scope(found), _languages(found)
+    label = [_first_pass(b, scoped, i, listed) for b, i in zip(found, inside, strict=True)]
+    if not scoped and GOOD not in label:
         open_ = [i for i, x in enumerate(label) if x == OPEN]
         likely = [i for i in open_ if found[i].paragraph or _stop_density(found[i].text) >= DENSE]
         for i in likely or open_:
             label[i] = GOOD
     # in an article neither what is out of it nor a list of links says anything about the rest
-    decided = [i for i, x in enumerate(label) if x == GOOD or (x == BAD and not scope)]
+    decided = [i for i, x in enumerate(label) if x == GOOD or (x == BAD and not scoped)]
     final = label[:]
     for i, x in enumerate(label):
         if x != OPEN:
@@ -303,7 +359,7 @@ def main_text(page: str | None) -> str:
         k = bisect_left(decided, i)
         before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
         if before is None and after is None:
-            final[i] = GOOD if scope else BAD
+            final[i] = GOOD if scoped else BAD
         elif before is None or after is None:
             final[i] = label[before if after is None else after]
         elif label[before] == label[after]:
@@ -312,6 +368,11 @@ def main_text(page: str | None) -> str:
             final[i] = label[after]
         else:
             final[i] = label[before] if i - before < after - i else label[after] if after - i < i - before else BAD
+    if scoped:  # the heading of a list of links that goes, goes with it
+        for i in range(len(found) - 1):
+            after = found[i + 1]
+            if found[i].heading and inside[i + 1] and final[i + 1] == BAD and not after.out and after.listed:
+                final[i] = BAD
     return " ".join(b.text for b, x in zip(found, final, strict=True) if x == GOOD)
 
 
