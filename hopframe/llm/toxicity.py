@@ -7,7 +7,7 @@
 3. Labelled texts are restored so, and every word and word beginning gets its log-odds of toxic against other texts,
    less 1.28 standard errors; what is left above zero is evidence. The trigrams of words with strong evidence then join the
    language model with OWN_SHARE of its weight, for scoring.
-4. A text's strongest evidence, the sum of its words' evidence and its number of distinct words go through a logistic
+4. A text's strongest evidence, the sum of its words' evidence and its number of distinct tokens go through a logistic
    function, fitted on the labelled texts with evidence learned from the other half of them.
 
 Only rows whose crc32(doc_id) mod 4 is not 2 teach labels, at most TRAIN_ROWS of them, those with the smallest hash.
@@ -49,9 +49,11 @@ READ = LEET | ALIKE
 _SIGNS, _ALIKE = re.escape("".join(LEET)), "".join(ALIKE)
 _L = "a-zß-öø-ÿœ"
 _WORD = re.compile(f"[{_L}]+")
-#: Letters or signs set apart by single separators; signs or foreign letters among letters; a letter drawn out.
-_APART = re.compile(rf"(?<![{_L}{_SIGNS}])(?:[{_L}{_SIGNS}][ ._\-*~'/,]){{2,}}[{_L}{_SIGNS}](?![{_L}{_SIGNS}])")
-_MIXED = re.compile(rf"[{_L}][{_SIGNS}._\-~^'/]+[{_L}]|[{_SIGNS}][{_L}]|[{_L}]{{2}}[013457@$](?![{_SIGNS}])|[{_L}][{_ALIKE}]|[{_ALIKE}][{_L}]|([{_L}])\1\1")
+#: Letters or signs set apart by up to three separators; signs or foreign letters among letters; a letter drawn out.
+_BETWEEN = r"[ ._\-*~'/,]{1,3}"
+_APART = re.compile(rf"(?<![{_L}{_SIGNS}])(?:[{_L}{_SIGNS}]{_BETWEEN}){{2,}}[{_L}{_SIGNS}](?![{_L}{_SIGNS}])")
+_SPACED = re.compile(rf"(.)(?:{_BETWEEN}|\Z)", re.S)
+_MIXED = re.compile(rf"[{_L}][{_SIGNS}._\-~^'/]+[{_L}]|[{_SIGNS}][{_L}]|[{_L}]{{2}}[013457@$](?![{_SIGNS}])|[{_L}][@$]{{2}}(?![{_SIGNS}])|[{_L}][{_ALIKE}]|[{_ALIKE}][{_L}]|([{_L}])\1\1")
 _DRAWN = re.compile(r"(.)\1\1")
 _ENDS = ".,;:\"'()[]"
 #: Invisible characters go, full-width forms become the plain ones.
@@ -87,7 +89,8 @@ def language_counts(texts: DataFrame, text: str = "text") -> DataFrame:
         total = np.zeros(SIZE**3, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                joined = "\n".join(t or "" for t in b.column(0).slice(at, 500).to_pylist())
+                # two line ends between texts: no trigram reaches from one into the next
+                joined = "\n\n".join(t or "" for t in b.column(0).slice(at, 500).to_pylist())
                 total += np.bincount(trigram_index(joined), minlength=SIZE**3)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
@@ -177,12 +180,19 @@ class Restorer:
 
     def apart(self, text: str) -> set[str]:
         """What letters set apart in a lower-case text spell."""
-        return {self.decode(m) for m in {m[0][::2] for m in _APART.finditer(text)} if len(set(m)) > 2}
+        return {self.decode(m) for m in {"".join(_SPACED.findall(m[0])) for m in _APART.finditer(text)}}
 
-    def words(self, text: str | None) -> set[str]:
-        """The plain and restored words of a text, those of letters set apart included."""
+    def parts(self, text: str | None) -> tuple[set[str], set[str], int]:
+        """The plain and restored words in the tokens of a text, what its letters set apart spell, and its number of
+        distinct tokens."""
         text = folded(text)
-        return {w for token in set(text.split()) for w in self.token_words(token) if w} | self.apart(text)
+        tokens = set(text.split())
+        return {w for token in tokens for w in self.token_words(token) if w}, self.apart(text), len(tokens)
+
+    def words(self, text: str | None) -> set[str]:
+        """All plain and restored words of a text."""
+        words, apart, _ = self.parts(text)
+        return words | apart
 
 
 def folded(text: str | None) -> str:
@@ -206,9 +216,27 @@ def evidence_of(word: str, lexicon: dict[str, float]) -> float:
     return best
 
 
-def summary(evidence, words: int) -> tuple[float, float, float]:
-    """Strongest evidence, log of all evidence, log of the number of distinct words."""
-    return max(evidence, default=0.0), math.log1p(sum(evidence)), math.log1p(words)
+def inside(letters: str, lexicon: dict[str, float]):
+    """Whole words of the lexicon within a chain of letters, of which nobody knows where its words part."""
+    for start in range(len(letters)):
+        for end in range(start + 4, min(len(letters), start + 24) + 1):
+            if (e := lexicon.get(letters[start:end])) is not None:
+                yield letters[start:end], e
+
+
+def apart_evidence(apart: set[str], lexicon: dict[str, float]) -> dict[str, float]:
+    """Evidence in what letters set apart spell: as words, and of words within."""
+    return {w: e for w in apart if (e := evidence_of(w, lexicon))} | {w: e for x in apart for w, e in inside(x, lexicon)}
+
+
+def text_evidence(words: set[str], apart: set[str], lexicon: dict[str, float]) -> dict[str, float]:
+    """The words of a text that hold evidence; the same for texts that teach and texts that are scored."""
+    return {w: e for w in words if (e := evidence_of(w, lexicon))} | apart_evidence(apart, lexicon)
+
+
+def summary(evidence, tokens: int) -> tuple[float, float, float]:
+    """Strongest evidence, log of all evidence, log of the number of distinct tokens."""
+    return max(evidence, default=0.0), math.log1p(math.fsum(evidence)), math.log1p(tokens)
 
 
 def _shrunk(t: Column, n: Column, toxic: float, all_: float) -> Column:
@@ -241,10 +269,10 @@ class Model:
     def __init__(self, counts: dict[int, int], own: dict[int, int], lexicon: dict[str, float], weights: list[float] | None, prior: float):
         self.counts, self.own, self.lexicon, self.weights, self.prior = counts, own, lexicon, weights, prior
 
-    def score(self, evidence, words: int) -> float:
+    def score(self, evidence, tokens: int) -> float:
         if self.weights is None:
             return self.prior
-        z = sum(a * b for a, b in zip(self.weights, (*summary(evidence, words), 1.0), strict=True))
+        z = sum(a * b for a, b in zip(self.weights, (*summary(evidence, tokens), 1.0), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -267,10 +295,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                words = [sorted(restore.words(t)) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), part.column(1), part.column(2)], ["words", "toxic", "half"])
+                found = [restore.parts(t) for t in part.column(0).to_pylist()]
+                lists = [pa.array([sorted(f[k]) for f in found], pa.list_(pa.string())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([f[2] for f in found], pa.int32()), part.column(1), part.column(2)], names)
 
-    taught = checkpointed(taught.repartition(4 * sc.defaultParallelism).mapInArrow(tidied(restored), "words array<string>, toxic int, half int"))
+    names, schema = ["words", "apart", "tokens", "toxic", "half"], "words array<string>, apart array<string>, tokens int, toxic int, half int"
+    taught = checkpointed(taught.repartition(4 * sc.defaultParallelism).mapInArrow(tidied(restored), schema))
     totals = {r["half"]: (r["t"], r["n"]) for r in taught.groupBy("half").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()}
     (t0, n0), (t1, n1) = totals.get(0, (0, 0)), totals.get(1, (0, 0))
     if not 0 < t0 + t1 < n0 + n1:
@@ -278,10 +308,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     def listed(batches):
         for b in batches:
-            words, entry = b.column(0).to_pylist(), []
-            for ws in words:
-                entry.append(list({e for w in ws for e in entries(w)}))
-            yield pa.RecordBatch.from_arrays([pa.array(entry, pa.list_(pa.string())), b.column(1), b.column(2)], ["entries", "toxic", "half"])
+            both = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            entry = [list({e for w in {*words, *apart} for e in entries(w)}) for words, apart in both]
+            yield pa.RecordBatch.from_arrays([pa.array(entry, pa.list_(pa.string())), b.column(3), b.column(4)], ["entries", "toxic", "half"])
 
     held = taught.mapInArrow(tidied(listed), "entries array<string>, toxic int, half int").select(F.explode("entries").alias("entry"), "toxic", "half")
     in_half = lambda c, h: F.sum(F.when(F.col("half") == h, c).otherwise(F.lit(0)))
@@ -297,10 +326,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         lexicon, halves = learned.value
         for b in batches:
             out, hot = [], []
-            for ws, half in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                out.append(summary([e for w in ws if (e := evidence_of(w, halves[half]))], len(ws)))
-                hot.append("\n".join(w for w in ws if evidence_of(w, lexicon) >= STRONG))
-            yield pa.RecordBatch.from_arrays([*(pa.array([o[k] for o in out], pa.float64()) for k in range(3)), b.column(1), pa.array(hot, pa.string())], ["x", "y", "z", "toxic", "hot"])
+            for words, apart, tokens, half in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+                out.append(summary(text_evidence(words, apart, halves[half]).values(), tokens))
+                hot.append("\n".join(sorted(w for w in {*words, *apart} if evidence_of(w, lexicon) >= STRONG)))
+            yield pa.RecordBatch.from_arrays([*(pa.array([o[k] for o in out], pa.float64()) for k in range(3)), b.column(3), pa.array(hot, pa.string())], ["x", "y", "z", "toxic", "hot"])
 
     taught = checkpointed(taught.mapInArrow(tidied(summed), "x double, y double, z double, toxic int, hot string"))
     rows_ = taught.select("x", "y", "z", "toxic").collect()  # four numbers for each of at most TRAIN_ROWS texts
@@ -343,8 +372,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         hits.update(hot[token])
                     apart = restore.apart(text)
                     if apart:
-                        hits.update(evidence(apart))
-                        hits.update((w, e) for x in apart for w, e in inside(x, lexicon))
+                        hits |= apart_evidence(apart, lexicon)
                     out.append(model.score(hits.values(), len(tokens)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.float64()), pa.array([int(x >= THRESHOLD) for x in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -352,13 +380,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def inside(letters: str, lexicon: dict[str, float]):
-    """Whole words of the lexicon within a chain of letters, of which nobody knows where its words part."""
-    for start in range(len(letters)):
-        for end in range(start + 4, min(len(letters), start + 24) + 1):
-            if (e := lexicon.get(letters[start:end])) is not None:
-                yield letters[start:end], e
-
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
