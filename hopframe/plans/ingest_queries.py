@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,9 @@ from pyspark.sql import functions as F
 
 from hopframe import preprocess
 from hopframe.functions import text as T
-from hopframe.session import shared_folder
+from hopframe.functions import vectors as V
+from hopframe.session import scratch
+from hopframe.sources import files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,13 +27,9 @@ def query(oracle: str | None = None):
     return keep
 
 
-def folder(s: SparkSession, name: str) -> str:
-    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
-
-
 def written_graph(s: SparkSession, d: str) -> str:
     """Regions, nations, suppliers and customers as raw graph documents, one a type, in a folder."""
-    path = folder(s, "graph")
+    path = scratch(s, "graph")
     for kind, key, name, up in (("region", "r_regionkey", "r_name", None), ("nation", "n_nationkey", "n_name", "region:n_regionkey"), ("supplier", "s_suppkey", "s_name", "nation:s_nationkey"), ("customer", "c_custkey", "c_name", "nation:c_nationkey")):
         t = s.read.parquet(f"{d}/{kind}.parquet").withColumn("k", F.col(key).cast("long"))
         near = F.create_map().cast("map<string,array<string>>")
@@ -83,3 +80,30 @@ def flatten_nested(s, d):
         F.lit(', "none": null, "like_json": "[1, 2]", "tags": ['), value("p_brand"), F.lit(', {"y": '), size, F.lit('}, null, true], "deep": {"a": {"b": {"c": {"d": '), size, F.lit('}}}, "e": []}}'),
     )
     return s.read.parquet(f"{d}/part.parquet").select("p_partkey", T.flattened(preprocess.feature_texts(doc)).alias("node_attr"))
+
+
+@query(
+    """
+SELECT vec_id AS node_idx, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS norm, 256 AS bytes
+FROM embeddings WHERE vec_id % 100 = 0"""
+)
+def vector_store_gather(s, d):
+    """All embeddings written to a store of fixed stride; the vectors of a sample of ids read from it, one read each."""
+    path = scratch(s, "vectors")
+    vectors.write(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("node_idx"), F.col("embedding").alias("x")), path, 64, "float32", segment=20_000)
+    ids = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("node_idx")).filter("node_idx % 100 = 0")
+    got = vectors.gather(ids, path, s)
+    x = F.col("x").cast("array<double>")
+    return got.select("node_idx", F.round(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 5).alias("total"), F.round(V.norm(x), 5).alias("norm"), F.col("read").cast("int").alias("bytes"))
+
+
+@query("SELECT raw_index, item_id, text FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS raw_index, item_id, text FROM benchmark) WHERE raw_index % 7 = 3")
+def jsonl_random_access(s, d):
+    """The benchmark as JSON lines; every seventh record by its offset, a read each."""
+    path = scratch(s, "lines")
+    items = s.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text")
+    files.write_jsonl(items.repartitionByRange(4, "item_id").sortWithinPartitions("item_id"), path)
+    offsets = files.jsonl_offsets(s, path)
+    wanted = offsets.select("raw_index").filter("raw_index % 7 = 3")
+    return files.jsonl_records(wanted, offsets, "item_id long, text string").select("raw_index", "item_id", "text")

@@ -22,6 +22,7 @@ from hopframe.operators import graph
 from hopframe.operators.splits import ranked
 from hopframe.session import checkpointed
 from hopframe.sources import raw_graph
+from hopframe.sources.checkpoint import read_text, replace_text
 
 #: Seeds kept with a graph; the sanitiser's version, which the sidecar must name.
 SEEDS, VERSION = 4096, 1
@@ -87,9 +88,9 @@ def graph_tables(spark: SparkSession, path: str, domain: str) -> tuple[DataFrame
 def read_meta(spark: SparkSession, out: str) -> dict:
     """The sidecar; one that is missing or unreadable is empty."""
     try:
-        found = json.loads("".join(r["value"] for r in spark.read.text(f"{out}/meta").collect()))  # one line
+        found = json.loads(read_text(spark, f"{out}/meta.json") or "{}")
         return found if isinstance(found, dict) else {}
-    except (AnalysisException, ValueError):
+    except ValueError:
         return {}
 
 
@@ -118,7 +119,7 @@ def build(spark: SparkSession, graph_path: str, data_path: str | None, out: str,
     if reuse and complete(spark, out, **wanted):
         return read_meta(spark, out)
     # the old sidecar goes first: while tables are being written, nothing may call the folder complete
-    spark.createDataFrame([("{}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/meta")
+    replace_text(spark, f"{out}/meta.json", "{}")
     nodes, edges = graph_tables(spark, graph_path, domain)
     nodes.write.mode("overwrite").parquet(f"{out}/nodes")
     nodes = spark.read.parquet(f"{out}/nodes")
@@ -137,7 +138,7 @@ def build(spark: SparkSession, graph_path: str, data_path: str | None, out: str,
         samples = spark.read.parquet(f"{out}/samples").count()
     kinds = sorted(r[0] for r in nodes.select("node_type").distinct().collect())  # type names
     meta = {**wanted, "version": VERSION, "node_count": n, "edge_count": edges.count(), "samples": samples, "node_types": kinds, "edge_types": sorted(r[0] for r in edges.select("edge_attr").distinct().collect())}
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/meta")
+    replace_text(spark, f"{out}/meta.json", json.dumps(meta, sort_keys=True))
     return read_meta(spark, out)
 
 

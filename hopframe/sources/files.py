@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from hopframe.sources.ranges import read_ranges
+
 def read_table(spark: SparkSession, path: str, schema: str, required: list[str], optional: list[str] = [], sep: str = ",") -> DataFrame:  # noqa: B006
     """A CSV table's required columns and those optional ones it has, by name; an error names the missing.
 
@@ -39,6 +41,33 @@ def indexed_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return x.select((F.col("_rn") + F.col("_before")).cast("long").alias("raw_index"), F.from_json("value", schema).alias("r")).select("raw_index", "r.*")
 
 
+def jsonl_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """raw_index, file, at, length of every line that is not blank, files in the order of their names.
+
+    One scan that keeps a line's length only; bytes before a line are summed within its split and over the splits
+    before. The table is written once and asked many times.
+    """
+    meta = lambda c: F.col(f"_metadata.{c}")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        meta("file_path").alias("file"), meta("file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"), F.octet_length("value").cast("long").alias("length"), F.trim(F.replace("value", F.lit("\r"), F.lit(""))).alias("v")
+    )
+    lines = lines.select("file", "b", "k", "length", (F.col("v") != "").cast("long").alias("some"))
+    blocks = lines.groupBy("file", "b").agg(F.sum(F.col("length") + 1).alias("bytes"), F.sum("some").alias("n"))  # a row a split
+    before = Window.orderBy("file", "b").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "b", F.coalesce(F.sum("bytes").over(own), F.lit(0)).alias("_at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("file", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumns({"_in": F.coalesce(F.sum(F.col("length") + 1).over(inside), F.lit(0)), "_rn": F.coalesce(F.sum("some").over(inside), F.lit(0))}).filter("some = 1")
+    return rows.join(F.broadcast(blocks), ["file", "b"]).select((F.col("_n") + F.col("_rn")).alias("raw_index"), "file", (F.col("_at") + F.col("_in")).alias("at"), "length")
+
+
+def jsonl_records(wanted: DataFrame, offsets: DataFrame, schema: str) -> DataFrame:
+    """The records of wanted (raw_index), each by a read of its own bytes; touching ones share a read. An index that the
+    table lacks gives no row."""
+    got = read_ranges(offsets.join(wanted.select("raw_index").distinct(), "raw_index"))
+    return got.select("raw_index", "read", F.from_json(F.col("data").cast("string"), schema).alias("r")).select("raw_index", "read", "r.*")
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
