@@ -76,8 +76,12 @@ def bfs(sources: DataFrame, und: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def bfs_paths(sources: DataFrame, und: DataFrame, depth: int) -> DataFrame:
-    """src, node, path: one shortest path each, over the parent with the least index."""
+def bfs_paths(sources: DataFrame, und: DataFrame, depth: int, max_visited: int | None = None) -> DataFrame:
+    """src, node, path: one shortest path each, over the parent with the least index.
+
+    A source whose nodes so far come to max_visited or more at a level gives none from that level on, and is not
+    followed any further.
+    """
     front = checkpointed(sources.select(F.col("node_idx").alias("src"), F.col("node_idx").alias("node"), F.array("node_idx").alias("path")).distinct())
     pairs = checkpointed(und.distinct())
     seen = front
@@ -85,10 +89,38 @@ def bfs_paths(sources: DataFrame, und: DataFrame, depth: int) -> DataFrame:
         nxt = front.join(pairs, front["node"] == pairs["u"]).select("src", F.col("v").alias("to"), F.col("node").alias("via"), "path")
         nxt = nxt.join(seen.select("src", F.col("node").alias("to")), ["src", "to"], "left_anti")
         front = checkpointed(nxt.groupBy("src", "to").agg(F.min_by("path", "via").alias("path")).select("src", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path")))
+        if max_visited is not None:
+            full = seen.select("src").unionByName(front.select("src")).groupBy("src").count().filter(F.col("count") >= max_visited)
+            front = checkpointed(front.join(full, "src", "left_anti"))
         seen = seen.unionByName(front)
     return seen
 
 
+def links_within(sub: DataFrame, und: DataFrame) -> DataFrame:
+    """qid, u, v: the links of each question's subgraph (qid, node_idx)."""
+    ends = lambda c: sub.select("qid", F.col("node_idx").alias(c))
+    return und.select("u", "v").distinct().join(ends("u"), "u").join(ends("v"), ["qid", "v"], "left_semi").select("qid", "u", "v")
+
+
+def levels_within(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """qid, src, node, d: distances from each start (qid, src) within its question's links (qid, u, v), however far.
+
+    A question drops out when its frontier is empty, and the loop ends when all have. What was seen is written as one
+    table every few rounds, so neither plans nor unions grow with the distance.
+    """
+    front = checkpointed(starts.select("qid", "src", F.col("src").alias("node"), F.lit(0).alias("d")).distinct())
+    links, seen, d = checkpointed(links), front, 0
+    while True:
+        d += 1
+        near = front.join(links.withColumnRenamed("u", "node"), ["qid", "node"]).select("qid", "src", F.col("v").alias("node")).distinct()
+        front = checkpointed(near.join(seen.select("qid", "src", "node"), ["qid", "src", "node"], "left_anti").withColumn("d", F.lit(d)))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+        if d % 8 == 0:
+            seen = checkpointed(seen)
+
+
 def proximity(levels: DataFrame, nodes: DataFrame, anchors: DataFrame, clip: int) -> DataFrame:
     """anchor, node_idx, proximity: clip + 1 at the anchor, falling by a hop, 0 where unreached."""
     grid = F.broadcast(anchors.select(F.col("node_idx").alias("src")))  # the anchors are few by definition
@@ -105,17 +137,18 @@ def sample_neighbourhood(seeds: DataFrame, edges: DataFrame, fan: list[int], see
     """Sampled nodes (qid, node_idx, hop) and edges (qid, src_idx, dst_idx, edge_id, hop).
 
     edges has edge_id. For each newly reached node of a question the incoming edges with the least hash are taken; a
-    node keeps its first hop. The rank is a window by (qid, node): a hub's edges are ranked once for each question
-    that reaches it.
+    node keeps its first hop. The hash does not depend on the question, so each node's first edges are ranked once,
+    before any question meets them, and a hub brings each question no more than the fan-out.
     """
     front = seeds.select("qid", "node_idx").distinct()
     got = front.withColumn("hop", F.lit(0))
     taken = []
-    ranked = edges.withColumn("_h", h("edge_id", seed))
+    w = Window.partitionBy("dst_idx").orderBy("_h", "edge_id")
+    most = max(fan)
+    first = edges.withColumn("_h", h("edge_id", seed)).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
+    first = checkpointed(first.select("src_idx", "dst_idx", "edge_id", "rn"))
     for k, n in enumerate(fan, 1):
-        near = front.join(ranked, front["node_idx"] == ranked["dst_idx"]).select("qid", "src_idx", "dst_idx", "edge_id", "_h")
-        w = Window.partitionBy("qid", "dst_idx").orderBy("_h", "edge_id")
-        near = near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).select("qid", "src_idx", "dst_idx", "edge_id").withColumn("hop", F.lit(k))
+        near = front.join(first.filter(F.col("rn") <= n), front["node_idx"] == first["dst_idx"]).select("qid", "src_idx", "dst_idx", "edge_id").withColumn("hop", F.lit(k))
         near = checkpointed(near)
         taken.append(near)
         front = near.select("qid", F.col("src_idx").alias("node_idx")).distinct().join(got.select("qid", "node_idx"), ["qid", "node_idx"], "left_anti")
@@ -123,17 +156,17 @@ def sample_neighbourhood(seeds: DataFrame, edges: DataFrame, fan: list[int], see
     return got, reduce(DataFrame.unionByName, taken)
 
 
-def roles(pairs: DataFrame, und: DataFrame, sub: DataFrame, depth: int) -> DataFrame:
+def roles(pairs: DataFrame, und: DataFrame, sub: DataFrame) -> DataFrame:
     """qid, node_idx, d_src, d_dst, d_sd, delta, role of the nodes of each question's subgraph.
 
-    pairs: qid, src, dst. sub: qid, node_idx. Unreached distances are the subgraph's size plus one.
+    pairs: qid, src, dst. sub: qid, node_idx. Distances are those within the subgraph; unreached ones its size plus one.
     """
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node_idx")).distinct()
-    d = bfs(ends, und, depth)
+    starts = pairs.select("qid", F.explode(F.array("src", "dst")).alias("src")).join(sub.select("qid", F.col("node_idx").alias("src")), ["qid", "src"], "left_semi")
+    d = levels_within(starts, links_within(sub, und))
     n = sub.groupBy("qid").agg(F.count("*").alias("n"))
     x = sub.join(pairs, "qid").join(n, "qid")
-    ds, dd, dsd = (d.select(F.col("src").alias(a), F.col("node").alias(b), F.col("d").alias(c)) for a, b, c in (("src", "node_idx", "_ds"), ("dst", "node_idx", "_dd"), ("src", "dst", "_sd")))
-    x = x.join(ds, ["src", "node_idx"], "left").join(dd, ["dst", "node_idx"], "left").join(dsd, ["src", "dst"], "left")
+    ds, dd, dsd = (d.select("qid", F.col("src").alias(a), F.col("node").alias(b), F.col("d").alias(c)) for a, b, c in (("src", "node_idx", "_ds"), ("dst", "node_idx", "_dd"), ("src", "dst", "_sd")))
+    x = x.join(ds, ["qid", "src", "node_idx"], "left").join(dd, ["qid", "dst", "node_idx"], "left").join(dsd, ["qid", "src", "dst"], "left")
     far = F.col("n") + 1
     x = x.withColumns({"d_src": F.coalesce("_ds", far), "d_dst": F.coalesce("_dd", far)})
     cut = F.col("_sd").isNull()

@@ -235,6 +235,13 @@ _PATHS = (
 )
 
 
+@query(rec("SELECT src, node, d AS hop FROM lv WHERE d > 0 AND (SELECT count(*) FROM lv x WHERE x.src = lv.src AND x.d <= lv.d) < 70", ANCHORS, LEVELS.format("ka", 4)))
+def exact_hops_within_cap(s, d):
+    """What each anchor reaches at levels up to which it has seen fewer than 70 nodes."""
+    x = graph.bfs_paths(_anchors(s, d), undirected(edges(s, d, True)), 4, 70)
+    return x.select("src", "node", (F.size("path") - 1).alias("hop")).filter("hop > 0")
+
+
 @query(rec("SELECT src, node, path FROM pt", ANCHORS, LEVELS.format("ka", 4), *_PATHS))
 def hop_paths(s, d):
     x = graph.bfs_paths(_anchors(s, d), undirected(edges(s, d, True)), 4)
@@ -247,7 +254,13 @@ _PAIRS = (
     "pq AS (SELECT * FROM pr WHERE dst IS NOT NULL)",
     "sb AS (SELECT DISTINCT pq.qid, lv.node AS node_idx FROM pq JOIN lv ON lv.src IN (pq.src, pq.dst) WHERE lv.d <= 2)",
     "sz AS (SELECT qid, count(*) AS n FROM sb GROUP BY qid)",
-    "ro AS (SELECT sb.qid, sb.node_idx, pq.src, pq.dst, sz.n, coalesce(a.d, n + 1) AS d_src, coalesce(b.d, n + 1) AS d_dst, c.d AS sd FROM sb JOIN pq USING (qid) JOIN sz USING (qid) LEFT JOIN lv a ON a.src = pq.src AND a.node = sb.node_idx LEFT JOIN lv b ON b.src = pq.dst AND b.node = sb.node_idx LEFT JOIN lv c ON c.src = pq.src AND c.node = pq.dst)",
+    # distances within each subgraph; none of these is wider than the bound
+    "lk0 AS (SELECT DISTINCT a.qid, su.u, su.v FROM sb a JOIN su ON su.u = a.node_idx JOIN sb b ON b.qid = a.qid AND b.node_idx = su.v)",
+    """lw(qid, src, node, d) AS (
+      SELECT qid, src, src, 0 FROM pq UNION SELECT qid, dst, dst, 0 FROM pq
+      UNION SELECT lw.qid, lw.src, lk0.v, lw.d + 1 FROM lw JOIN lk0 ON lk0.qid = lw.qid AND lk0.u = lw.node WHERE lw.d < 8)""",
+    "ll AS (SELECT qid, src, node, min(d) AS d FROM lw GROUP BY 1, 2, 3)",
+    "ro AS (SELECT sb.qid, sb.node_idx, pq.src, pq.dst, sz.n, coalesce(a.d, n + 1) AS d_src, coalesce(b.d, n + 1) AS d_dst, c.d AS sd FROM sb JOIN pq USING (qid) JOIN sz USING (qid) LEFT JOIN ll a ON a.qid = sb.qid AND a.src = pq.src AND a.node = sb.node_idx LEFT JOIN ll b ON b.qid = sb.qid AND b.src = pq.dst AND b.node = sb.node_idx LEFT JOIN ll c ON c.qid = sb.qid AND c.src = pq.src AND c.node = pq.dst)",
     "rd AS (SELECT qid, node_idx, src, dst, CAST(d_src AS INTEGER) AS d_src, CAST(d_dst AS INTEGER) AS d_dst, sd IS NULL AS disconnected, CAST(CASE WHEN sd IS NULL OR d_src > n OR d_dst > n THEN -1 ELSE greatest(0, d_src + d_dst - sd) END AS INTEGER) AS delta FROM ro)",
     "rl AS (SELECT qid, node_idx, d_src, d_dst, disconnected, delta, CASE WHEN node_idx = src THEN 0 WHEN node_idx = dst THEN 1 WHEN NOT disconnected AND delta = 0 THEN 2 ELSE 3 END AS role FROM rd)",
 )
@@ -261,7 +274,7 @@ def _labelled(s, d):
     near = graph.bfs(a, und, 2)
     ends = pairs.select("qid", F.explode(F.array("src", "dst")).alias("src"))
     sub = ends.join(near, "src").select("qid", F.col("node").alias("node_idx")).distinct()
-    return graph.roles(pairs, und, sub, 4)
+    return graph.roles(pairs, und, sub)
 
 
 @query(rec("SELECT qid, node_idx, d_src, d_dst, disconnected, delta, role FROM rl", *_ROLES))
