@@ -49,8 +49,9 @@ READ = LEET | ALIKE
 _SIGNS, _ALIKE = re.escape("".join(LEET)), "".join(ALIKE)
 _L = "a-zß-öø-ÿœ"
 _WORD = re.compile(f"[{_L}]+")
-#: Letters or signs set apart by up to three separators; signs or foreign letters among letters; a letter drawn out.
-_BETWEEN = r"[ ._\-*~'/,]{1,3}"
+#: Letters or signs set apart by a star or up to three other separators (taken whole, so that no run of them can be
+#: parted in more than one way); signs or foreign letters among letters; a letter drawn out.
+_BETWEEN = r"(?:\*|[ ._\-~'/,]{1,3}+)"
 _APART = re.compile(rf"(?<![{_L}{_SIGNS}])(?:[{_L}{_SIGNS}]{_BETWEEN}){{2,}}[{_L}{_SIGNS}](?![{_L}{_SIGNS}])")
 _SPACED = re.compile(rf"(.)(?:{_BETWEEN}|\Z)", re.S)
 _MIXED = re.compile(rf"[{_L}][{_SIGNS}._\-~^'/]+[{_L}]|[{_SIGNS}][{_L}]|[{_L}]{{2}}[013457@$](?![{_SIGNS}])|[{_L}][@$]{{2}}(?![{_SIGNS}])|[{_L}][{_ALIKE}]|[{_ALIKE}][{_L}]|([{_L}])\1\1")
@@ -360,16 +361,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     text = folded(text)
                     tokens = set(text.split())
                     hits: dict[str, float] = {}
-                    for token in tokens - cold - hot.keys():
-                        found = evidence(restore.token_words(token))
-                        hits.update(found)
-                        if len(token) <= _KEPT_CHARS:
-                            if found:
-                                hot[token] = found
-                            else:
-                                cold.add(token)
-                    for token in tokens & hot.keys():
-                        hits.update(hot[token])
+                    for token in tokens - cold:
+                        found = hot.get(token)
+                        if found is None:
+                            found = evidence(restore.token_words(token))
+                            if len(token) <= _KEPT_CHARS:
+                                if found:
+                                    hot[token] = found
+                                else:
+                                    cold.add(token)
+                        if found:
+                            hits.update(found)
                     apart = restore.apart(text)
                     if apart:
                         hits |= apart_evidence(apart, lexicon)
