@@ -55,3 +55,58 @@ def node_features(sub: DataFrame, features: DataFrame) -> DataFrame:
 def edge_features(edges: DataFrame, types: DataFrame) -> DataFrame:
     """edges with `features`: their own edge_attr, else their type's vector (edge_type, vector; a row a type), else null."""
     return edges.join(F.broadcast(types), "edge_type", "left").withColumn("features", F.coalesce("edge_attr", "vector")).drop("vector")
+
+
+def graph_summary(domain: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """description: one row on the whole graph."""
+    n, e = nodes.agg(F.count("*").alias("_n")), edges.agg(F.count("*").alias("_e"))
+    text = F.concat(F.lit(f"Graph Domain: {domain}. Nodes: "), F.col("_n").cast("string"), F.lit(". Edges: "), F.col("_e").cast("string"), F.lit("."))
+    return n.join(F.broadcast(e), F.col("_n") >= 0).select(text.alias("description"))  # one row each
+
+
+def query_adjacency(sub: DataFrame, edges: DataFrame, queries: DataFrame, max_nodes: int) -> DataFrame:
+    """qid, description of each question's sampled subgraph: its query nodes, a table of nodes, a list of edges.
+
+    sub: qid, node_idx, local_idx. edges: qid, src_idx, dst_idx, pos. queries: qid, query_nodes. The query nodes that
+    the subgraph has come first, each once, then the others in local order up to max_nodes (one beyond the query nodes
+    at least); edges between those follow in their order, max(4, 4 * max_nodes) of them. Without any such edge the text
+    is empty.
+    """
+    asked = queries.select("qid", F.posexplode(F.array_distinct("query_nodes")).alias("_q", "node_idx"))
+    n = sub.join(asked, ["qid", "node_idx"], "left")
+    first = Window.partitionBy("qid").orderBy(F.col("_q").asc_nulls_last(), "local_idx")
+    whole = Window.partitionBy("qid")
+    n = n.withColumns({"_rank": F.row_number().over(first) - 1, "_asked": F.count("_q").over(whole)})
+    n = n.filter((F.col("_rank") < max_nodes) | (F.col("_rank") <= F.col("_asked")))
+    role = F.when(F.col("_rank") == 0, "src").when(F.col("_rank") == 1, "dst").otherwise(F.concat(F.lit("query_"), F.col("_rank").cast("string")))
+    node = F.concat(F.lit("node_idx="), F.col("node_idx").cast("string"))
+    end = lambda c: n.select("qid", F.col("node_idx").alias(c))
+    e = edges.select("qid", "src_idx", "dst_idx", "pos").join(end("src_idx"), ["qid", "src_idx"], "left_semi").join(end("dst_idx"), ["qid", "dst_idx"], "left_semi")
+    e = e.withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy("pos"))).filter(F.col("_rn") <= max(4, 4 * max_nodes))
+    a = _lines(n.filter(F.col("_q").isNotNull()), ["_rank"], F.concat(role, F.lit(": "), node), "_a")
+    b = _lines(n, ["_rank"], node, "_b")
+    c = _lines(e, ["pos"], F.concat(F.col("src_idx").cast("string"), F.lit(" -> "), F.col("dst_idx").cast("string")), "_c")
+    x = b.join(a, "qid", "left").join(c, "qid", "left")
+    parts = F.concat_ws("\n", F.lit("Serialized query-centered sampled subgraph."), F.lit("Query nodes:"), F.coalesce("_a", F.lit("unknown")), F.lit("Node table:"), "_b", F.lit("Adjacency list:"), "_c")
+    return x.select("qid", F.when(F.col("_c").isNull(), "").otherwise(parts).alias("description"))
+
+
+def described(mode: str, questions: DataFrame, domain: str, nodes: DataFrame, edges: DataFrame, adjacency: DataFrame | None = None, max_nodes: int = 16) -> DataFrame:
+    """qid, description for each question: `none`, `summary`, `sampled_nodes` (a table of the first nodes) or
+    `query_adjacency`, which falls back to the summary where a question has none."""
+    if mode == "none":
+        return questions.select("qid", F.lit("").alias("description"))
+    if mode == "sampled_nodes":
+        head = nodes.orderBy("node_idx").limit(max_nodes)  # the table's head is the feature
+        quoted = lambda c: F.when(F.col(c).rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
+        line = F.concat_ws(",", F.col("node_idx").cast("string"), quoted("node_id"), quoted("node_type"), quoted("node_attr"))
+        rows = head.agg(F.array_sort(F.collect_list(F.struct("node_idx", line.alias("_l")))).alias("_r"))
+        text = rows.select(F.concat(F.lit("node_idx,node_id,node_type,node_attr\n"), F.array_join(F.transform("_r", lambda r: F.concat(r["_l"], F.lit("\n"))), "")).alias("description"))
+        return questions.select("qid").join(F.broadcast(text), F.lit(True))  # one row
+    whole = F.broadcast(graph_summary(domain, nodes, edges).withColumnRenamed("description", "_s"))
+    if mode == "summary":
+        return questions.select("qid").join(whole, F.lit(True)).select("qid", F.col("_s").alias("description"))
+    if mode != "query_adjacency" or adjacency is None:
+        raise ValueError(f"no such description: {mode}")
+    own = questions.select("qid").join(adjacency.filter("description <> ''"), "qid", "left").join(whole, F.lit(True))
+    return own.select("qid", F.coalesce("description", "_s").alias("description"))

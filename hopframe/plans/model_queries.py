@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopframe.functions import vectors as V
-from hopframe.operators import graph, layers, propagate
-from hopframe.plans.graph_queries import rec
+from hopframe.operators import graph, layers, propagate, tokens
+from hopframe.plans.graph_queries import _ROLES, _labelled, rec
 from hopframe.sources.testgraph import edges, nodes, undirected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,72 @@ def gat_forward(s, d):
 def transformer_forward(s, d):
     both = lambda k: (given(8, DIM, k), row(8, k))
     return layers.transformer(signal(s, d), links(s, d), both(5), both(6), both(7), both(8), 2).select("node_idx", *summary(F.col("x")))
+
+
+# ---- graph tokens
+
+TOKENS = tokens.Tables(
+    degree=(given(DIM, 1, 40), row(DIM, 41)), role=given(4, DIM, 42), distance_src=given(34, DIM, 43), distance_dst=given(34, DIM, 44), corridor=(given(DIM, 1, 45), row(DIM, 51)), identity=given(16, DIM, 46),
+    projector=("linear", [(given(16, DIM, 47), row(16, 47))]), role_residual=given(4, 16, 48), role_alpha=0.5, role_clip=0.3,
+    distance_src_residual=given(24, 16, 49), distance_dst_residual=given(24, 16, 50), by_role=True, distance_alpha=0.25, distance_clip=0.2,
+)
+BUDGET = 16
+
+
+def question_tokens(s: SparkSession, d: str) -> DataFrame:
+    """The first tokens of the corridor questions, in their order; the ends are the targets."""
+    lab = _labelled(s, d)
+    n, e = nodes(s, d, True), edges(s, d, True)
+    deg = graph.degrees(n, e).select("node_idx", "out_deg")
+    top = F.broadcast(deg.agg(F.greatest(F.max("out_deg"), F.lit(1)).alias("_m")))  # one row
+    bias = deg.join(top, F.col("out_deg") <= F.col("_m")).select("node_idx", (F.col("out_deg") / F.col("_m")).alias("bias"))
+    order = graph.syntax_order(lab, BUDGET).select("qid", "pos", "node_idx")
+    return order.join(lab, ["qid", "node_idx"]).join(bias, "node_idx").withColumns({"active": F.lit(True), "target": F.col("role") < 2})
+
+
+_S = lambda i, k: f"sin({i} * 31 + j * 17 + {k}) / 8.0::DOUBLE"
+_ORDERED = (
+    X0,
+    """tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY least(role, 2), CASE WHEN disconnected THEN 0 ELSE delta END, d_src + d_dst,
+        CASE WHEN disconnected THEN 0 ELSE abs(d_src - d_dst) END, node_idx) - 1 AS pos FROM rl) WHERE pos < 16)""",
+)
+_BUCKET = "(CASE WHEN {0} < 0 THEN 5 ELSE least({0}, 4) END)"
+
+
+@query(
+    rec(
+        "SELECT qid, CAST(pos AS INTEGER) AS pos, node_idx, round(list_sum(x), 6) AS total, round(sqrt(list_dot_product(x, x)), 6) AS norm FROM p4",
+        *_ROLES,
+        *_ORDERED,
+        f"""p1 AS (SELECT tk.*, list_transform(range(0, {DIM}), lambda j: x[j + 1]
+              + sin(j * 31 + 40) / 8.0::DOUBLE * (out_deg / m) + sin(j * 17 + 41) / 8.0::DOUBLE
+              + {_S('role', 42)} + {_S('least(d_src, 33)', 43)} + {_S('least(d_dst, 33)', 44)}
+              + sin(j * 31 + 45) / 8.0::DOUBLE * CASE WHEN delta >= 0 THEN exp(-0.5::DOUBLE * delta) ELSE 0 END + sin(j * 17 + 51) / 8.0::DOUBLE + {_S('pos', 46)}) AS v
+            FROM tk JOIN xv USING (node_idx) JOIN sdeg USING (node_idx), (SELECT CAST(greatest(max(out_deg), 1) AS DOUBLE) AS m FROM sdeg) mx)""",
+        f"p2 AS (SELECT *, list_transform(range(0, 16), lambda i: list_dot_product(list_transform(range(0, {DIM}), lambda j: {_S('i', 47)}), v) + sin(i * 17 + 47) / 8.0::DOUBLE) AS b FROM p1)",
+        f"""p3 AS (SELECT *, list_transform(range(0, 16), lambda j: {_S('role', 48)} * 0.5::DOUBLE) AS rr,
+              list_transform(range(0, 16), lambda j: ({_S('(role * 6 + ' + _BUCKET.format('d_src') + ')', 49)} + {_S('(role * 6 + ' + _BUCKET.format('d_dst') + ')', 50)}) * 0.25::DOUBLE) AS dr FROM p2)""",
+        """p4 AS (SELECT qid, pos, node_idx, list_transform(range(1, 17), lambda i: b[i]
+              + rr[i] * least(1, sqrt(list_dot_product(b, b)) * 0.3::DOUBLE / sqrt(list_dot_product(rr, rr)))
+              + dr[i] * least(1, sqrt(list_dot_product(b, b)) * 0.2::DOUBLE / sqrt(list_dot_product(dr, dr)))) AS x FROM p3)""",
+    )
+)
+def graph_tokens(s, d):
+    """Node tokens of the corridor questions with all annotations, projected, with both residuals."""
+    out = tokens.assembled(question_tokens(s, d), signal(s, d), TOKENS, "nodes", DIM)
+    return out.select("qid", "pos", "node_idx", *summary(F.col("x")))
+
+
+@query(
+    rec(
+        SUMMED.replace("node_idx", "qid").format("(SELECT qid, dim, sin(dim * 17 + 47) / 8.0::DOUBLE + list_dot_product(list_transform(range(0, 64), lambda j: sin(dim * 31 + j * 17 + 47) / 8.0::DOUBLE), x) AS x FROM pl, range(0, 16) t(dim))"),
+        *_ROLES,
+        *_ORDERED,
+        """pd AS (SELECT qid, dim, sum(CASE WHEN role < 2 THEN x ELSE 0 END) / greatest(sum(CASE WHEN role < 2 THEN 1 ELSE 0 END), 1) AS x
+             FROM (SELECT qid, role, unnest(range(0, 64)) AS dim, unnest(x) AS x FROM tk JOIN xv USING (node_idx)) GROUP BY 1, 2)""",
+        "pl AS (SELECT qid, list(x ORDER BY dim) AS x FROM pd GROUP BY 1)",
+    )
+)
+def graph_token_single(s, d):
+    """One pooled and projected token a question."""
+    return tokens.assembled(question_tokens(s, d), signal(s, d), TOKENS, "single", DIM).select("qid", *summary(F.col("x")))
