@@ -1,12 +1,17 @@
-"""Structured Streaming twins of the stateful operators; each takes a streaming (or batch) DataFrame of events."""
+"""Structured Streaming twins of the stateful operators; each takes a streaming (or batch) DataFrame of events.
+
+The queue and the controllers keep list and value state; they need a state store that can, such as RocksDB
+(spark.sql.streaming.stateStore.providerClass).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -76,6 +81,118 @@ def bottom_k(events: DataFrame, k: int, seed: int, hash_of) -> DataFrame:
     return events.select(slot, F.struct(hash_of("event_id", seed).alias("h"), "event_id").alias("r")).groupBy("slot").agg(F.min("r").alias("r")).select("slot", "r.event_id")
 
 
+class Fifo(StatefulProcessor):
+    """The last `size` events of a key, in order; what is older is evicted. Each arrival takes the next slot around."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getListState("items", "event_id long")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["ts", "event_id"])["event_id"].tolist()
+        n = self.count.get()[0] if self.count.exists() else 0
+        kept = ([r[0] for r in self.items.get()] if self.items.exists() else []) + new
+        self.items.put([(int(x),) for x in kept[-self.size :]])
+        self.count.update((n + len(new),))
+        out = [(key[0], i % self.size, i, int(x)) for i, x in enumerate(new, n)][-self.size :]
+        yield pd.DataFrame(out, columns=["queue", "slot", "n", "event_id"])
+
+    def close(self) -> None:
+        pass
+
+
+class Resets(StatefulProcessor):
+    """The twin of momentum_resets(): what the last progress was, and how many epochs the cooldown still lasts."""
+
+    def __init__(self, threshold: float, guard: float, tolerance: float, cooldown: int) -> None:
+        self.threshold, self.guard, self.tolerance, self.cooldown = threshold, guard, tolerance, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "before double, wait int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before, wait = self.state.get() if self.state.exists() else (None, 0)
+        out = []
+        for epoch, now in pd.concat(list(rows)).sort_values("epoch")[["epoch", "progress"]].itertuples(index=False):
+            now = None if pd.isna(now) else float(now)
+            wait = max(wait - 1, 0)
+            fell = before is not None and now is not None and before >= self.threshold and now < self.threshold + self.guard and now - before <= -self.tolerance
+            reset = fell and wait <= 0
+            wait = self.cooldown if reset else wait
+            before = now if now is not None and now >= 0 else None
+            out.append((key[0], int(epoch), reset))
+        self.state.update((before, wait))
+        yield pd.DataFrame(out, columns=["run", "epoch", "reset"])
+
+    def close(self) -> None:
+        pass
+
+
+class Progress(StatefulProcessor):
+    """The twin of progress_controller(): an exponential mean and the weight that it drives."""
+
+    def __init__(self, beta: float, low: float, high: float, step: float, start: float, hold=None, target=None, band=None) -> None:
+        self.beta, self.low, self.high, self.step, self.start = beta, low, high, step, start
+        self.hold, self.target, self.band = hold, target, band
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "ema double, w double")
+
+    def aim(self, ema: float, rate: float) -> float:
+        aim = self.low + (self.high - self.low) * (1 - ema)
+        if self.hold is not None and ema >= self.hold[0]:
+            aim = max(aim, self.hold[1])
+        if self.target is not None:
+            off = rate - self.target[0]
+            aim += self.target[1] * (0.0 if abs(off) <= self.target[2] else off)
+        if self.band is not None:
+            least, most, dead, above, below = self.band
+            aim += above * (rate - most - dead) if rate > most + dead else below * (rate - least + dead) if rate < least - dead else 0.0
+        return aim
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ema, w = self.state.get() if self.state.exists() else (None, self.start)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("epoch").itertuples(index=False):
+            if pd.isna(r.progress):
+                continue
+            ema = float(r.progress) if ema is None else self.beta * ema + (1 - self.beta) * float(r.progress)
+            move = max(-self.step, min(self.step, self.aim(ema, float(r.digit8_rate)) - w))
+            w = max(self.low, min(self.high, w + move))
+            out.append((key[0], int(r.epoch), ema, w))
+        self.state.update((ema, w))
+        yield pd.DataFrame(out, columns=["run", "epoch", "ema", "weight"])
+
+    def close(self) -> None:
+        pass
+
+
+def fifo_queue(events: DataFrame, size: int, queue: str = "user_id") -> DataFrame:
+    """queue, slot, n, event_id: the queue of each key as it fills; the row of a slot with the greatest n stands."""
+    schema = "queue long, slot long, n long, event_id long"
+    return events.groupBy(queue).transformWithStateInPandas(Fifo(size), schema, "Update", "None")
+
+
+def queue_contents(events: DataFrame, size: int, queue: str = "user_id") -> DataFrame:
+    """The batch operator: queue, slot, n, event_id of the last `size` events of each key."""
+    by = Window.partitionBy(queue).orderBy("ts", "event_id")
+    x = events.select(F.col(queue).alias("queue"), "event_id", (F.row_number().over(by) - 1).cast("long").alias("n"), F.count("*").over(Window.partitionBy(queue)).alias("_all"))
+    return x.filter(F.col("n") >= F.col("_all") - size).select("queue", (F.col("n") % size).alias("slot"), "n", "event_id")
+
+
+def reset_stream(epochs: DataFrame, *args) -> DataFrame:
+    """run, epoch, reset of a stream of epochs (run, epoch, progress)."""
+    return epochs.groupBy("run").transformWithStateInPandas(Resets(*args), "run long, epoch long, reset boolean", "Update", "None")
+
+
+def progress_stream(epochs: DataFrame, *args, **kwargs) -> DataFrame:
+    """run, epoch, ema, weight of a stream of epochs (run, epoch, progress, digit8_rate)."""
+    return epochs.groupBy("run").transformWithStateInPandas(Progress(*args, **kwargs), "run long, epoch long, ema double, weight double", "Update", "None")
+
+
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Processes all that is there into an in-memory table and returns it."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
