@@ -89,11 +89,16 @@ _RELATIONS = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{t}', " + (f"'{x}'" if x else "NULL") + ")" for r, t, x in _RELATIONS) + ") t(relation, source_type, target_type)")
+@query(
+    "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}', '{t}', " + (f"'{x}'" if x else "NULL") + ")" for i, (r, t, x) in enumerate(_RELATIONS)) + ") t(i, relation, source_type, target_type))\n"
+    f"SELECT relation, source_type, target_type, count(*) AS n FROM events JOIN r ON r.i = user_id % {len(_RELATIONS)} GROUP BY 1, 2, 3"
+)
 def relation_resolution(s, d):
-    rows = s.createDataFrame([r[:2] for r in _RELATIONS], "relation string, source_type string")
+    """Events as uses of relations, each user with one of them; the use of every relation and where it leads."""
+    used = F.get(F.array(*(F.struct(F.lit(r).alias("relation"), F.lit(t).alias("source_type")) for r, t, _ in _RELATIONS)), (F.col("user_id") % len(_RELATIONS)).cast("int"))
+    rows = s.read.parquet(f"{d}/events.parquet").select(used.alias("u")).select("u.*")
     types = F.array(*(F.lit(f"{t}_nodes") for t in ("paper", "author", "venue", "Disease", "genes")))
-    return rows.withColumn("target_type", resolve_relation(F.col("relation"), F.col("source_type"), types))
+    return rows.groupBy("relation", "source_type").agg(F.count("*").alias("n")).withColumn("target_type", resolve_relation(F.col("relation"), F.col("source_type"), types))
 
 
 @query("WITH " + NODES + " SELECT node_type, CAST(row_number() OVER (ORDER BY node_type) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT node_type FROM gn)")
@@ -197,11 +202,6 @@ def anchor_round_robin(s, d):
     return graph.round_robin_anchors(nodes(s, d), edges(s, d), 20)
 
 
-@query("SELECT * FROM (VALUES (4, 25, 0, 25), (4, 25, 1, 17), (4, 25, 2, 12), (4, 25, 3, 8), (2, 16, 0, 16), (2, 16, 1, 11)) t(layers, k_init, hop, fanout)")
-def hsgs_fanouts(s, d):
-    return s.createDataFrame([(n, k, i, f) for n, k in ((4, 25), (2, 16)) for i, f in enumerate(graph.fanouts(n, k, 0.7))], "layers int, k_init int, hop int, fanout int")
-
-
 @query(rec("SELECT node_idx, " + hash_sql("node_idx", 7) + " AS hash FROM gdeg WHERE total_deg > 0 ORDER BY hash, node_idx LIMIT 1000"))
 def reservoir_sources(s, d):
     return hopqa.sources(nodes(s, d), edges(s, d), 1000, 7)
@@ -354,6 +354,13 @@ def hop_records(s, d):
     return hopqa.records(nodes(s, d, True), e, undirected(e), 200, 4, 40, 13)
 
 
+@query(rec("SELECT qid, CAST(t.i AS INTEGER) AS layer, CAST(greatest(1, floor(25 * power(0.7::DOUBLE, t.i))) AS INTEGER) AS fanout FROM hx, range(0, 4) t(i) WHERE t.i < hop", *HQ))
+def hsgs_fanouts(s, d):
+    """The fan-out of every layer for each HopQA question, as many layers as it has hops."""
+    all_ = F.array(*(F.lit(n) for n in graph.fanouts(4, 25, 0.7)))
+    return hop_records(s, d).select("qid", F.posexplode(F.slice(all_, 1, F.col("hop"))).alias("layer", "fanout"))
+
+
 #: The full graph's edges with ids that no two share; a line's place is by all its columns.
 NUMBERED = (
     """ln AS (

@@ -78,10 +78,17 @@ def queue_latest(s, d):
     return _emb(s, d).groupBy((F.col("vec_id") % 128).alias("slot")).agg(F.max("vec_id").alias("vec_id"))
 
 
-@query("WITH " + _V + " SELECT vec_id, round(list_sum(list_transform(e, lambda x: 0.99::DOUBLE * x + 0.01::DOUBLE * (x * 2))), 6) AS updated_sum FROM v")
+@query(
+    "WITH " + _V + """
+SELECT k.vec_id, round(list_sum(list_transform(range(1, len(k.e) + 1), lambda i: 0.99::DOUBLE * k.e[i] + 0.01::DOUBLE * coalesce(q.e[i], k.e[i]))), 6) AS updated_sum
+FROM v k LEFT JOIN v q ON q.vec_id = k.vec_id + 1"""
+)
 def momentum_update(s, d):
-    x = F.transform("embedding", lambda x: 0.99 * x.cast("double") + 0.01 * (x.cast("double") * 2))
-    return _emb(s, d).select("vec_id", F.round(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 6).alias("updated_sum"))
+    """Key parameters drawn to the query's of the same name: here a vector to the one of the next id; one without stays."""
+    v = _emb(s, d).select("vec_id", F.col("embedding").cast("array<double>").alias("k"))
+    q = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("k").alias("q"))
+    x = v.join(q, "vec_id", "left").select("vec_id", F.zip_with("k", F.coalesce("q", "k"), lambda a, b: 0.99 * a + 0.01 * b).alias("x"))
+    return x.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("updated_sum"))
 
 
 @query("SELECT user_id, round(sum(value), 6) AS score_sum, count(*) AS n, round(avg(value), 6) AS mean_score, round(avg(value) * (1 - exp(-count(*) / 8.0::DOUBLE)), 6) AS adjusted FROM events GROUP BY user_id")
@@ -181,34 +188,56 @@ def entropy_gate(s, d):
     return m.select("dst", F.round(F.abs(e), 6).alias("entropy"), F.round(1 / (1 + F.exp(-(2.0 * e - 0.5))), 6).alias("gate"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i / 4.0::DOUBLE < 2 THEN 8e-6::DOUBLE * (i / 4.0::DOUBLE) / 2 ELSE 5e-6::DOUBLE + 3e-6::DOUBLE * 0.5 * (1 + cos(pi() * (i / 4.0::DOUBLE - 2) / 10)) END * 1e6, 6) AS lr_micro FROM range(0, 49) t(i)")
+@query(
+    """
+SELECT event_id AS step, round(CASE WHEN p < 2 THEN 8e-6::DOUBLE * p / 2 ELSE 5e-6::DOUBLE + 3e-6::DOUBLE * 0.5 * (1 + cos(pi() * (p - 2) / 10)) END * 1e6, 6) AS lr_micro
+FROM (SELECT event_id, event_id * 12.0::DOUBLE / (SELECT count(*) FROM events) AS p FROM events)"""
+)
 def lr_schedule(s, d):
-    return s.range(0, 49).select(F.col("id").alias("step"), F.round(control.learning_rate(F.col("id") / 4.0, 8e-6, 2, 12) * 1e6, 6).alias("lr_micro"))
+    """The events as the steps of twelve epochs."""
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id")
+    n = e.count()
+    return e.select(F.col("event_id").alias("step"), F.round(control.learning_rate(F.col("event_id") * 12.0 / n, 8e-6, 2, 12) * 1e6, 6).alias("lr_micro"))
 
 
-@query("SELECT i AS step, least(4, 103 - i // 4 * 4) AS size, i = i // 4 * 4 + least(4, 103 - i // 4 * 4) - 1 AS boundary FROM range(0, 103) t(i)")
+@query(
+    """
+SELECT event_id AS step, CAST(least(7, n - event_id // 7 * 7) AS BIGINT) AS size, event_id = event_id // 7 * 7 + least(7, n - event_id // 7 * 7) - 1 AS boundary
+FROM events, (SELECT count(*) AS n FROM events)"""
+)
 def accum_windows(s, d):
-    size, end = control.accumulation_window(F.col("id"), 103, 4)
-    return s.range(0, 103).select(F.col("id").alias("step"), size.alias("size"), end.alias("boundary"))
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id")
+    size, end = control.accumulation_window(F.col("event_id"), e.count(), 7)
+    return e.select(F.col("event_id").alias("step"), size.cast("long").alias("size"), end.alias("boundary"))
 
 
-@query("SELECT i AS step, i // 2 AS optimizer_step, i // 2 < 10 AS projector_frozen, i // 8 < 3 AS distance_frozen FROM range(0, 64) t(i)")
+@query("SELECT event_id AS step, event_id // 2 AS optimizer_step, event_id // 2 < 10 AS projector_frozen, event_id // 8 < 3 AS distance_frozen FROM events")
 def freeze_schedule(s, d):
-    step = F.floor(F.col("id") / 2)
-    return s.range(0, 64).select(F.col("id").alias("step"), step.alias("optimizer_step"), (step < 10).alias("projector_frozen"), (F.floor(F.col("id") / 8) < 3).alias("distance_frozen"))
+    i = F.col("event_id")
+    step = F.floor(i / 2)
+    return s.read.parquet(f"{d}/events.parquet").select(i.alias("step"), step.alias("optimizer_step"), (step < 10).alias("projector_frozen"), (F.floor(i / 8) < 3).alias("distance_frozen"))
 
 
-@query("SELECT i AS step, round(i / 10.0::DOUBLE + 0.25::DOUBLE * (i % 3) + CASE WHEN i % 2 = 0 THEN 0.1::DOUBLE * i ELSE 0 END, 6) AS loss FROM range(0, 50) t(i)")
+@query(
+    """
+SELECT event_id AS step, round(value + 0.25::DOUBLE * (user_id % 3) + 0.1::DOUBLE * CASE WHEN event_type = 'purchase' THEN value ELSE 0 END, 6) AS loss,
+       round(sum(value + 0.25::DOUBLE * (user_id % 3) + 0.1::DOUBLE * CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) OVER (PARTITION BY event_id // 8), 4) AS accumulated
+FROM events"""
+)
 def total_loss(s, d):
-    i = F.col("id")
-    nce = F.when(i % 2 == 0, i.cast("double"))
-    return s.range(0, 50).select(i.alias("step"), F.round(i / 10.0 + 0.25 * (i % 3) + 0.1 * F.coalesce(nce, F.lit(0.0)), 6).alias("loss"))
+    """An event's value as its loss, the user as its alignment part, a contrastive part for purchases only; and the loss
+    of each window of eight steps."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    nce = F.when(F.col("event_type") == "purchase", F.col("value"))
+    e = e.select(F.col("event_id").alias("step"), (F.col("value") + 0.25 * (F.col("user_id") % 3) + 0.1 * F.coalesce(nce, F.lit(0.0))).alias("l"))
+    window = Window.partitionBy(F.floor(F.col("step") / 8))
+    return e.select("step", F.round("l", 6).alias("loss"), F.round(F.sum("l").over(window), 4).alias("accumulated"))
 
 
-@query("SELECT i AS step, round(least(4.0::DOUBLE, greatest(0.25::DOUBLE, 0.25::DOUBLE / greatest(i / 40.0::DOUBLE, 1e-6::DOUBLE))), 6) AS scale FROM range(0, 40) t(i)")
+@query("SELECT event_id AS step, round(least(4.0::DOUBLE, greatest(0.25::DOUBLE, 0.25::DOUBLE / greatest(value / 200.0::DOUBLE, 1e-6::DOUBLE))), 6) AS scale FROM events")
 def align_lr_scale(s, d):
-    lam = F.greatest(F.col("id") / 40.0, F.lit(1e-6))
-    return s.range(0, 40).select(F.col("id").alias("step"), F.round(F.least(F.lit(4.0), F.greatest(F.lit(0.25), 0.25 / lam)), 6).alias("scale"))
+    lam = F.greatest(F.col("value") / 200.0, F.lit(1e-6))
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("step"), F.round(F.least(F.lit(4.0), F.greatest(F.lit(0.25), 0.25 / lam)), 6).alias("scale"))
 
 
 #: Days of the event table read as epochs.
@@ -308,10 +337,11 @@ def momentum_reset(s, d):
     return control.momentum_resets(_hat(_epochs(s, d)).select("epoch", "progress"), 0.55, 0.02, 0.01, 3)
 
 
-@query("SELECT * FROM (VALUES (3300::BIGINT, 800::BIGINT)) t(total, trainable)")
+@query("SELECT CAST(sum(len(embedding)) AS BIGINT) AS total, CAST(sum(CASE WHEN label < 3 THEN len(embedding) ELSE 0 END) AS BIGINT) AS trainable FROM embeddings")
 def trainable_counts(s, d):
-    p = s.createDataFrame([("graph_encoder.w", 500, True), ("projector.w", 300, True), ("llm.w", 2500, False)], "name string, n long, trainable boolean")
-    return p.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("trainable"), F.col("n"))).alias("trainable"))
+    """The embeddings as parameters, those of three labels as the trainable ones."""
+    p = _emb(s, d).select(F.size("embedding").cast("long").alias("n"), (F.col("label") < 3).alias("trainable"))
+    return p.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("trainable"), F.col("n")).otherwise(0)).alias("trainable"))
 
 
 @query("SELECT event_id AS id, CAST(event_id % 7 AS INTEGER) AS n_desc, 1 AS graph_pos, 1 + 32 AS text_start, 1 + 32 + least(event_id % 7, 5) + event_id % 13 AS label_start FROM events")

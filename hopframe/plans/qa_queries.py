@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from hopframe.functions import text as T
 from hopframe.functions.hashing import h
 from hopframe.operators import evaluate, splits
-from hopframe.plans.graph_queries import hash_sql
+from hopframe.plans.graph_queries import HQ, hash_sql, hop_records, rec
+from hopframe.sources.testgraph import edges, undirected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,10 +90,21 @@ def metric_task(s, d):
     return predictions(s, d).select("id", T.metric_task(F.col("question"), F.col("label"), T.task_family(F.col("question"))).alias("task"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{T.OUTPUT_MODES.get(f, 'plain_text')}', '" + T.PROMPTS["path_witness" if f == "path_witness" else T.OUTPUT_MODES.get(f, "plain_text")].replace("'", "''") + "')" for f in ("hop", "counting", "topic", "path_witness", "author_lookup", "venue_lookup", "collab_rank", "citation_rank", "graph_lookup", "other")) + ") t(family, output_mode, prompt)")
+_FAMILY_NAMES = ("hop", "counting", "topic", "path_witness", "author_lookup", "venue_lookup", "collab_rank", "citation_rank", "graph_lookup", "other")
+
+
+@query(
+    "WITH f AS (SELECT * FROM (VALUES "
+    + ", ".join(
+        f"({i}, '{f}', '{T.OUTPUT_MODES.get(f, 'plain_text')}', '" + T.PROMPTS["path_witness" if f == "path_witness" else T.OUTPUT_MODES.get(f, "plain_text")].replace("'", "''") + "')" for i, f in enumerate(_FAMILY_NAMES)
+    )
+    + f") t(i, family, output_mode, prompt)) SELECT item_id, family, output_mode, prompt || chr(10) || text AS prompt FROM benchmark JOIN f ON f.i = item_id % {len(_FAMILY_NAMES)}"
+)
 def prompt_protocol_lookup(s, d):
-    f = s.createDataFrame([(x,) for x in ("hop", "counting", "topic", "path_witness", "author_lookup", "venue_lookup", "collab_rank", "citation_rank", "graph_lookup", "other")], "family string")
-    return f.select("family", T.output_mode(F.col("family")).alias("output_mode"), T.prompt(F.col("family")).alias("prompt"))
+    """Every benchmark text under the prompt of a family of questions, the families in turn."""
+    family = F.get(F.array(*map(F.lit, _FAMILY_NAMES)), (F.col("item_id") % len(_FAMILY_NAMES)).cast("int"))
+    x = s.read.parquet(f"{d}/benchmark.parquet").select("item_id", family.alias("family"), "text")
+    return x.select("item_id", "family", T.output_mode(F.col("family")).alias("output_mode"), F.concat(T.prompt(F.col("family")), F.lit("\n"), "text").alias("prompt"))
 
 
 #: Predictions that tell strict from lenient parsing, by id; the rest are as they are.
@@ -214,10 +226,17 @@ def sample_assembly(s, d):
     return p.select("id", F.concat_ws("\n\n", "question", T.prompt(T.task_family(F.col("question")))).alias("text"), "label", F.array_join("gt_path", ",").alias("path"))
 
 
-@query("SELECT * FROM (VALUES ('a, b,,c ', 'a|b|c', 'Yes', true), ('', '', '0', false), ('x', 'x', 'maybe', NULL)) t(raw, items, flag, parsed)")
+@query(
+    """
+SELECT p_partkey, p_name || '|' || p_brand || '|' || p_type AS items,
+       CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS parsed
+FROM part"""
+)
 def config_parsing(s, d):
-    x = s.createDataFrame([("a, b,,c ", "Yes"), ("", "0"), ("x", "maybe")], "raw string, flag string")
-    return x.select("raw", F.array_join(T.csv_list(F.col("raw")), "|").alias("items"), "flag", T.parse_bool(F.col("flag")).alias("parsed"))
+    """The texts of parts as lists and flags of a configuration."""
+    raw = F.concat(F.lit(" "), "p_name", F.lit(", ,"), "p_brand", F.lit(" ,, "), "p_type", F.lit(","))
+    flag = F.get(F.array(*map(F.lit, ("Yes", " 0", "ON ", "maybe"))), (F.col("p_size") % 4).cast("int"))
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(T.csv_list(raw), "|").alias("items"), T.parse_bool(flag).alias("parsed"))
 
 
 _TURNS = "t AS (SELECT u.conv_id, u.turn, u.text AS label, a.text AS pred FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
@@ -234,9 +253,10 @@ def f1_sql(p: str, q: str) -> str:
     return f"CASE WHEN len({p}) > 0 AND len({q}) > 0 AND {common} > 0 THEN 2 * ({common} / len({p})::DOUBLE) * ({common} / len({q})::DOUBLE) / ({common} / len({p})::DOUBLE + {common} / len({q})::DOUBLE) ELSE 0 END"
 
 
-@query(PR + ", k AS (SELECT id, " + tokens_sql("answer") + " AS a, " + tokens_sql("label") + " AS b FROM g) SELECT id, round(" + f1_sql("a", "b") + ", 6) AS f1 FROM k")
+@query("WITH " + _TURNS + ", k AS (SELECT conv_id, turn, " + tokens_sql("pred") + " AS a, " + tokens_sql("label") + " AS b FROM t) SELECT conv_id, turn, round(" + f1_sql("a", "b") + ", 6) AS f1 FROM k")
 def token_f1(s, d):
-    return predictions(s, d).select("id", F.round(T.token_f1(T.parsed_answer(F.col("pred")), F.col("label")), 6).alias("f1"))
+    """Every assistant's turn against the user's turn before it."""
+    return _turns(s, d).select("conv_id", "turn", F.round(T.token_f1(F.col("pred"), F.col("label")), 6).alias("f1"))
 
 
 #: Scored rows: em, f1 and the extra measures of each task.
@@ -285,14 +305,26 @@ def hopwise_accuracy(s, d):
     return predictions(s, d).select("id", T.hopwise_accuracy(T.parsed_path(F.col("pred")), F.col("gt_path")).alias("hopwise"))
 
 
-@query(PR + "SELECT id, (CASE WHEN id % 4 < 3 THEN 0 ELSE 1 END + CASE WHEN id % 4 < 2 THEN 0 ELSE 1 END) / 2.0::DOUBLE AS rate FROM g WHERE path IS NOT NULL")
 def hallucination_rate(s, d):
-    steps = predictions(s, d).select("id", T.parsed_path(F.col("pred")).alias("p")).filter("p IS NOT NULL")
-    steps = steps.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.get("p", i - 1).alias("src"), F.get("p", i).alias("dst")))).alias("x")).select("id", "x.*")
-    known = s.createDataFrame([("s", "n0"), ("s", "n1"), ("s", "n2"), ("n0", "t"), ("n1", "t")], "src string, dst string").withColumn("hit", F.lit(1))
-    ids = s.createDataFrame([("s",), ("n0",), ("n1",), ("n2",), ("t",)], "dst string").withColumn("node", F.lit(1))
-    x = steps.join(known, ["src", "dst"], "left").join(ids, "dst", "left")  # either table is small here; Spark picks the join
-    return x.groupBy("id").agg(F.avg(F.when(F.col("hit").isNull() | F.col("node").isNull(), 1.0).otherwise(0.0)).alias("rate"))
+    """HopQA paths as answers, every third with a jump from its end back to its start: the share of steps that are no
+    edge of the graph in either direction."""
+    p = hop_records(s, d).select("qid", F.when(F.col("qid") % 3 == 0, F.concat("path", F.array("src"))).otherwise(F.col("path")).alias("p"))
+    steps = p.select("qid", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.get("p", i - 1).alias("u"), F.get("p", i).alias("v")))).alias("x")).select("qid", "x.*")
+    known = undirected(edges(s, d, True)).distinct().withColumn("hit", F.lit(1))
+    x = steps.join(known, ["u", "v"], "left")
+    return x.groupBy("qid").agg(F.avg(F.when(F.col("hit").isNull(), 1.0).otherwise(0.0)).alias("rate"))
+
+
+QUERIES["hallucination_rate"] = hallucination_rate
+ORACLES["hallucination_rate"] = rec(
+    """
+SELECT qid, avg(CASE WHEN e.u IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate
+FROM (SELECT qid, p[i] AS u, p[i + 1] AS v FROM (
+        SELECT qid, unnest(range(1, len(p))) AS i, p FROM (
+          SELECT qid, list_transform(string_split(path, ','), lambda x: CAST(x AS BIGINT)) || CASE WHEN qid % 3 = 0 THEN [src] ELSE [] END AS p FROM hx))) t
+LEFT JOIN (SELECT DISTINCT u, v FROM su) e ON e.u = t.u AND e.v = t.v GROUP BY qid""",
+    *HQ,
+)
 
 
 def _reported(s, d):
