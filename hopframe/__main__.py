@@ -1,4 +1,4 @@
-"""python -m hopframe preprocess | validate | split | evaluate: the command line."""
+"""python -m hopframe preprocess | validate | split | evaluate | hopqa: the command line."""
 
 from __future__ import annotations
 
@@ -28,6 +28,14 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--seed", type=int, default=0)
     c = sub.add_parser("evaluate", help="scores of a prediction file, overall and by task")
     c.add_argument("--predictions", required=True)
+    c.add_argument("--report", help="where the report is also written, as .json and .txt")
+    c = sub.add_parser("hopqa", help="balanced hop-count pairs of a folder of tables, with their account")
+    c.add_argument("--out", required=True)
+    c.add_argument("--samples", type=int, required=True)
+    c.add_argument("--hops", type=int, nargs=2, default=(1, 4), metavar=("MIN", "MAX"))
+    c.add_argument("--max-attempts", type=int, default=20_000)
+    c.add_argument("--max-visited", type=int, default=200_000)
+    c.add_argument("--seed", type=int, default=0)
     return p
 
 
@@ -45,10 +53,20 @@ def main(argv: list[str] | None = None) -> None:
         got = stratified_split(spark.read.parquet(f"{a.out}/samples"), "raw_index", "answer", tuple(a.counts), a.seed)
         write_splits(got.withColumnRenamed("raw_index", "idx"), f"{a.out}/split")
         out = dict(zip(("train", "val", "test"), a.counts, strict=True)) | {"seed": a.seed, "stratify_by": "answer"}
+    elif a.command == "hopqa":
+        from hopframe.operators.hopqa import balanced
+        from hopframe.sources.checkpoint import save
+        from hopframe.sources.testgraph import undirected
+
+        nodes, edges = (spark.read.parquet(f"{a.out}/{t}") for t in ("nodes", "edges"))
+        pairs, account = balanced(nodes, edges, undirected(edges), a.samples, *a.hops, a.seed, max_attempts=a.max_attempts, max_visited=a.max_visited)
+        out = account | {"samples": a.samples, "folder": save(spark, f"{a.out}/hopqa", "pairs", {"pairs": pairs}, account)["folder"]}
     else:
-        from hopframe.operators.evaluate import read_predictions, report
+        from hopframe.operators.evaluate import dump, read_predictions, report
 
         out = report(read_predictions(spark, a.predictions))
+        if a.report:
+            dump(spark, out, a.report)
     print(json.dumps(out))
 
 

@@ -299,6 +299,3 @@ def csv_list(text: Column) -> Column:
 def parse_bool(text: Column) -> Column:
     x = F.lower(F.trim(text))
     return F.when(x.isin("1", "true", "yes", "y", "on"), True).when(x.isin("0", "false", "no", "n", "off"), False)
-
-
-REGISTERED: dict[str, Callable[..., Column]] = {"hf_normalize": normalize, "hf_task_family": task_family, "hf_first_integer": first_integer}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopframe.functions import text as T
+from hopframe.sources.checkpoint import replace_text
 
 PREDICTIONS = "id string, pred string, label string, question string, task_type string, gt_path array<string>, domain string, meta struct<witness:string>"
 
@@ -56,3 +59,15 @@ def formatted(result: dict) -> str:
     for name, r in [("all", result["overall"]), *result["tasks"].items()]:
         lines.append(f"{name:<16}{r['n']:>8}{r.get('em', 0.0):>10.4f}{r.get('f1', 0.0):>10.4f}")
     return "\n".join(lines)
+
+
+def corpus_means(rows: DataFrame, scores: list[str], by: str | None = None) -> DataFrame:
+    """n and the mean of each score over all rows, or by a column (such as the hop) with a row for all (null)."""
+    means = [F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in scores)]
+    return rows.agg(*means) if by is None else rows.rollup(by).agg(*means)
+
+
+def dump(spark: SparkSession, result: dict, path: str) -> None:
+    """A report as path.json and path.txt, each replaced at once."""
+    replace_text(spark, f"{path}.json", json.dumps(result, indent=2, ensure_ascii=False))
+    replace_text(spark, f"{path}.txt", formatted(result) + "\n")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from hopframe.session import file_system
 from hopframe.sources.ranges import read_ranges
 
 def read_table(spark: SparkSession, path: str, schema: str, required: list[str], optional: list[str] = [], sep: str = ",") -> DataFrame:  # noqa: B006
@@ -90,9 +90,25 @@ def strict_config(defaults: dict, given: dict) -> dict:
     return defaults | given
 
 
-def find_metadata(root: str) -> str | None:
+#: The names under which a dataset folder's metadata is looked for, in order.
+METADATA = ("samples.jsonl", "dataset.jsonl", "questions.jsonl", "questions.csv", "samples.csv")
+
+
+def find_metadata(spark: SparkSession, root: str) -> str | None:
     """The first metadata file a dataset folder has."""
-    return next((p for n in ("samples.jsonl", "dataset.jsonl", "questions.jsonl", "questions.csv", "samples.csv") if os.path.exists(p := os.path.join(root, n))), None)
+    for name in METADATA:
+        fs, at = file_system(spark, f"{root}/{name}")
+        if fs.exists(at):
+            return f"{root}/{name}"
+    return None
+
+
+def load_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """The records of a dataset folder's metadata: of JSON lines with their types, of CSV as texts."""
+    path = find_metadata(spark, root)
+    if path is None:
+        raise FileNotFoundError(f"no metadata file under {root}; looked for {', '.join(METADATA)}")
+    return spark.read.json(path) if path.endswith(".jsonl") else spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
 def read_sidecar(path: str) -> dict:
