@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from hopframe.functions import vectors as V
 from hopframe.operators import control, graph, retrieval
-from hopframe.plans.graph_queries import _SAMPLE, _sampled, rec
+from hopframe.plans.graph_queries import _SAMPLE, _sampled, hop_records, rec
+from hopframe.session import checkpointed
 from hopframe.sources.testgraph import edges, nodes, undirected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,9 +158,30 @@ def pcst_solve(s, d):
     return retrieval.retrieve(retrieval.ranked_edge_prizes(e, "qid", "sim", 3), 0.5)
 
 
-@query(rec("SELECT h.qid, count(*) AS n_nodes, sum(CAST(h.hop = 0 AS BIGINT)) AS n_seeds FROM (SELECT qid, node_idx, 0 AS hop FROM qs UNION ALL SELECT qid, node_idx, 1 FROM f1 UNION ALL SELECT qid, node_idx, 2 FROM f2) h GROUP BY 1", *_SAMPLE))
+@query(
+    rec(
+        """
+SELECT h.qid, count(*) AS n_nodes, sum(CAST(h.hop = 0 AS BIGINT)) AS n_seeds, any_value(c.coverage) AS coverage, any_value(c.recall) AS path_recall
+FROM nh h JOIN (
+  SELECT qid, round(avg(CASE WHEN e THEN hit END), 6) AS coverage, round(avg(CASE WHEN NOT e THEN hit END), 6) AS recall FROM (
+    SELECT p.qid, e, CASE WHEN n.node_idx IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS hit FROM (
+      SELECT qid, false AS e, CAST(unnest(string_split(path, ',')) AS BIGINT) AS node_idx FROM hx UNION ALL SELECT qid, true, unnest([src, dst]) FROM hx) p
+    LEFT JOIN nh n ON n.qid = p.qid AND n.node_idx = p.node_idx) GROUP BY qid) c ON c.qid = h.qid
+GROUP BY h.qid""",
+        *_SAMPLE,
+        "nh AS (SELECT qid, node_idx, 0 AS hop FROM qs UNION ALL SELECT qid, node_idx, 1 FROM f1 UNION ALL SELECT qid, node_idx, 2 FROM f2)",
+    )
+)
 def sampling_audit(s, d):
-    return _sampled(s, d)[0].groupBy("qid").agg(F.count("*").alias("n_nodes"), F.sum((F.col("hop") == 0).cast("long")).alias("n_seeds"))
+    """Of each question's sample: nodes, seeds, the share of its ends and of its path that the sample holds."""
+    found = checkpointed(_sampled(s, d)[0])
+    n = found.groupBy("qid").agg(F.count("*").alias("n_nodes"), F.sum((F.col("hop") == 0).cast("long")).alias("n_seeds"))
+    q = hop_records(s, d)
+    parts = lambda c, e: q.select("qid", F.explode(c).alias("node_idx")).withColumn("end", F.lit(e))
+    asked = parts(F.col("path"), False).unionByName(parts(F.array("src", "dst"), True))
+    hit = asked.join(found.select("qid", "node_idx").withColumn("_h", F.lit(1.0)), ["qid", "node_idx"], "left").fillna({"_h": 0.0})
+    share = lambda e, name: F.round(F.avg(F.when(F.col("end") == e, F.col("_h"))), 6).alias(name)
+    return n.join(hit.groupBy("qid").agg(share(True, "coverage"), share(False, "path_recall")), "qid")
 
 
 @query(rec("SELECT su.u AS node_idx, round(sum(x.total_deg / (sqrt(p.total_deg + 1) * sqrt(x.total_deg + 1))), 6) AS message FROM su JOIN sdeg x ON x.node_idx = su.v JOIN sdeg p ON p.node_idx = su.u GROUP BY 1"))

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopframe.functions import vectors as V
-from hopframe.operators import graph, layers, propagate, tokens
-from hopframe.plans.graph_queries import _ROLES, _labelled, rec
+from hopframe.operators import graph, layers, propagate, seeds, tokens, views
+from hopframe.plans.graph_queries import _ROLES, HQ, _labelled, hash2_sql, hop_records, rec
 from hopframe.sources.testgraph import edges, nodes, undirected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,3 +268,38 @@ def graph_tokens(s, d):
 def graph_token_single(s, d):
     """One pooled and projected token a question."""
     return tokens.assembled(question_tokens(s, d), signal(s, d), TOKENS, "single", DIM).select("qid", *summary(F.col("x")))
+
+
+# ---- views and seeds
+
+
+@query(
+    rec(
+        "SELECT node_idx, round(list_sum(y), 6) AS total, round(sqrt(list_dot_product(y, y)), 6) AS norm, CAST(len(list_filter(y, lambda v: v = 0)) AS INTEGER) AS n_zero FROM ("
+        "SELECT node_idx, list_transform(range(0, len(x)), lambda i: CASE WHEN " + hash2_sql("node_idx", "i", 33) + " >= 0.3::DOUBLE * 2147483647 THEN x[i + 1] ELSE 0.0::DOUBLE END) AS y FROM xv)",
+        X0,
+    )
+)
+def feature_mask_view(s, d):
+    """The key view of a contrastive pair: three tenths of the feature entries set to zero."""
+    (_, _), (x, _) = views.build_views(signal(s, d), edges(s, d, True, numbered=True), True, 0.2, "featuremask", 0.0, 0.3, 31)
+    return x.select("node_idx", *summary(F.col("x")), F.size(F.filter("x", lambda v: v == 0)).alias("n_zero"))
+
+
+@query(
+    rec(
+        "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY t, o, node_idx) - 1 AS ord, node_idx FROM (SELECT qid, node_idx, min(t) AS t, min_by(o, t * 1000000 + o) AS o FROM k GROUP BY 1, 2) QUALIFY ord < 12",
+        *HQ,
+        """k AS (
+          SELECT qid, dst AS node_idx, 0 AS t, 0 AS o FROM hx
+          UNION ALL SELECT qid, CAST(p AS BIGINT), 1, i FROM (SELECT qid, unnest(string_split(path, ',')) AS p, unnest(range(0, len(string_split(path, ',')))) AS i FROM hx)
+          UNION ALL SELECT qid, node_idx, 2, node_idx FROM hx, sn WHERE node_type = 'region_nodes'
+          UNION ALL SELECT qid, node_idx, 3, r FROM hx, (SELECT node_idx, row_number() OVER (ORDER BY total_deg DESC, node_idx) AS r FROM sdeg QUALIFY r <= 12))""",
+    )
+)
+def seed_selection(s, d):
+    """Twelve seeds of every HopQA question: its end is forced, its path is asked for, regions are marked, the rest by
+    degree."""
+    q = hop_records(s, d).select("qid", F.array("dst").alias("end"), "path")
+    n = nodes(s, d, True).withColumn("region", F.col("node_type") == "region_nodes")
+    return seeds.select_seeds(q, n, edges(s, d, True), 12, seeds.listed(q, "end"), [seeds.listed(q, "path"), seeds.marked(q, n, "region")])
