@@ -96,6 +96,15 @@ def bfs_paths(sources: DataFrame, und: DataFrame, depth: int, max_visited: int |
     return seen
 
 
+def guarded_pairs(nodes: DataFrame, edges: DataFrame, limit: int, scope: str) -> DataFrame:
+    """One row: scope, n, disabled, edge_pairs; a graph of more than `limit` nodes is not counted any further."""
+    n = nodes.count()
+    given = [F.lit(scope).alias("scope"), F.lit(n).cast("long").alias("n"), F.lit(n > limit).alias("disabled")]
+    if n > limit:
+        return nodes.sparkSession.range(1).select(*given, F.lit(None).cast("long").alias("edge_pairs"))
+    return edges.agg(F.countDistinct("src_id", "dst_id").alias("edge_pairs")).select(*given, "edge_pairs")
+
+
 def links_within(sub: DataFrame, und: DataFrame) -> DataFrame:
     """qid, u, v: the links of each question's subgraph (qid, node_idx)."""
     ends = lambda c: sub.select("qid", F.col("node_idx").alias(c))

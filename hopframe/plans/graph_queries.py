@@ -323,12 +323,18 @@ def degree_bias(s, d):
     return x.join(F.broadcast(top), how="cross").select("node_idx", F.round(F.col("out_deg") / F.col("m"), 6).alias("bias"))
 
 
-@query(rec("SELECT (SELECT count(*) FROM gn) AS n, (SELECT count(*) FROM gn) > 5000 AS disabled, CASE WHEN (SELECT count(*) FROM gn) > 5000 THEN NULL ELSE (SELECT count(*) FROM (SELECT DISTINCT src_id, dst_id FROM ge)) END AS edge_pairs"))
+@query(
+    rec(
+        """
+SELECT 'full' AS scope, (SELECT count(*) FROM gn) AS n, (SELECT count(*) FROM gn) > 5000 AS disabled,
+       CASE WHEN (SELECT count(*) FROM gn) <= 5000 THEN (SELECT count(*) FROM (SELECT DISTINCT src_id, dst_id FROM ge)) END AS edge_pairs
+UNION ALL SELECT 'small', (SELECT count(*) FROM sn), (SELECT count(*) FROM sn) > 5000,
+       CASE WHEN (SELECT count(*) FROM sn) <= 5000 THEN (SELECT count(*) FROM (SELECT DISTINCT src_id, dst_id FROM se)) END"""
+    )
+)
 def graph_meta_guard(s, d):
-    n = nodes(s, d).count()
-    if n > 5000:
-        return s.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(True).alias("disabled"), F.lit(None).cast("long").alias("edge_pairs"))
-    return edges(s, d).agg(F.countDistinct("src_id", "dst_id").alias("edge_pairs")).select(F.lit(n).cast("long").alias("n"), F.lit(False).alias("disabled"), "edge_pairs")
+    """Pairs of linked nodes of the full and of the small graph, unless a graph has over 5,000 nodes."""
+    return graph.guarded_pairs(nodes(s, d), edges(s, d), 5000, "full").unionByName(graph.guarded_pairs(nodes(s, d, True), edges(s, d, True), 5000, "small"))
 
 
 @query("WITH " + NODES + " SELECT node_idx, CASE WHEN node_attr LIKE '%name: %' THEN split_part(node_attr, 'name: ', 2) || ' (' || replace(node_type, '_nodes', '') || ')' ELSE replace(node_type, '_nodes', '') || ':' || node_id END AS display FROM gn")

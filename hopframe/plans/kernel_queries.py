@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -374,9 +373,9 @@ def layout_offsets(s, d):
 
 @query("SELECT event_id AS id, event_type AS pred, CAST(user_id AS VARCHAR) AS label FROM events")
 def jsonl_roundtrip(s, d):
-    from hopframe.session import shared_folder
+    from hopframe.session import scratch
     from hopframe.sources.files import read_jsonl, write_jsonl
 
-    path = f"{shared_folder(s)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch(s, "jsonl")
     write_jsonl(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("pred"), F.col("user_id").cast("string").alias("label")), path)
     return read_jsonl(s, path, "id long, pred string, label string")

@@ -327,6 +327,24 @@ LEFT JOIN (SELECT DISTINCT u, v FROM su) e ON e.u = t.u AND e.v = t.v GROUP BY q
 )
 
 
+_HALLUCINATED = ORACLES["hallucination_rate"]
+
+
+def hallucination_by_hop(s, d):
+    """Means of the hallucination rate over all questions (hop null) and by hop."""
+    rows = hallucination_rate(s, d).join(hop_records(s, d).select("qid", "hop"), "qid")
+    return evaluate.corpus_means(rows, ["rate"], "hop")
+
+
+QUERIES["hallucination_by_hop"] = hallucination_by_hop
+ORACLES["hallucination_by_hop"] = (
+    _HALLUCINATED.rsplit("\nSELECT qid, avg", 1)[0]
+    + ",\nhr0 AS (SELECT qid, avg"
+    + _HALLUCINATED.rsplit("\nSELECT qid, avg", 1)[1]
+    + ")\nSELECT hx.hop, count(*) AS n, round(avg(rate), 6) AS rate FROM hr0 JOIN hx USING (qid) GROUP BY ROLLUP (hx.hop)"
+)
+
+
 def _reported(s, d):
     p = predictions(s, d).withColumn("parsed", F.trim(T.parsed_answer(F.col("pred")))).withColumn("extracted", T.first_integer(F.col("parsed")))
     n, lab = T.normalize, T.normalize(F.col("label"))

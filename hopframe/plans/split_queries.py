@@ -146,13 +146,12 @@ def edge_attr_gather(s, d):
 @query("SELECT event_id - 1 AS raw_index, event_id AS id FROM (SELECT row_number() OVER (ORDER BY event_id) AS event_id FROM events)")
 def jsonl_index(s, d):
     """Rows of a JSONL file with blank lines by their place among the others."""
-    import uuid
-
-    from hopframe.session import shared_folder
+    from hopframe.session import scratch
     from hopframe.sources.files import indexed_jsonl
 
-    path = f"{shared_folder(s)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch(s, "jsonl")
     e = splits.numbered(s.read.parquet(f"{d}/events.parquet"), "event_id", "k")
-    lines = e.orderBy("k").select(F.concat(F.lit('{"id": '), (F.col("k") + 1).cast("string"), F.lit("}\n ")).alias("value"))
-    lines.coalesce(1).write.text(path)
+    # a file a range of the order, so the files' names are in its order too
+    lines = e.repartitionByRange("k").sortWithinPartitions("k").select(F.concat(F.lit('{"id": '), (F.col("k") + 1).cast("string"), F.lit("}\n ")).alias("value"))
+    lines.write.text(path)
     return indexed_jsonl(s, path, "id long")
