@@ -299,3 +299,20 @@ def csv_list(text: Column) -> Column:
 def parse_bool(text: Column) -> Column:
     x = F.lower(F.trim(text))
     return F.when(x.isin("1", "true", "yes", "y", "on"), True).when(x.isin("0", "false", "no", "n", "off"), False)
+
+
+# The features that name a node, the first that has a text counts.
+DISPLAY_KEYS = ("name", "title", "label", "term", "display_name")
+
+
+def display_name(features: Column, node_type: Column, node_id: Column) -> Column:
+    """A node's name and type by its features (a JSON object), or its type and id where none of the texts names it."""
+    named = F.from_json(features, "map<string,variant>")
+
+    def text(key: str) -> Column:
+        v = F.try_element_at(named, F.lit(key))
+        x = F.when(F.schema_of_variant(v) == "STRING", stripped(F.try_variant_get(v, "$", "string")))
+        return F.when(x != "", x)
+
+    label = F.coalesce(*map(text, DISPLAY_KEYS), node_id)
+    return F.when(label == node_id, F.concat(node_type, F.lit(":"), node_id)).otherwise(F.concat(label, F.lit(" ("), node_type, F.lit(")")))

@@ -107,3 +107,25 @@ def jsonl_random_access(s, d):
     offsets = files.jsonl_offsets(s, path)
     wanted = offsets.select("raw_index").filter("raw_index % 7 = 3")
     return files.jsonl_records(wanted, offsets, "item_id long, text string").select("raw_index", "item_id", "text")
+
+
+@query(
+    """
+SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_name || ' (part_nodes)' WHEN 1 THEN p_brand || ' (part_nodes)' WHEN 2 THEN p_type || ' (part_nodes)' WHEN 3 THEN p_brand || ' (part_nodes)'
+       ELSE 'part_nodes:part:' || p_partkey END AS display
+FROM part"""
+)
+def display_names_by_key(s, d):
+    """Parts named by the first of five features that is a text and not blank."""
+    value = lambda x: F.regexp_extract(F.to_json(F.create_map(F.lit("v"), F.col(x))), r'^\{"v":(.*)\}$', 1)
+    docs = [
+        F.concat(F.lit('{"title": "other", "name": '), value("p_name"), F.lit("}")),
+        F.concat(F.lit('{"name": "  ", "title": '), value("p_brand"), F.lit("}")),
+        F.concat(F.lit('{"name": 7, "title": ["x"], "label": '), value("p_type"), F.lit("}")),
+        F.concat(F.lit('{"display_name": "other", "term": '), value("p_brand"), F.lit("}")),
+        F.concat(F.lit('{"name": "part:'), F.col("p_partkey").cast("string"), F.lit('", "display_name": "other"}')),
+        F.lit('{"size": 3}'),
+    ]
+    doc = F.get(F.array(*docs), (F.col("p_size") % 6).cast("int"))
+    name = T.display_name(doc, F.lit("part_nodes"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")))
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", name.alias("display"))
