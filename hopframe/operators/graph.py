@@ -111,15 +111,16 @@ def links_within(sub: DataFrame, und: DataFrame) -> DataFrame:
     return und.select("u", "v").distinct().join(ends("u"), "u").join(ends("v"), ["qid", "v"], "left_semi").select("qid", "u", "v")
 
 
-def levels_within(starts: DataFrame, links: DataFrame) -> DataFrame:
-    """qid, src, node, d: distances from each start (qid, src) within its question's links (qid, u, v), however far.
+def levels_within(starts: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
+    """qid, src, node, d: distances from each start (qid, src) within its question's links (qid, u, v), however far, or
+    up to depth.
 
     A question drops out when its frontier is empty, and the loop ends when all have. What was seen is written as one
     table every few rounds, so neither plans nor unions grow with the distance.
     """
     front = checkpointed(starts.select("qid", "src", F.col("src").alias("node"), F.lit(0).alias("d")).distinct())
     links, seen, d = checkpointed(links), front, 0
-    while True:
+    while depth is None or d < depth:
         d += 1
         near = front.join(links.withColumnRenamed("u", "node"), ["qid", "node"]).select("qid", "src", F.col("v").alias("node")).distinct()
         front = checkpointed(near.join(seen.select("qid", "src", "node"), ["qid", "src", "node"], "left_anti").withColumn("d", F.lit(d)))
@@ -128,6 +129,7 @@ def levels_within(starts: DataFrame, links: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
         if d % 8 == 0:
             seen = checkpointed(seen)
+    return seen
 
 
 def proximity(levels: DataFrame, nodes: DataFrame, anchors: DataFrame, clip: int) -> DataFrame:
@@ -165,13 +167,14 @@ def sample_neighbourhood(seeds: DataFrame, edges: DataFrame, fan: list[int], see
     return got, reduce(DataFrame.unionByName, taken)
 
 
-def roles(pairs: DataFrame, und: DataFrame, sub: DataFrame) -> DataFrame:
+def roles(pairs: DataFrame, und: DataFrame, sub: DataFrame, depth: int | None = None) -> DataFrame:
     """qid, node_idx, d_src, d_dst, d_sd, delta, role of the nodes of each question's subgraph.
 
-    pairs: qid, src, dst. sub: qid, node_idx. Distances are those within the subgraph; unreached ones its size plus one.
+    pairs: qid, src, dst. sub: qid, node_idx. Distances are those within the subgraph, up to depth if one is given;
+    unreached ones are its size plus one.
     """
     starts = pairs.select("qid", F.explode(F.array("src", "dst")).alias("src")).join(sub.select("qid", F.col("node_idx").alias("src")), ["qid", "src"], "left_semi")
-    d = levels_within(starts, links_within(sub, und))
+    d = levels_within(starts, links_within(sub, und), depth)
     n = sub.groupBy("qid").agg(F.count("*").alias("n"))
     x = sub.join(pairs, "qid").join(n, "qid")
     ds, dd, dsd = (d.select("qid", F.col("src").alias(a), F.col("node").alias(b), F.col("d").alias(c)) for a, b, c in (("src", "node_idx", "_ds"), ("dst", "node_idx", "_dd"), ("src", "dst", "_sd")))
