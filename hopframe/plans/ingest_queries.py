@@ -11,8 +11,11 @@ from hopframe import preprocess
 from hopframe.functions import text as T
 from hopframe.functions import vectors as V
 from hopframe.session import scratch
+from hopframe.operators.layout import IGNORED, text_layout
 from hopframe.sources import files, vectors
 
+#: The tokenizer of decoder layouts.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -129,3 +132,16 @@ def display_names_by_key(s, d):
     doc = F.get(F.array(*docs), (F.col("p_size") % 6).cast("int"))
     name = T.display_name(doc, F.lit("part_nodes"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")))
     return s.read.parquet(f"{d}/part.parquet").select("p_partkey", name.alias("display"))
+
+
+@query()
+def conversation_layout(s, d):
+    """Every user's turn and the answer to it as a decoder input, a conversation a batch: its length, padding, where the
+    graph's span begins, and how many ids are answered for."""
+    c = s.read.parquet(f"{d}/conversations.parquet")
+    u = c.filter("role = 'user'").select(F.col("conv_id").alias("batch"), F.col("turn").alias("id"), F.col("text").alias("question"))
+    a = c.filter("role = 'assistant'").select(F.col("conv_id").alias("batch"), (F.col("turn") - 1).alias("id"), F.col("text").alias("label"))
+    x = u.join(a, ["batch", "id"]).withColumns({"desc": F.lit(""), "graph_tokens": (F.col("id") % 5).cast("int")})
+    y = text_layout(x, VOCABULARY, 0, 64, 32)
+    pad, answered = F.size(F.filter("attention", lambda v: v == 0)), F.size(F.filter("labels", lambda v: v != IGNORED))
+    return y.select(F.col("batch").alias("conv_id"), F.col("id").alias("turn"), F.size("token_ids").alias("length"), pad.alias("padding"), "graph_start", answered.alias("answered"))
