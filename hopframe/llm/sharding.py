@@ -98,9 +98,20 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Whole documents (unique ids) under path/shard=k, each shard in curve order, for pruning by column statistics."""
-    plan = shard_plan(docs, shards).select("doc_id", "shard", "slot")
-    docs.drop("shard", "slot").join(plan, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Whole documents under path/shard=k, each shard in curve order, for pruning by column statistics.
+
+    Rows meet their places by id, size and checksum of the text, and rows alike in these by turns, so null and repeated
+    ids and repeated rows keep a row each. Columns named shard or slot give way to the plan's.
+    """
+    raw, key = F.coalesce(F.col("text"), F.lit("")), ["_id", "_size", "_crc", "_turn"]
+    turn = lambda *order: F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy(*order))
+    ident = F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("n"))
+    plan = shard_plan(docs, shards).select(ident.alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    plan = plan.withColumn("_turn", turn("shard", "slot"))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*kept).alias("_doc"), ident.alias("_id"), (F.octet_length(raw) + 1).cast("long").alias("_size"), F.crc32(raw.cast("binary")).alias("_crc"))
+    rows = rows.withColumn("_turn", turn(F.xxhash64("_doc"))).join(plan, key).select(*(F.col("_doc")[c].alias(c) for c in kept), "shard", "slot")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
