@@ -58,7 +58,8 @@ def main(argv: list[str] | None = None) -> None:
         from hopframe.sources.checkpoint import save
         from hopframe.sources.testgraph import undirected
 
-        nodes, edges = (spark.read.parquet(f"{a.out}/{t}") for t in ("nodes", "edges"))
+        tables, _ = preprocess.load(spark, a.out)
+        nodes, edges = tables["nodes"], tables["edges"]
         pairs, account = balanced(nodes, edges, undirected(edges), a.samples, *a.hops, a.seed, max_attempts=a.max_attempts, max_visited=a.max_visited)
         out = account | {"samples": a.samples, "folder": save(spark, f"{a.out}/hopqa", "pairs", {"pairs": pairs}, account)["folder"]}
     else:

@@ -142,6 +142,16 @@ def build(spark: SparkSession, graph_path: str, data_path: str | None, out: str,
     return read_meta(spark, out)
 
 
+def load(spark: SparkSession, out: str, **wanted) -> tuple[dict[str, DataFrame], dict]:
+    """The tables of a folder, with the samples where it has them, and its sidecar. A folder that is not complete, or was
+    built under other settings, is an error."""
+    if not complete(spark, out, **wanted):
+        raise ValueError(f"{out} holds no complete tables" + (f" of {wanted}" if wanted else ""))
+    meta = read_meta(spark, out)
+    names = (*TABLES, *(("samples",) if meta.get("samples") else ()))
+    return {t: spark.read.parquet(f"{out}/{t}") for t in names}, meta
+
+
 BUILDERS: dict[str, Callable[..., dict]] = {"graph": build}
 
 

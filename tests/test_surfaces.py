@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from hopframe import preprocess
 from hopframe.functions import sql
 from hopframe.functions import text as T
 from hopframe.operators import describe, evaluate
@@ -62,4 +63,9 @@ def test_hopqa_command(spark, tmp_path, capsys):
     assert spark.read.parquet(said["folder"] + "/pairs").count() == 7
     with pytest.raises(RuntimeError):
         main(["hopqa", "--out", str(tmp_path / "o"), "--samples", "7", "--hops", "9", "9"])
+    tables, meta = preprocess.load(spark, str(tmp_path / "o"), domain="dblp")
+    assert set(tables) == set(preprocess.TABLES) and tables["nodes"].count() == meta["node_count"] == 12
+    for bad in ((str(tmp_path / "o"), {"domain": "other"}), (str(tmp_path / "nothing"), {})):
+        with pytest.raises(ValueError, match="no complete tables"):
+            preprocess.load(spark, bad[0], **bad[1])
     assert T.normalize is sql.FUNCTIONS["hf_normalize"][0]
