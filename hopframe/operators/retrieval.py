@@ -51,43 +51,44 @@ def grow(n: int, edges: list[tuple[int, int, float]], prizes: list[float]) -> li
     merge; where a cluster's moats use up its prizes, it stops. A merge is (edge, cluster of u, cluster of v, whether
     each was active, new cluster). The last entry is the cluster that is active at the end, or the last one that was.
     """
-    top, parent = list(range(n)), {}
+    import numpy as np
+
+    if not n:
+        return [-1, {}]
+    u, v, cost = (np.array([e[k] for e in edges], float if k == 2 else np.int64) for k in range(3))
+    top, dual, parent = np.arange(n), np.zeros(n), {}  # each node's cluster, and the moats around it
+    active, moat = np.zeros(2 * n, bool), np.zeros(2 * n)  # by cluster; merged ones are inactive
+    prize = np.concatenate([np.array(prizes, float), np.zeros(n)])
+    active[:n] = prize[:n] > 0
     members = {i: [i] for i in range(n)}
-    dual = [0.0] * n  # moats around each node
-    active, prize, moat = {i: prizes[i] > 0 for i in range(n)}, dict(enumerate(prizes)), dict.fromkeys(range(n), 0.0)
     merges, new = [], n
-    last = max(range(n), key=lambda i: (prizes[i], -i), default=-1)
-    while sum(active.values()) > 1:
-        best = None
-        for c, on in active.items():
-            if on and (best is None or (prize[c] - moat[c], 0, c) < best[:3]):
-                best = (prize[c] - moat[c], 0, c, None)
-        for k, (u, v, cost) in enumerate(edges):
-            a, b = top[u], top[v]
-            pace = active[a] + active[b]
-            if a != b and pace and ((cost - dual[u] - dual[v]) / pace, 1, k) < best[:3]:
-                best = ((cost - dual[u] - dual[v]) / pace, 1, k, (a, b))
-        step = max(0.0, best[0])
-        for c, on in active.items():
-            if on:
-                moat[c] += step
-                for x in members[c]:
-                    dual[x] += step
-        if best[3] is None:
-            active[best[2]], last = False, best[2]
+    last = max(range(n), key=lambda i: (prizes[i], -i))
+    while active.sum() > 1:
+        # what happens first: a cluster that is used up, before an edge at the same time; the least number among equals
+        left = np.where(active, prize - moat, np.inf)
+        spent = int(left.argmin())
+        a, b = top[u], top[v]
+        pace = active[a].astype(float) + active[b]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            when = np.where((a != b) & (pace > 0), (cost - dual[u] - dual[v]) / pace, np.inf)
+        edge = int(when.argmin()) if len(when) else -1
+        stops = edge < 0 or not when[edge] < left[spent]
+        step = max(0.0, float(left[spent] if stops else when[edge]))
+        moat[active] += step
+        dual += step * active[top]
+        if stops:
+            active[spent], last = False, spent
             continue
-        a, b = best[3]
-        merges.append((best[2], a, b, active[a], active[b], new))
+        a, b = int(a[edge]), int(b[edge])
+        merges.append((edge, a, b, bool(active[a]), bool(active[b]), new))
         members[new], prize[new], moat[new] = members.pop(a) + members.pop(b), prize[a] + prize[b], moat[a] + moat[b]
-        active.pop(a), active.pop(b)
-        active[new], parent[a], parent[b] = True, new, new
-        for x in members[new]:
-            top[x] = new
+        active[[a, b]], active[new], parent[a], parent[b] = False, True, new, new
+        top[members[new]] = new
         new += 1
-    last = next((c for c, on in active.items() if on), last)
+    last = int(active.argmax()) if active.any() else last
     while last in parent:
         last = parent[last]
-    return [*merges, last, {c: m for c, m in members.items()}]
+    return [*merges, last, dict(members)]
 
 
 def prize_tree(prizes: dict[int, float], edges: list[tuple[int, int, float]]) -> tuple[set[int], list[int]]:
