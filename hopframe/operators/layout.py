@@ -4,9 +4,10 @@ subgraphs renumbered into one graph.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -14,17 +15,34 @@ from pyspark.sql.types import ArrayType, IntegerType
 IGNORED = -100
 #: What opens an instruction, ends the user's part and ends the text.
 BOS, EOS_USER, EOS = "<s>[INST]", "[/INST]", "</s>"
+#: Bytes of text that a worker encodes at once.
+AT_ONCE = 1 << 20
 
 
 def encoder(vocabulary: str) -> Callable[[Column], Column]:
     """A function that encodes a text column with a tokenizer file; workers load the file once."""
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids(text: pa.Array) -> pa.Array:
-        return pa.array([e.ids for e in loaded(vocabulary).encode_batch(text.fill_null("").to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+        # an encoding takes a few hundred bytes a token, so few are held at a time
+        type_ = pa.list_(pa.int32())
+        parts = [pa.array([e.ids for e in loaded(vocabulary).encode_batch(some.to_pylist(), add_special_tokens=False)], type_) for some in pieces(text.fill_null(""), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type_)
 
     return ids
 
 
+def pieces(text: pa.Array, size: int) -> Iterator[pa.Array]:
+    """The texts in runs of about size bytes, one text at least."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(text).to_pylist()):
+        if i > start and held + n > size or i - start == size >> 8:
+            yield text[start:i]
+            start, held = i, 0
+        held += n
+    if start < len(text):
+        yield text[start:]
+
+
 _LOADED: dict = {}
 
 

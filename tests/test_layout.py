@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,21 @@ def test_descriptions(spark, most):
     assert all_["query_adjacency"] == {q: t or summary for q, t in want.items()}
     with pytest.raises(ValueError):
         describe.described("other", asked, "dblp", nodes, links)
+
+
+def test_few_encodings_are_held_at_once(monkeypatch):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["ab" * (i % 90) for i in range(700)] + [None, "x" * 5000, "", "y"]
+    monkeypatch.setattr(layout, "AT_ONCE", 1 << 10)
+    real, sizes = layout.loaded(vocabulary), []
+
+    class Tokenizer:
+        def encode_batch(self, some, **kw):
+            sizes.append((len(some), sum(map(len, some))))
+            return real.encode_batch(some, **kw)
+
+    monkeypatch.setattr(layout, "loaded", lambda _: Tokenizer())
+    got = layout.encoder(vocabulary).func(pa.array(texts)).to_pylist()
+    assert got == [real.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert all(n == 1 or size <= 1 << 10 for n, size in sizes)
+    assert layout.encoder(vocabulary).func(pa.array([], pa.string())).to_pylist() == []
