@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopframe.operators import describe, splits
-from hopframe.plans.graph_queries import _SAMPLE, _labelled, _ROLES, _sampled, hash_sql, rec
+from hopframe.plans.graph_queries import _SAMPLE, _labelled, _ROLES, hash_sql, hop_records, rec, seeds
 from hopframe.plans.qa_queries import PR, predictions
 from hopframe.sources.testgraph import edges, nodes
 
@@ -97,7 +97,7 @@ def monitor_steps(s, d):
 @query(rec("SELECT q.qid, q.node_idx, (SELECT 1) IS NULL AS found FROM (SELECT qid, node_idx + 18000 AS node_idx FROM qs) q WHERE q.node_idx NOT IN (SELECT node_idx FROM gn)", *_SAMPLE))
 def missing_metadata(s, d):
     """Needed ids that the node table lacks: seeds shifted out of it."""
-    need = _sampled(s, d)[0].filter("hop = 0").select("qid", (F.col("node_idx") + 18000).alias("node_idx"))
+    need = seeds(hop_records(s, d)).select("qid", (F.col("node_idx") + 18000).alias("node_idx"))
     return describe.missing(need, nodes(s, d), "node_idx").withColumn("found", F.lit(False))
 
 
